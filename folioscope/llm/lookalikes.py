@@ -39,13 +39,13 @@ LOOKALIKES = {
 }
 
 # The characters of each kind of stand-in.
-_INVISIBLE = "­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ\U000e0000-\U000e0fff\x00-\x08\x0e-\x1b\x7f"
-_SPACES = "   -   　"
-_ACCENTS = "̀-ͯ᪰-᫿᷀-᷿︠-︯"
-_WIDE_SIGNS = "！-／：-＠［-｀｛-～￠-￦"
-_WIDE = "０-９Ａ-Ｚａ-ｚ"
-_JOINED = "ﬀ-ﬆ"
-_CJK = "⺀-⿿、-〿぀-ヿ㐀-䶿一-鿿가-힯豈-﫿｡-ﾟ"
+_INVISIBLE = "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\u3164\ufe00-\ufe0f\ufeff\uffa0\U000e0000-\U000e0fff\x00-\x08\x0e-\x1b\x7f"
+_SPACES = "\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000"
+_ACCENTS = "\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\ufe20-\ufe2f"
+_WIDE_SIGNS = "\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff5e\uffe0-\uffe6"
+_WIDE = "\uff10-\uff19\uff21-\uff3a\uff41-\uff5a"
+_JOINED = "\ufb00-\ufb06"
+_CJK = "\u2e80-\u2fff\u3001-\u303f\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7af\uf900-\ufaff\uff61-\uff9f"
 #: The punctuation of Chinese text that is full-width by nature, when it stands beside a Chinese character.
 _HOME_SIGNS = "！（），．：；？～"
 _HOME_SIGN = re.compile(rf"(?<=[{_CJK}])[{_HOME_SIGNS}]+|[{_HOME_SIGNS}]+(?=[{_CJK}])")
