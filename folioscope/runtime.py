@@ -61,7 +61,7 @@ def durable(frame: DataFrame, label: str, partition_by: str | None = None) -> Da
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable on executors, so that functions sent to them can be named by module."""
     context = spark.sparkContext
-    if context.master.startswith("local[") or context.applicationId in _shipped:
+    if context.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parent
     shared = shared_dir(spark)
