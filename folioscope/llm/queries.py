@@ -7,16 +7,34 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import format_duplicates, lookalikes
+from folioscope.llm import canonical_values, format_duplicates, leakage, lookalikes
 from folioscope.runtime import read_table
 
 
+def p3_found(spark: SparkSession, directory: str) -> DataFrame:
+    """The country that each freely typed affiliation country means, '--' for none of the list."""
+    countries = read_table(spark, directory, "countries", "alpha2", "name", "common_name", "official_name")
+    names = ["name", "common_name", "official_name"]
+    listed = countries.select(F.explode(F.array(*names)).alias("country")).where("country is not null").distinct()
+    typed = read_table(spark, directory, "affiliations", "eid", "aff_pos", "country")
+    typed = typed.where("country rlike '\\\\S' and lower(trim(country)) not in ('-', 'nan', 'none', 'null')").join(F.broadcast(listed), "country", "left_anti")
+    mapped = canonical_values.map_rows(typed, "country", countries, "alpha2", names)
+    return mapped.select("eid", "aff_pos", F.coalesce("key", F.lit("--")).alias("alpha2")).distinct()
+
+
 def p5_found(spark: SparkSession, directory: str) -> DataFrame:
     """Copies of one record under different formatting."""
     documents = read_table(spark, directory, "documents", "doc_id", "title", "doi")
     return format_duplicates.collapse(documents, "doc_id", "title", "doi").where("first_id < doc_id").select("first_id", "doc_id")
 
 
+def p8_found(spark: SparkSession, directory: str) -> DataFrame:
+    """Documents that hold at least half of a test item."""
+    documents = read_table(spark, directory, "documents", "doc_id", "text")
+    items = read_table(spark, directory, "eval_items", "item_id", "text")
+    return leakage.find(documents, "doc_id", "text", items, "item_id", "text").select("doc_id", "item_id")
+
+
 def p9_found(spark: SparkSession, directory: str) -> DataFrame:
     """Documents whose text holds stand-in characters."""
     documents = read_table(spark, directory, "documents", "doc_id", "text")
