@@ -4,13 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import canonical_values, format_duplicates, leakage, lookalikes
+from folioscope.llm import canonical_values, cooccurrence, format_duplicates, leakage, lookalikes
 from folioscope.runtime import read_table
 
 
+#: White space that plain values don't have outside.
+_OUTER = " \t\n\r\x0b\x0c\x85\xa0\u3000"
+
+
+def _plain(column: str) -> Column:
+    return F.lower(F.btrim(F.col(column), F.lit(_OUTER)))
+
+
+def p1_found(spark: SparkSession, directory: str) -> DataFrame:
+    """Keywords, author names and countries that share documents far more often than chance."""
+    fields = (("keyword", "keywords", "keyword"), ("author", "authors", "name"), ("country", "affiliations", "country"))
+    parts = [read_table(spark, directory, table, "eid", column).select(F.lit(field).alias("field"), "eid", _plain(column).alias("item")) for field, table, column in fields]
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).where("item <> ''")
+    return cooccurrence.count_pairs(rows, "field", "eid", "item").select("field", "item_a", "item_b")
+
+
 def p3_found(spark: SparkSession, directory: str) -> DataFrame:
     """The country that each freely typed affiliation country means, '--' for none of the list."""
     countries = read_table(spark, directory, "countries", "alpha2", "name", "common_name", "official_name")
@@ -42,9 +58,26 @@ def p9_found(spark: SparkSession, directory: str) -> DataFrame:
     return lookalikes.repair(documents, "doc_id", "text").where(found > 0).select("doc_id").distinct()
 
 
+P1_SQL = """
+with rows as (
+  select distinct 'keyword' field, eid, lower(trim(keyword)) item from keywords where trim(keyword) <> ''
+  union select distinct 'author', eid, lower(trim(name)) from authors where trim(name) <> ''
+  union select distinct 'country', eid, lower(trim(country)) from affiliations where trim(country) <> ''
+), sizes as (select field, count(distinct eid) baskets from rows group by 1),
+single as (select field, item, count(*) n from rows group by 1, 2),
+pairs as (
+  select a.field, a.item item_a, b.item item_b, count(*) together from rows a
+  join rows b on a.field = b.field and a.eid = b.eid and a.item < b.item group by 1, 2, 3 having count(*) >= 5
+)
+select p.field, p.item_a, p.item_b from pairs p join sizes s on s.field = p.field
+join single x on x.field = p.field and x.item = p.item_a join single y on y.field = p.field and y.item = p.item_b
+where p.together * s.baskets >= 4 * x.n * y.n
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p1_found": P1_SQL}
