@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import canonical_values, cooccurrence, format_duplicates, leakage, lookalikes
-from folioscope.runtime import read_table
+from folioscope.llm import canonical_values, cooccurrence, distinctiveness, format_duplicates, leakage, lookalikes, set_similarity
+from folioscope.runtime import durable, read_table
 
 
 #: White space that plain values don't have outside.
@@ -38,12 +38,30 @@ def p3_found(spark: SparkSession, directory: str) -> DataFrame:
     return mapped.select("eid", "aff_pos", F.coalesce("key", F.lit("--")).alias("alpha2")).distinct()
 
 
+def p4_found(spark: SparkSession, directory: str) -> DataFrame:
+    """Pairs of documents that cite nearly the same works."""
+    cited = read_table(spark, directory, "references", "eid", "ref_doi", "ref_title")
+    doi = F.regexp_replace(F.regexp_extract(F.lower("ref_doi"), "10\\.\\d{3,9}\\s*/\\s*[^\\s?#]+", 0), "[^a-z0-9]", "")
+    title = F.regexp_replace(F.lower("ref_title"), "[^\\p{L}\\p{N}\\p{M}]+", "")
+    works = set_similarity.same_values(cited.select("eid", doi.alias("doi"), title.alias("title")), "eid", ["doi", "title"])
+    members, pairs = set_similarity.similar_classes(durable(works, "cited-works"))
+    return set_similarity.expand(members, pairs).select(F.col("rec_a").alias("eid_a"), F.col("rec_b").alias("eid_b"))
+
+
 def p5_found(spark: SparkSession, directory: str) -> DataFrame:
     """Copies of one record under different formatting."""
     documents = read_table(spark, directory, "documents", "doc_id", "title", "doi")
     return format_duplicates.collapse(documents, "doc_id", "title", "doi").where("first_id < doc_id").select("first_id", "doc_id")
 
 
+def p6_found(spark: SparkSession, directory: str) -> DataFrame:
+    """Keywords that are characteristic of their document's abstract."""
+    keywords = read_table(spark, directory, "keywords", "eid", "keyword")
+    documents = read_table(spark, directory, "documents", "eid", "abstract")
+    scored = distinctiveness.score_terms(keywords, documents, "eid", "keyword", "abstract", min_occurrences=3)
+    return scored.where("records >= 2 and records * 20 < of").select("eid", "keyword").distinct()
+
+
 def p8_found(spark: SparkSession, directory: str) -> DataFrame:
     """Documents that hold at least half of a test item."""
     documents = read_table(spark, directory, "documents", "doc_id", "text")
