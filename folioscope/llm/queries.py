@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import canonical_values, cooccurrence, distinctiveness, format_duplicates, leakage, lookalikes, set_similarity
+from folioscope.llm import canonical_values, cooccurrence, distinctiveness, entity_match, format_duplicates, leakage, lookalikes, set_similarity
 from folioscope.runtime import durable, read_table
 
 
@@ -27,6 +27,16 @@ def p1_found(spark: SparkSession, directory: str) -> DataFrame:
     return cooccurrence.count_pairs(rows, "field", "eid", "item").select("field", "item_a", "item_b")
 
 
+def p2_found(spark: SparkSession, directory: str) -> DataFrame:
+    """References and the documents of this corpus that they cite."""
+    references = read_table(spark, directory, "references", "eid", "ref_pos", "ref_doi", "ref_title", "ref_year", "ref_authors", "ref_raw")
+    documents = read_table(spark, directory, "documents", "doc_id", "eid", "doi", "title", "year")
+    authors = read_table(spark, directory, "authors", "eid", "position", "name")
+    left = entity_match.reference_side(references, ["eid", "ref_pos"], "ref_doi", "ref_title", "ref_year", "ref_authors", "ref_raw")
+    right = entity_match.document_side(documents, authors, "doc_id", "eid", "doi", "title", "year", "position", "name")
+    return entity_match.match(left, right).select("eid", "ref_pos", F.col("doc").alias("doc_id")).distinct()
+
+
 def p3_found(spark: SparkSession, directory: str) -> DataFrame:
     """The country that each freely typed affiliation country means, '--' for none of the list."""
     countries = read_table(spark, directory, "countries", "alpha2", "name", "common_name", "official_name")
