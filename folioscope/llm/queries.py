@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import canonical_values, cooccurrence, distinctiveness, entity_match, format_duplicates, leakage, lookalikes, set_similarity
+from folioscope.llm import canonical_values, cooccurrence, distinctiveness, entity_match, format_duplicates, leakage, lookalikes, packing, set_similarity
 from folioscope.runtime import durable, read_table
 
 
@@ -72,6 +73,12 @@ def p6_found(spark: SparkSession, directory: str) -> DataFrame:
     return scored.where("records >= 2 and records * 20 < of").select("eid", "keyword").distinct()
 
 
+def p7_containers(spark: SparkSession, directory: str) -> DataFrame:
+    """The container of 1,024 tokens that each text, or piece of a longer one, is put into."""
+    documents = read_table(spark, directory, "documents", "doc_id", "text")
+    return packing.pack_texts(documents, "doc_id", "text", os.environ.get("FOLIOSCOPE_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken"))
+
+
 def p8_found(spark: SparkSession, directory: str) -> DataFrame:
     """Documents that hold at least half of a test item."""
     documents = read_table(spark, directory, "documents", "doc_id", "text")
