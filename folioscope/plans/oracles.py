@@ -1,5 +1,268 @@
-"""SQL with the results of the registered queries."""
+"""SQL with the results of the registered queries, written against the tables and not after the plans.
+
+`{name}` stands for a shared table expression of PARTS, put before the statement with whatever it needs itself.
+"""
+
+from __future__ import annotations
+
+import re
+
+# Rounding as the operators do it: half-even on the scaled value.
+_R = re.compile(r"\br(\d)\(")
+
+
+def _rounding(sql: str) -> str:
+    """Spell out r2(x) and the like as round_even(x * 100, 0) / 100."""
+    while m := _R.search(sql):
+        depth, end = 1, m.end()
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        scale = 10 ** int(m.group(1))
+        sql = f"{sql[: m.start()]}(round_even(({sql[m.end() : end - 1]})::double * {scale}.0, 0) / {scale}.0){sql[end:]}"
+    return sql
+
+
+PARTS = {
+    "docs": "select eid, year::bigint as year, coalesce(cited_by, 0)::bigint as c, title, source, doc_type, doi, issn, open_access, abstract, publisher, language, link, source_abbr from documents",
+    "last": "select max(year)::bigint as y1 from documents",
+    "grid": "select unnest(range(min(year)::bigint, max(year)::bigint + 1)) as year from documents",
+    "yearly": "select g.year, count(d.eid) as documents from {grid} g left join {docs} d on d.year = g.year group by 1",
+    "au": "select *, coalesce(scopus_id, 'name:' || name) as key from authors where length(trim(name)) > 0",
+    "auname": "select key, name from (select key, name, row_number() over (partition by key order by count(*) desc, name) as k from {au} group by 1, 2) where k = 1",
+    "inst": "select eid, aff_pos, org, min(country) as country, min(city) as city, min(subparent) as subparent from (select eid, aff_pos, subparent, city, country, trim(parent1) as org from affiliations where length(trim(parent1)) > 0 union all select eid, aff_pos, subparent, city, country, trim(parent2) from affiliations where length(trim(parent2)) > 0) group by 1, 2, 3",
+    "org": "select * from {inst} where org <> 'Independent researcher'",
+    "orgpair": "select eid, org, arg_min(country, (aff_pos, country)) as country from {org} group by 1, 2",
+    "unitpair": "select eid, trim(subparent) as org, arg_min(country, (aff_pos, country)) as country from affiliations where length(trim(subparent)) > 0 and trim(subparent) <> 'Independent researcher' group by 1, 2",
+    "cc": "select distinct eid, country from affiliations where length(trim(country)) > 0",
+    "kw": "select eid, keyword, kind, lower(trim(keyword)) as norm from keywords where length(trim(keyword)) > 0",
+    "kwa": "select * from {kw} where kind = 'author'",
+    "kwname": "select norm, name from (select norm, trim(keyword) as name, row_number() over (partition by norm order by count(*) desc, trim(keyword)) as k from {kwa} group by 1, 2) where k = 1",
+    "city": "select eid, trim(city) as city, arg_min(country, (aff_pos, country)) as country from affiliations where trim(city) <> '' and lower(trim(city)) not in ('nan', 'none') group by 1, 2",
+    "cityname": "select city, country from (select city, country, row_number() over (partition by city order by count(*) desc, country) as k from {city} where country is not null group by 1, 2) where k = 1",
+    "perdoc": "select eid, count(distinct name) as j from authors where length(trim(name)) > 0 group by 1",
+    "srcpair": "select distinct eid, source from {docs} where length(trim(source)) > 0",
+    "firstau": "select eid, arg_min(name, (position, name)) as first_author from authors where length(trim(name)) > 0 group by 1",
+    "doi_of": "select eid, nullif(rtrim(lower(regexp_extract(doi, '(10\\.\\d{4,9}/\\S+)', 1)), '.,;)'), '') as doi, nullif(trim(regexp_replace(regexp_replace(lower(strip_accents(title)), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')), '') as t from documents",
+    "ref_of": "select eid, nullif(rtrim(lower(regexp_extract(ref_doi, '(10\\.\\d{4,9}/\\S+)', 1)), '.,;)'), '') as doi, nullif(trim(regexp_replace(regexp_replace(lower(strip_accents(ref_title)), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')), '') as t from doc_references",
+    "bydoi": "select doi, min(eid) as cited from {doi_of} where doi is not null group by 1",
+    "bytitle": "select t, min(eid) as cited from {doi_of} where length(t) >= 25 group by 1",
+    "cites": "select citing, cited, min(via) as via from (select r.eid as citing, b.cited, 'doi' as via from {ref_of} r join {bydoi} b on b.doi = r.doi union all select r.eid, b.cited, 'title' from {ref_of} r join {bytitle} b on b.t = r.t where r.doi is null or r.doi not in (select doi from {bydoi})) where citing <> cited group by 1, 2",
+    "local": "select d.eid, coalesce(x.n, 0) as n from (select distinct eid from documents) d left join (select cited, count(*) as n from {cites} group by 1) x on x.cited = d.eid",
+    "ages": "select d.year, greatest(d.year - r.ref_year, 0) as age from doc_references r join {docs} d on d.eid = r.eid where r.ref_year is not null and d.year is not null and d.year - r.ref_year between -2 and 200",
+    "works": "select eid, ref_authors, ref_year, ref_title, case when length(trim(ref_doi)) > 0 then 'doi:' || lower(trim(ref_doi)) when length(t) >= 12 then 't:' || t end as key from (select *, nullif(trim(regexp_replace(regexp_replace(lower(strip_accents(ref_title)), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')), '') as t from doc_references)",
+}
+
+
+def _impact(pairs: str, key: str, having: str = "") -> str:
+    """Counts and indices of `key` over distinct pairs, by ranking every row."""
+    return f"""select p.{key} as k, count(distinct p.eid) as documents, sum(c) as citations, min(year) as first_year, max(year) as last_year,
+  sum(case when c >= rn then 1 else 0 end) as h, sum(case when cum >= rn * rn then 1 else 0 end) as g, sum(case when c >= 10 then 1 else 0 end) as i10,
+  r2(sqrt(sum(case when c >= rn then c else 0 end) - sum(case when c >= rn then 1 else 0 end) ** 2)) as e
+from (select x.{key}, x.eid, d.year, coalesce(d.c, 0) as c, row_number() over w as rn, sum(coalesce(d.c, 0)) over (w rows between unbounded preceding and current row) as cum
+  from {pairs} x left join {{docs}} d on d.eid = x.eid window w as (partition by x.{key} order by coalesce(d.c, 0) desc, x.eid, d.title, d.doi)) p group by 1 {having}"""
+
+
+_M = "case when y1 - first_year + 1 > 0 then r2(h * 1.0 / (y1 - first_year + 1)) end"
+
+
+def _over_time(pairs: str, key: str, n: int, value: str = "documents") -> str:
+    return f"""with d as (select distinct x.{key}, x.eid, y.year from {pairs} x join {{docs}} y on y.eid = x.eid where y.year is not null),
+top as (select {key} from d group by 1 order by count(distinct eid) desc, {key} limit {n}),
+k as (select d.* from d join top using ({key})),
+years as (select unnest(range(min(year), max(year) + 1)) as year from k),
+n as (select {key}, year, count(distinct eid) as c from k group by 1, 2)
+select {key}, year, coalesce(n.c, 0) as {value}, sum(coalesce(n.c, 0)) over (partition by {key} order by year)::bigint as cumulative from top cross join years left join n using ({key}, year)"""
+
+
+def _pairs(members: str, n: int, least: int) -> str:
+    """Edges of the `n` most frequent keys of (eid, key)."""
+    return f"""with m as ({members}), top as (select key, count(*) as occurrences from m group by 1 order by 2 desc, 1 limit {n}), f as (select * from m join top using (key)),
+edges as (select a.key as source, b.key as target, count(*) as weight from f a join f b on a.eid = b.eid and a.key < b.key group by 1, 2 having count(*) >= {least})"""
+
+
+def _nodes(label: str, joins: str = "") -> str:
+    return f"""select t.key as id, {label} as label, t.occurrences, s.degree from top t join (select key, sum(weight)::bigint as degree from (select source as key, weight from edges union all select target, weight from edges) group by 1) s using (key) {joins}"""
+
+
+_CAT = "select x.place, x.name, count(y.k) as documents, coalesce(sum(y.c), 0) as citations from cat x left join rows y on y.k = x.name group by 1, 2"
+_SHARES = "r1(100.0 * documents / (select count(*) from rows)) as share, citations, case when documents > 0 then r2(citations * 1.0 / documents) else 0.0 end as citations_per_document"
+_FILLED = "coalesce(lower(trim({f}::varchar)) not in ('', 'nan', 'none', 'na', 'null', '<na>', 'nat', '-'), false)"
+_STATUS = "case when share >= 90 then 'ready' when share >= 50 then 'partial' else 'limited' end as status"
+_WORDS = "select distinct eid, norm as key from {kwa}"
+
+
+def _completeness(table: str, fields: list[str], where: dict[str, str] | None = None) -> str:
+    one = lambda f: f"select '{f}' as field, count(*) filter ({_FILLED.format(f=f)}) as filled, count(*) as total from {table}" + (f" where {where[f]}" if where and f in where else "")
+    return " union all ".join(map(one, fields))
+
+
+def _levels(unit: str) -> str:
+    return {
+        "authors": "select key as e, count(distinct eid) as d from {au} where key is not null group by 1", "institutions": "select org as e, count(distinct eid) as d from {org} group by 1", "countries": "select country as e, count(distinct eid) as d from {cc} group by 1",
+        "sources": "select source as e, count(distinct eid) as d from {srcpair} group by 1", "cities": "select city as e, count(distinct eid) as d from {city} group by 1",
+    }[unit]
+
+
+def _concentration(unit: str) -> str:
+    return f"""select '{unit}' as unit, count(*) as entities, sum(d)::bigint as documents, r4(2.0 * sum(d * i) / (count(*) * sum(d)) - (count(*) + 1.0) / count(*)) as gini,
+  r1(100.0 * sum(case when j <= 4 then d else 0 end) / sum(d)) as cr4, r1(100.0 * sum(case when j <= 10 then d else 0 end) / sum(d)) as cr10, r1(100.0 * sum(case when j <= greatest(1, ceil(n / 10.0)) then d else 0 end) / sum(d)) as top_share_10pct
+from (select d, row_number() over (order by d, e) as i, row_number() over (order by d desc, e) as j, count(*) over () as n from ({_levels(unit)}))"""
+
+
+SQL = {
+    "summary": "select (select count(*) from documents) as documents, (select min(year) from {docs}) as year_min, (select max(year) from {docs}) as year_max, (select count(distinct source) from {srcpair}) as sources, (select sum(c)::bigint from {docs}) as citations, (select count(distinct coalesce(scopus_id, 'name:' || name)) from authors) as authors, (select count(distinct raw) from affiliations) as affiliations, (select count(distinct country) from {cc}) as countries, (select count(distinct org) from {inst}) as institutions, (select count(distinct keyword) from keywords where kind = 'author') as keywords, (select count(*) from doc_references) as references, (select count(*) from documents where eid not in (select eid from doc_references)) as documents_without_references",
+    "main_information": """with y as (select * from {yearly}), e as (select arg_min(documents, year) as first, arg_max(documents, year) as last, max(year) - min(year) as span from y)
+select (select count(*) from documents) as documents, (select min(year) from {docs}) as year_min, (select max(year) from {docs}) as year_max, (select min(year)::varchar || '-' || max(year)::varchar from {docs}) as timespan,
+  (select r2((pow(last * 1.0 / first, 1.0 / span) - 1) * 100) from e) as annual_growth_rate, (select r2(max(year) - avg(year)) from {docs}) as document_average_age, (select count(distinct source) from documents) as sources, (select count(distinct doc_type) from documents) as document_types,
+  (select sum(c)::bigint from {docs}) as total_citations, (select r2(sum(c) * 1.0 / count(*)) from {docs}) as citations_per_document, (select count(*) from doc_references) as references, (select r1(avg(k)) from (select count(*) as k from doc_references group by eid)) as references_per_document,
+  (select count(distinct lower(keyword)) from keywords where kind = 'author') as keywords_author, (select count(distinct lower(keyword)) from keywords where kind = 'index') as keywords_index, (select count(distinct coalesce(scopus_id, 'name:' || name)) from authors) as authors,
+  (select r2(sum(j) * 1.0 / count(*)) from {perdoc}) as authors_per_document, (select count(*) from {perdoc} where j = 1) as single_authored_documents, (select r2(sum(j) * 1.0 / count(*)) from {perdoc} where j > 1) as collaboration_index, (select count(distinct country) from {cc}) as countries,
+  (select count(*) from (select eid from {cc} group by 1 having count(*) > 1)) as international_documents, (select r1(100.0 * sum(case when k > 1 then 1 else 0 end) / count(*)) from (select count(*) as k from {cc} group by eid)) as international_share""",
+    "production_by_year": "select g.year, count(distinct d.eid) as documents, coalesce(sum(d.c), 0)::bigint as citations, case when count(distinct d.eid) > 0 then r2(coalesce(sum(d.c), 0) * 1.0 / count(distinct d.eid)) end as citations_per_doc, sum(count(distinct d.eid)) over (order by g.year)::bigint as cumulative from {grid} g left join {docs} d on d.year = g.year group by g.year",
+    "production_by_country": "select country, count(distinct p.eid) as documents, coalesce(sum(c), 0)::bigint as citations from {cc} p left join {docs} d on d.eid = p.eid group by 1",
+    "institutions_over_time": "select institution, year, documents, cumulative from (" + _over_time("(select distinct eid, org as institution from {org})", "institution", 10) + ")",
+    "cities_over_time": _over_time("{city}", "city", 8), "sources_over_time": _over_time("{srcpair}", "source", 8),
+    "word_dynamics": "select year, n.name as keyword, occurrences, cumulative from (" + _over_time("(select distinct eid, norm from {kwa})", "norm", 10, "occurrences") + ") x join {kwname} n using (norm)",
+    "institutions_by_country": """with p as (select distinct eid, org, country from {org} where length(trim(country)) > 0), e as (select country, org, count(distinct eid) as d from p group by 1, 2)
+select country, count(*) as institutions, any_value(w.documents) as documents, arg_min(org, (-d, org)) as top_institution from e join (select country, count(distinct eid) as documents from p group by 1) w using (country) group by 1 order by 3 desc, 2 desc, 1 limit 20""",
+    "org_hierarchy": """with b as (select eid, org as parent, subparent from {org}), p as (select distinct eid, parent, subparent from b where length(trim(subparent)) > 0)
+select parent, subparent, count(distinct p.eid) as documents, coalesce(sum(c), 0)::bigint as citations, any_value(t.n) as parent_documents, r1(100.0 * count(distinct p.eid) / any_value(t.n)) as share from p left join {docs} d on d.eid = p.eid join (select parent, count(distinct eid) as n from b group by 1) t using (parent) group by 1, 2 order by 5 desc, 1, 3 desc, 2 limit 20""",
+    "top_authors": "select n.name as author, min(a.scopus_id) as scopus_id, count(distinct a.eid) as documents, coalesce(sum(c), 0)::bigint as citations, count(*) filter (false) + sum(case when position = 1 then 1 else 0 end)::bigint as first_author from {au} a join {auname} n using (key) left join {docs} d on d.eid = a.eid group by key, n.name order by 3 desc, 4 desc, key limit 20",
+    "top_sources": "select source, count(distinct eid) as documents, sum(c)::bigint as citations from {docs} where length(trim(source)) > 0 group by 1 order by 2 desc, 3 desc, 1 limit 20",
+    "top_keywords": "select n.name as keyword, count(distinct eid) as documents from {kwa} join {kwname} n using (norm) group by norm, n.name order by 2 desc, norm limit 30",
+    "top_keywords_all": "with n as (select norm, name from (select norm, trim(keyword) as name, row_number() over (partition by norm order by count(*) desc, trim(keyword)) as k from {kw} group by 1, 2) where k = 1) select n.name as keyword, count(distinct eid) as documents from {kw} join n using (norm) group by norm, n.name",
+    "document_types": "select doc_type, count(distinct eid) as documents, r1(100.0 * count(distinct eid) / sum(count(distinct eid)) over ()) as share from documents where length(trim(doc_type)) > 0 group by 1",
+    "impact": "select documents_ as documents, citations, r2(citations * 1.0 / documents_) as citations_per_doc, h as h_index, g as g_index, i10 as i10_index, e as e_index, uncited from (" + _impact("(select 1 as one, eid from (select distinct eid from documents))", "one") + ") cross join (select count(*) as documents_, sum(case when c = 0 then 1 else 0 end)::bigint as uncited from {docs})",
+    "authors_impact": """with s as (""" + _impact("(select distinct key, eid from {au} where key is not null)", "key") + """), pl as (select key, count(*) filter (p = 1) as p1, count(*) filter (p = 2) as p2, count(*) filter (p = 3) as p3, count(*) as n from (select key, eid, min(position) as p from {au} group by 1, 2) group by 1)
+select """ + _M + """ as m_index, n.name as author, (select min(scopus_id) from {au} a where a.key = s.k) as scopus_id, documents, citations::bigint as citations, h as h_index, g as g_index, i10 as i10_index, e as e_index, p1 as first_author, p2 as second_author, p3 as third_author, pl.n - p1 - p2 - p3 as later_author, first_year, last_year
+from s join pl on pl.key = s.k join {auname} n on n.key = s.k cross join {last}""",
+    "sources_impact": "select k as source, documents, citations::bigint as citations, h as h_index, g as g_index, " + _M + " as m_index, first_year, last_year from (" + _impact("{srcpair}", "source") + ") cross join {last}",
+    "countries_impact": "select k as country, documents, citations::bigint as citations, h as h_index, g as g_index, " + _M + " as m_index, first_year, last_year from (" + _impact("{cc}", "country") + ") cross join {last} order by 4 desc, 3 desc, 2 desc, 1 limit 20",
+    "cities_impact": "select k as city, n.country, documents, citations::bigint as citations, h as h_index, g as g_index, " + _M + " as m_index, first_year, last_year from (" + _impact("{city}", "city") + ") s left join {cityname} n on n.city = s.k cross join {last} order by 5 desc, 4 desc, 3 desc, 1 limit 20",
+    "normalized_citations": "select d.eid, d.c as citations, coalesce(r2(m.v), 0) as year_mean_citations, case when m.v > 0 then r3(d.c / m.v) else 0 end as normalized_citations from {docs} d left join (select year, avg(c) as v from {docs} where year is not null group by 1) m on m.year = d.year",
+    "first_author_countries": """with p as (select eid, aff_pos, country from affiliations where length(trim(country)) > 0), own as (select distinct eid, aff_pos from author_affiliations where position = 1 and aff_pos is not null),
+a as (select eid, arg_min(country, (aff_pos, country)) as country from p join own using (eid, aff_pos) group by 1), b as (select eid, arg_min(country, (aff_pos, country)) as country from p where eid not in (select eid from a) group by 1),
+k as (select eid, count(distinct country) as k from p group by 1), r as (select * from (select * from a union all select * from b) join k using (eid) left join {docs} d using (eid))
+select country, count(distinct eid) as documents, count(distinct case when k = 1 then eid end) as scp, count(distinct case when k > 1 then eid end) as mcp, r4(count(distinct case when k > 1 then eid end) * 1.0 / count(distinct eid)) as mcp_ratio, coalesce(sum(c), 0)::bigint as citations, r2(coalesce(sum(c), 0) * 1.0 / count(distinct eid)) as citations_per_document from r group by 1 order by 2 desc, 6 desc, 1 limit 20""",
+    "top_cities": "select p.city, any_value(n.country) as country, count(distinct p.eid) as documents, coalesce(sum(c), 0)::bigint as citations, coalesce(any_value(i.n), 0) as institutions, r2(coalesce(sum(c), 0) * 1.0 / count(distinct p.eid)) as citations_per_document from {city} p left join {docs} d on d.eid = p.eid left join {cityname} n on n.city = p.city left join (select trim(city) as city, count(distinct org) as n from {inst} group by 1) i on i.city = p.city group by 1 order by 3 desc, 4 desc, 1 limit 20",
+    "collaboration_scale": """with p as (select eid, count(distinct city) as ci, count(distinct country) as co from {city} group by 1), o as (select eid, count(distinct parent1) as n from affiliations where parent1 is not null group by 1), m as (select eid, max(c) as c from {docs} group by 1),
+rows as (select case when co > 1 then 'International' when ci > 1 then 'National (same country)' when coalesce(o.n, 1) > 1 then 'Local (same city)' else 'Single affiliation' end as k, coalesce(m.c, 0) as c from p left join o using (eid) left join m using (eid)),
+cat as (select * from (values (0, 'Single affiliation'), (1, 'Local (same city)'), (2, 'National (same country)'), (3, 'International')) t(place, name)) select name as scale, documents, """ + _SHARES + f" from ({_CAT})",
+    "city_hierarchy": """with p as (select distinct eid, country, trim(city) as city from affiliations where trim(city) <> '' and lower(trim(city)) not in ('nan', 'none') and length(trim(country)) > 0), w as (select country, count(distinct eid) as n from p group by 1),
+i as (select country, trim(city) as city, org, count(*) as k from {inst} group by 1, 2, 3), l as (select country, city, count(*) as institutions, arg_min(org, (-k, org)) as top_institution, string_agg(org || ' (' || k || ')', '; ' order by k desc, org) as institution_affiliations from i group by 1, 2)
+select p.country, p.city, coalesce(any_value(l.institutions), 0) as institutions, count(distinct p.eid) as documents, any_value(l.top_institution) as top_institution, r1(100.0 * count(distinct p.eid) / any_value(w.n)) as share_of_country, coalesce(any_value(l.institution_affiliations), '') as institution_affiliations
+from p join w using (country) left join l on l.country = p.country and l.city = p.city group by 1, 2 order by 1, 4 desc, 2 limit 40""",
+    "most_cited_documents": "select title, first_author, year, source, doc_type, c as citations, r2(c * 1.0 / (y1 - year + 1)) as citations_per_year, doi from {docs} d left join {firstau} f using (eid) cross join {last} order by c desc, d.eid, title limit 20",
+    "most_normalized_documents": "with m as (select year, avg(c) as v from {docs} where year is not null group by 1), s as (select d.eid, max(case when m.v > 0 then r3(d.c / m.v) else 0 end) as n, max(coalesce(r2(m.v), 0)) as y from {docs} d left join m on m.year = d.year group by 1) select d.eid, min(title) as title, any_value(first_author) as first_author, min(year) as year, min(source) as source, max(c) as citations, any_value(s.y) as year_mean_citations, any_value(s.n) as normalized_citations from {docs} d join s using (eid) left join {firstau} f using (eid) group by 1 order by 8 desc, 1 limit 25",
+    "document_list": "select title, first_author, year, source, doc_type, c as citations, n as local_citations, doi from {docs} d left join {firstau} f using (eid) left join {local} l using (eid) order by c desc nulls last, d.eid, doi nulls first limit 100",
+    "most_cited_references": """with r as (select *, coalesce(case when length(trim(ref_doi)) > 0 then lower(trim(ref_doi)) end, 't:' || lower(trim(coalesce(ref_title, '')))) as key from doc_references), b as (select key, count(distinct eid) as n, min(ref_doi) as ref_doi from r group by 1 order by 2 desc, 1 limit 20),
+t as (select key, ref_title from (select key, ref_title, row_number() over (partition by key order by count(*) desc, ref_title) as k from r where ref_title is not null group by 1, 2) where k = 1), y as (select key, ref_year from (select key, ref_year, row_number() over (partition by key order by count(*) desc, ref_year) as k from r where ref_year is not null group by 1, 2) where k = 1)
+select ref_title as reference, ref_year::bigint as ref_year, ref_doi, n as local_citations from b left join t using (key) left join y using (key)""",
+    "field_completeness": "select field, l.label, filled, total, share, " + _STATUS + ", l.unlocks from (select *, r1(100.0 * filled / total) as share from (" + _completeness("{docs_}", ["title", "year", "source", "doc_type", "cited_by", "doi", "issn", "abstract", "open_access", "publisher", "language"]) + ")) join (values ('title', 'Title', 'Document lists, local citation matching by title'), ('year', 'Year', 'Everything time-based: production, growth, trends'), ('source', 'Source', 'Sources, Bradford, SCImago'), ('doc_type', 'Document type', 'Type filter and breakdown'), ('cited_by', 'Citations', 'All impact indices: h, g, i10, e, m'), ('doi', 'DOI', 'Local citation matching, deduplication'), ('issn', 'ISSN', 'SCImago matching, hence quartiles and SJR'), ('abstract', 'Abstract', 'Text mining on abstracts'), ('open_access', 'Open access', 'Open access status and routes'), ('publisher', 'Publisher', 'Publisher breakdown'), ('language', 'Language', 'Language breakdown')) l(field, label, unlocks) using (field)",
+    "table_completeness": "select \"table\", field, filled, total, share, " + _STATUS + " from (select *, coalesce(r1(100.0 * filled / total), 0) as share from (select 'authors' as \"table\", * from (" + _completeness("authors", ["name", "scopus_id"]) + ") union all select 'affiliations', * from (" + _completeness("affiliations", ["parent1", "subparent", "city", "country"], {"city": "lower(trim(coalesce(site, ''))) <> 'virtual'"}) + ") union all select 'keywords', * from (" + _completeness("keywords", ["keyword"]) + ") union all select 'references', * from (" + _completeness("doc_references", ["ref_doi", "ref_year", "ref_title"]) + ")))",
+    "anomalies": """with t as (select count(*) as n, max(year) as y from documents), e as (select distinct eid from documents)
+select c as "check", k as documents, r1(100.0 * k / n) as share, s as severity, d as detail from t cross join (
+select 'Missing year' as c, (select count(*) from documents where year is null) as k, 'high' as s, 'Excluded from every time-based indicator.' as d
+union all select 'Year in the future', (select count(*) from documents, t where year > t.y + 1), 'low', 'Usually an ''in press'' record; harmless but it stretches the axis.'
+union all select 'Negative or unreadable citations', (select count(*) from documents where cited_by < 0), 'high', 'Impact indices would be wrong.'
+union all select 'No author', (select count(*) from e where eid not in (select eid from authors)), 'high', 'Absent from author rankings and from co-authorship.'
+union all select 'No affiliation', (select count(*) from e where eid not in (select eid from affiliations)), 'medium', 'Absent from institutions, cities and countries.'
+union all select 'No reference', (select count(*) from e where eid not in (select eid from doc_references)), 'medium', 'Cannot cite locally, nor take part in coupling.'
+union all select 'No keyword', (select count(*) from e where eid not in (select eid from keywords)), 'medium', 'Absent from co-word, thematic map and evolution.')""",
+    "duplicates": """with d as (select o.eid, o.doi, o.t, left(coalesce(x.title, ''), 60) as s from (select row_number() over () as i, * from {doi_of}) o join (select row_number() over () as i, title from documents) x using (i)),
+g as (select doi, count(*) as n from d where doi is not null group by 1 having count(*) > 1), done as (select distinct t from d where doi in (select doi from g)), h as (select t, count(*) as n from d where length(t) >= 25 group by 1 having count(*) > 1)
+select 'doi' as kind, doi as key, any_value(g.n) as documents, string_agg(distinct s, ' | ' order by s) as titles from d join g using (doi) group by 2
+union all select 'title', t, any_value(h.n), string_agg(distinct s, ' | ' order by s) from d join h using (t) where t not in (select t from done where t is not null) group by 2""",
+    "cagr": "with e as (select arg_min(documents, year) as a, arg_max(documents, year) as b, max(year) - min(year) as n from {yearly}) select case when n > 0 and a > 0 then r2((pow(b * 1.0 / a, 1.0 / n) - 1) * 100) end as cagr from e",
+    "agr": "select year, documents, case when lag(documents) over (order by year) > 0 then r2(100.0 * (documents - lag(documents) over (order by year)) / lag(documents) over (order by year)) end as agr, sum(documents) over (order by year)::bigint as cumulative from {yearly}",
+    "rgr_doubling_time": "with a as (select year, documents, sum(documents) over (order by year)::bigint as cumulative from {yearly}), b as (select *, ln(cumulative) as l, ln(cumulative) - lag(ln(cumulative)) over (order by year) as q from a) select year, documents, cumulative, r4(l) as ln_cumulative, r4(q) as rgr, case when q > 0 then r2(ln(2) / q) end as doubling_time from b",
+    "collaboration_indicators": """with s as (select count(*) as n, sum(case when j = 1 then 1 else 0 end) as one, sum(j) as signed, sum(1.0::double / j) as parts, max(j) as most from {perdoc}), a as (select count(distinct coalesce(scopus_id, 'name:' || name)) as a from authors)
+select n as documents, one::bigint as single_authored, (n - one)::bigint as multi_authored, r4((n - one) * 1.0 / n) as degree_of_collaboration, r4(signed * 1.0 / n) as collaboration_index, r4(1 - parts / n) as collaborative_coefficient, r4((1 - parts / n) * a / (a - 1)) as modified_collaborative_coefficient, a as authors, r4(n * 1.0 / a) as aapp, most as max_authors from s, a""",
+    "authorship_pattern": "select j as authors, count(*) as documents, r2(100.0 * count(*) / sum(count(*)) over ()) as share from {perdoc} group by 1",
+    "authorship_groups": "with rows as (select case when j >= 4 then '4 authors or more' when j = 1 then '1 author' else j || ' authors' end as k, c from {docs} join {perdoc} using (eid)), cat as (select * from (values (1, '1 author'), (2, '2 authors'), (3, '3 authors'), (4, '4 authors or more')) t(place, name)) select name as \"group\", place::bigint as min_authors, documents, " + _SHARES + f" from ({_CAT})",
+    "cai": """with y as (select eid, min(year) as year from {docs} where year is not null group by 1), p as (select least(j, 4) as band, year from {perdoc} join y using (eid)), b as (select min(year) as y0, max(year) as y1 from p), q as (select (year - y0) // 5 as block, band, y0, y1 from p, b),
+t as (select band, count(*) as n from q group by 1), s as (select block, any_value(y0) + block * 5 as a, least(any_value(y0) + block * 5 + 4, any_value(y1)) as z, count(*) as n, count(*) filter (band = 1) as b1, count(*) filter (band = 2) as b2, count(*) filter (band = 3) as b3, count(*) filter (band = 4) as b4 from q group by 1)
+select case when z > a then a || '-' || z else a::varchar end as period, n as documents, b1 as single, b2 as two, b3 as three, b4 as multi, """ + ", ".join(f"r1((b{i}::double / n) / (((select n from t where band = {i})::double) / (select sum(n) from t)) * 100) as cai_{name}" for i, name in enumerate(("single", "two", "three", "multi"), 1)) + " from s",
+    "price_law": """with a as (select key, count(distinct eid) as d from {au} where key is not null group by 1), r as (select d, row_number() over (order by d desc, key) as i, sum(d) over (order by d desc, key rows unbounded preceding) as s from a), w as (select count(*) as n, sum(d)::bigint as t, round_even(sqrt(count(*)), 0)::bigint as core from a)
+select n as authors, t as contributions, core as core_authors, (select sum(d)::bigint from r where i <= core) as core_contributions, r1(100.0 * (select sum(d) from r where i <= core) / t) as observed_share, (select min(i) from r where s >= t / 2.0) as authors_for_half, r1(100.0 * (select sum(d) from r where i <= core) / t) >= 50 as holds from w""",
+    "documents_by_affiliation_count": "select coalesce(k, 0) as affiliations, count(*) as documents, r1(100.0 * count(*) / sum(count(*)) over ()) as share from (select distinct eid from documents) left join (select eid, count(distinct trim(parent1)) as k from affiliations where length(trim(parent1)) > 0 group by 1) using (eid) group by 1",
+    "lotka_table": "with a as (select key, count(distinct eid) as d from {au} where key is not null group by 1), l as (select d, count(*) as n from a group by 1) select d as documents_written, n as n_authors, r2(100.0 * n / sum(n) over ()) as share_observed, r2(600.0 / (pi() * pi()) / (d * d)) as share_lotka, coalesce((select n from l where d = 1), 0) as single_document_authors from l",
+    "lotka_fit": "with a as (select key, count(distinct eid) as d from {au} where key is not null group by 1), l as (select log10(d) as x, log10(count(*)) as y from a group by d) select r3(-regr_slope(y, x)) as exponent, r3(pow(10, regr_intercept(y, x))) as constant, r4(regr_r2(y, x)) as r2 from l",
+    "bradford": "with s as (select source, count(distinct eid) as d from {srcpair} group by 1), q as (select *, row_number() over w as i, sum(d) over (w rows unbounded preceding)::bigint as c, sum(d) over () as t from s window w as (order by d desc, source)) select i as rank, source, d as documents, c as cumulative, least(3, (c - d) * 3 // t + 1)::bigint as zone from q",
+    "bradford_zones": "with s as (select source, count(distinct eid) as d from {srcpair} group by 1), q as (select *, sum(d) over (order by d desc, source rows unbounded preceding) as c, sum(d) over () as t from s), z as (select least(3, (c - d) * 3 // t + 1)::bigint as zone, count(*) as sources, sum(d)::bigint as documents from q group by 1) select zone, sources, documents, r2(sources * 1.0 / lag(sources) over (order by zone)) as multiplier from z",
+    "zipf": "with k as (select norm, count(distinct eid) as f from {kwa} group by 1), q as (select *, row_number() over (order by f desc, norm) as i from k), t as (select regr_slope(log10(f), log10(i)) as s, regr_intercept(log10(f), log10(i)) as a from q) select i as rank, n.name as keyword, f as frequency, r2(pow(10, a + s * log10(i))) as predicted from q join {kwname} n using (norm), t where i <= 100",
+    "zipf_fit": "with k as (select norm, count(distinct eid) as f from {kwa} group by 1), q as (select log10(f) as y, log10(row_number() over (order by f desc, norm)) as x from k) select r3(-regr_slope(y, x)) as exponent, r3(pow(10, regr_intercept(y, x))) as constant, r4(regr_r2(y, x)) as r2 from q",
+    "concentration_summary": " union all ".join(map(_concentration, ("authors", "institutions", "countries", "sources", "cities"))),
+    "lorenz": "with q as (select d, row_number() over (order by d, e) as i, sum(d) over (order by d, e rows unbounded preceding) as s, count(*) over () as n, sum(d) over () as t from (" + _levels("authors") + ")), k as (select distinct floor(u * n / 39.0)::bigint as i from (select unnest(range(0, 40)) as u) cross join (select any_value(n) as n from q)) select 0.0 as population_share, 0.0 as value_share union all select r4(i * 1.0 / n), r4(s * 1.0 / t) from q join k using (i)",
+    "price_index": "select count(*) as references, r2(100.0 * sum(case when age < 5 then 1 else 0 end) / count(*)) as price_index, r1(median(age)) as median_age, r2(avg(age)) as mean_age, r1(median(age)) as half_life from {ages}",
+    "price_index_by_year": "select year, (select count(distinct r.eid) from doc_references r join {docs} d on d.eid = r.eid where r.ref_year is not null and d.year = a.year) as documents, count(*) as references, r2(100.0 * sum(case when age < 5 then 1 else 0 end) / count(*)) as price_index, r1(median(age)) as median_age from {ages} a group by 1",
+    "reference_age_distribution": "with g as (select unnest(range(0, least(max(age), 40) + 1)) as age from {ages}), c as (select age, count(*) as n from {ages} group by 1), s as (select g.age, coalesce(n, 0) as n, r2(100.0 * coalesce(n, 0) / (select count(*) from {ages})) as share from g left join c on c.age = g.age) select age, n as references, share, r2(sum(share) over (order by age)) as cumulative_share from s",
+    "reference_spectroscopy": """with r as (select *, ref_year::bigint as year from doc_references where ref_year >= 1800 and ref_year <= (select max(year) from documents)), g as (select unnest(range(min(year), max(year) + 1)) as year from r), c as (select g.year, count(r.eid) as n from g left join r on r.year = g.year group by 1),
+m as (select year, n, median(n) over (order by year rows between 2 preceding and 2 following) as m from c), l as (select median(n - m) as v from m where n > m),
+t as (select year, concat_ws(': ', case when length(trim(ref_authors)) > 0 then trim(ref_authors) end, case when length(trim(ref_title)) > 0 then trim(ref_title) end) as s, count(*) as k from r where length(trim(ref_authors)) > 0 or length(trim(ref_title)) > 0 group by 1, 2), b as (select year, arg_min(s || ' (' || k || '×)', (-k, s)) as top_reference from t group by 1)
+select m.year, n as references, r1(m) as median_5, r1(n - m) as deviation, coalesce(n > m and n - m >= v, false) as is_peak, top_reference from m cross join l left join b on b.year = m.year""",
+    "citation_pairs": "select * from {cites}", "local_citations": "select eid, n as local_citations from {local}",
+    "most_local_cited_authors": "select name as author, sum(n)::bigint as local_citations, count(*) as documents from (select distinct name, eid from authors where length(trim(name)) > 0) join {local} using (eid) group by 1 having sum(n) > 0 order by 2 desc, 3 desc, 1 limit 20",
+    "most_local_cited_sources": "select source, sum(n)::bigint as local_citations, count(*) as documents from {srcpair} join {local} using (eid) group by 1 having sum(n) > 0 order by 2 desc, 3 desc, 1 limit 20",
+    "most_local_cited_documents": """with c as (select eid, min(title) as title, min(year) as year, min(source) as source, max(c) as citations from {docs} group by 1), q as (select *, upper(coalesce(first_author, '?')) || ', ' || coalesce(year::varchar, 'n.d.') as base from c join {local} l using (eid) left join {firstau} f using (eid) where n > 0), k as (select *, row_number() over (partition by base order by title, eid) as k from q)
+select case when k = 1 then base when k <= 26 then base || '-' || chr((k + 96)::int) else base || '-' || k end as label, title, first_author, year, source, n as local_citations, citations as global_citations, case when citations > 0 then r2(100.0 * n / citations) end as lc_gc_ratio, r2(n * 1.0 / (y1 - year + 1)) as local_citations_per_year from k cross join {last} order by n desc, citations desc, eid limit 20""",
+    "self_citation_summary": " union all ".join(f"select '{level}' as level, (select count(*) from {{cites}}) as citations, n as self_citations, (select count(*) from {{cites}}) - n as external, r1(100.0 * n / (select count(*) from {{cites}})) as self_rate from (select count(*) as n from (select distinct p.citing, p.cited from {{cites}} p join {pairs} a on a.eid = p.citing join {pairs} b on b.eid = p.cited and a.{key} = b.{key}))" for level, pairs, key in (("authors", "{au}", "key"), ("institutions", "{org}", "org"), ("countries", "{cc}", "country"))),
+    "authors_self_citation": """with o as (select distinct eid, key from {au} where key is not null), r as (select b.key, count(*) as n, count(a.key) as s from {cites} p join o b on b.eid = p.cited left join o a on a.eid = p.citing and a.key = b.key group by 1)
+select name as author, (select count(*) from o where o.key = r.key) as documents, n as local_citations, s as self_citations, n - s as external_citations, r1(100.0 * s / n) as self_rate from r join {auname} using (key) order by 4 desc, 3 desc, key limit 20""",
+    "country_map": "with s as (select eid, count(*) as k from {cc} group by 1) select country, count(distinct p.eid) as documents, coalesce(sum(c), 0)::bigint as citations, count(distinct case when k = 1 then p.eid end) as sca, count(distinct case when k > 1 then p.eid end) as mca, r4(count(distinct case when k > 1 then p.eid end) * 1.0 / count(distinct p.eid)) as mca_ratio, null::varchar as map_name, null::double as lon, null::double as lat from {cc} p join s using (eid) left join {docs} d on d.eid = p.eid group by 1",
+    "trend_topics": "with y as (select eid, min(year) as year from {docs} where year is not null group by 1), k as (select distinct norm, eid, year from {kwa} join y using (eid)) select name as keyword, count(*) as documents, round_even(quantile_cont(year, 0.25), 0)::bigint as year_q1, round_even(quantile_cont(year, 0.5), 0)::bigint as year_median, round_even(quantile_cont(year, 0.75), 0)::bigint as year_q3 from k join {kwname} using (norm) group by norm, name having count(*) >= 2 order by 2 desc, norm limit 25",
+    "three_fields": """with a as (select distinct eid, name as v from authors where length(trim(name)) > 0), b as (select distinct eid, name as v from {kwa} join {kwname} using (norm)), c as (select eid, source as v from {srcpair}), """ + ", ".join(f"{x}_top as (select {x}.* from {x} join (select v from {x} group by 1 order by count(*) desc, 1 limit 10) using (v))" for x in "abc") + """
+select x.v as source, y.v as target, count(distinct eid) as value, 0::bigint as depth from a_top x join b_top y using (eid) group by 1, 2 union all select x.v, y.v, count(distinct eid), 1 from b_top x join c_top y using (eid) group by 1, 2""",
+    "authors_over_time": """with p as (select distinct name, eid from authors where length(trim(name)) > 0), r as (select * from p join {docs} using (eid) where year is not null), t as (select name from r group by 1 order by count(distinct eid) desc, 1 limit 12), k as (select name, year, count(distinct eid) as d, sum(c)::bigint as c from r join t using (name) group by 1, 2)
+select name as author, year, d as documents, c as citations, r2(c * 1.0 / (y1 - year + 1)) as citations_per_year, sum(d) over (partition by name order by year)::bigint as cumulative from k cross join {last}""",
+    "average_citations_per_year": "select year, count(distinct eid) as documents, r2(avg(c)) as mean_citations, any_value(y1) - year + 1 as citable_years, r2(avg(c) / (any_value(y1) - year + 1)) as mean_citations_per_year from {docs} cross join {last} where year is not null group by year",
+    "access_status": "with rows as (select case when regexp_matches(lower(coalesce(open_access, '')), '\\b(gold|hybrid|bronze|green)\\b|\\bopen\\s*access\\b') then 'Open access' else 'Not flagged' end as k, c from {docs}), cat as (select * from (values (0, 'Open access'), (1, 'Not flagged')) t(place, name)) select name as status, documents, " + _SHARES + f" from ({_CAT})",
+    "access_routes": """with o as (select lower(coalesce(open_access, '')) as t, c from {docs}), rows as (select * from o where regexp_matches(t, '\\b(gold|hybrid|bronze|green)\\b|\\bopen\\s*access\\b')), x as (""" + " union all ".join(f"select {i} as place, '{r}' as route, count(*) as documents, coalesce(sum(c), 0)::bigint as citations from rows where regexp_matches(t, '\\b{r.lower()}\\b')" for i, r in enumerate(("Gold", "Hybrid", "Bronze", "Green"))) + """ union all select 4, 'Unspecified', count(*), coalesce(sum(c), 0)::bigint from rows where not regexp_matches(t, '\\b(gold|hybrid|bronze|green)\\b'))
+select route, documents, r1(100.0 * documents / (select count(*) from rows)) as share_of_open, citations, case when documents > 0 then r2(citations * 1.0 / documents) else 0.0 end as citations_per_document from x""",
+    "access_over_time": "select year, count(*) as documents, sum(o)::bigint as open_access, r1(100.0 * sum(o) / count(*)) as share from (select year, case when regexp_matches(lower(coalesce(open_access, '')), '\\b(gold|hybrid|bronze|green)\\b|\\bopen\\s*access\\b') then 1 else 0 end as o from {docs} where year is not null) group by 1",
+    "co_word_edges": _pairs(_WORDS, 50, 2) + " select * from edges", "co_word_nodes": _pairs(_WORDS, 50, 2) + _nodes("n.name", "join {kwname} n on n.norm = t.key"),
+    "co_authorship_edges": _pairs("select distinct eid, key from {au} where key is not null", 50, 1) + " select * from edges", "co_authorship_nodes": _pairs("select distinct eid, key from {au} where key is not null", 50, 1) + _nodes("n.name", "join {auname} n on n.key = t.key"),
+    "co_institution_edges": _pairs("select distinct eid, org as key from {org}", 50, 1) + " select * from edges", "co_country_edges": _pairs("select eid, country as key from {cc}", 50, 1) + " select * from edges",
+    "co_city_edges": _pairs("select eid, city as key from {city}", 50, 1) + " select e.source, e.target, e.weight, case when a.country = b.country then 'national' else 'international' end as scope from edges e left join {cityname} a on a.city = e.source left join {cityname} b on b.city = e.target",
+    "co_citation_edges": _pairs("select distinct eid, key from {works} where key is not null", 50, 2) + " select * from edges",
+    "co_citation_authors_edges": _pairs("select distinct eid, lower(trim(split_part(replace(ref_authors, ',', ';'), ';', 1))) as key from doc_references where length(trim(split_part(replace(ref_authors, ',', ';'), ';', 1))) >= 2", 50, 2) + " select * from edges",
+    "bibliographic_coupling_edges": "with m as (select distinct eid, key from {works} where key is not null), top as (select eid from m group by 1 order by count(*) desc, 1 limit 50), f as (select * from m join top using (eid)) select a.eid as source, b.eid as target, count(*) as weight from f a join f b on a.key = b.key and a.eid < b.eid group by 1, 2 having count(*) >= 2",
+    "historiograph_edges": "with t as (select eid from {local} where n > 0 order by n desc, eid limit 25) select citing as source, cited as target from {cites} where citing in (select eid from t) and cited in (select eid from t)",
+    "filtered_production": "with w as (select country from (select country, count(distinct p.eid) as n, coalesce(sum(c), 0) as s from {cc} p left join {docs} d on d.eid = p.eid group by 1) order by n desc, s desc, country limit 2), f as (select * from {docs} where year between 2015 and 2025 and doc_type = 'Article' and eid in (select eid from affiliations where country in (select country from w))), g as (select unnest(range(min(year), max(year) + 1)) as year from f) select g.year, count(distinct f.eid) as documents, coalesce(sum(f.c), 0)::bigint as citations, case when count(distinct f.eid) > 0 then r2(coalesce(sum(f.c), 0) * 1.0 / count(distinct f.eid)) end as citations_per_doc, sum(count(distinct f.eid)) over (order by g.year)::bigint as cumulative from g left join f on f.year = g.year group by g.year",
+    "unified_keywords": "with k as (select *, lower(keyword) as l from keywords where keyword is not null), b as (select kind, l, keyword from (select kind, l, keyword, row_number() over (partition by kind, l order by count(*) desc, keyword) as r from k group by 1, 2, 3) where r = 1) select b.keyword, kind, count(*) as rows from k join b using (kind, l) group by 1, 2",
+}
+for _name, _pairs_of, _limit in (("top_institutions", "{orgpair}", 20), ("top_units", "{unitpair}", 20)):
+    SQL[_name] = f"with n as (select org, country from (select org, country, row_number() over (partition by org order by count(*) desc, country) as k from {_pairs_of} where country is not null group by 1, 2) where k = 1) select p.org as institution, count(distinct p.eid) as documents, coalesce(sum(c), 0)::bigint as citations, any_value(n.country) as country from {_pairs_of} p left join {{docs}} d on d.eid = p.eid left join n on n.org = p.org group by 1 order by 2 desc, 3 desc, 1 limit {_limit}"
+SQL["institutions_impact"] = "with n as (select org, country from (select org, country, row_number() over (partition by org order by count(*) desc, country) as k from {orgpair} where country is not null group by 1, 2) where k = 1) select k as institution, documents, citations::bigint as citations, h as h_index, g as g_index, " + _M + " as m_index, first_year, n.country from (" + _impact("{orgpair}", "org") + ") s left join n on n.org = s.k cross join {last} order by 4 desc, 3 desc, 2 desc, 1 limit 20"
+_NORMAL = {"association": "w / (a * b)", "jaccard": "w / (a + b - w)", "salton": "w / sqrt(a * b)", "inclusion": "w / least(a, b)", "equivalence": "w * w / (a * b)"}
+for _name, _formula in _NORMAL.items():
+    SQL[f"co_word_{_name}"] = _pairs(_WORDS, 50, 2) + f" select source, target, r6({_formula}) as weight, raw_weight from (select e.source, e.target, e.weight as raw_weight, e.weight::double as w, x.occurrences::double as a, y.occurrences::double as b from edges e join top x on x.key = e.source join top y on y.key = e.target)"
+for _unit, _members in (("sources", "select eid, source as key from {srcpair}"), ("countries", "select eid, country as key from {cc}")):
+    SQL[f"citation_network_{_unit}_edges"] = f"with m as ({_members}), e as (select a.key as source, b.key as target, count(*) as weight from {{cites}} p join m a on a.eid = p.citing join m b on b.eid = p.cited where a.key <> b.key group by 1, 2), t as (select k from (select source as k, weight from e union all select target, weight from e) group by 1 order by sum(weight) desc, 1 limit 40) select * from e where source in (select k from t) and target in (select k from t)"
+SQL["citation_balance"] = "with e as (" + SQL["citation_network_sources_edges"] + "), s as (select label, sum(i)::bigint as received, sum(o)::bigint as emitted from (select target as label, weight as i, 0 as o from e union all select source, 0, weight from e) group by 1) select label, received, emitted, received - emitted as balance from s"
+
+
+def _expand(sql: str) -> str:
+    """Replace every {part} by a table expression named after it."""
+    sql = sql.replace("{docs_}", "documents")
+    used: list[str] = []
+
+    def visit(text: str) -> str:
+        for name in re.findall(r"\{(\w+)\}", text):
+            if name in PARTS and name not in used:
+                visit(PARTS[name])
+                if name not in used:
+                    used.append(name)
+        return re.sub(r"\{(\w+)\}", lambda m: f"part_{m.group(1)}" if m.group(1) in PARTS else m.group(), text)
+
+    body = visit(sql)
+    parts = ", ".join(f"part_{n} as materialized ({visit(PARTS[n])})" for n in used)
+    if not parts:
+        return _rounding(body)
+    head, tail = ("with ", body[5:].lstrip()) if body.startswith("with ") else ("", body)
+    return _rounding(f"with {parts}{', ' if head else ' '}{tail}")
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: _expand(sql) for name, sql in SQL.items()}
