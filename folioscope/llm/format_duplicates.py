@@ -46,10 +46,12 @@ def _places(hashes: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray, np
 
 
 def _bitmap(block: np.ndarray, first: np.ndarray, second: np.ndarray) -> dict[int, np.ndarray]:
-    out = {}
+    out: dict[int, np.ndarray] = {}
+    if not len(block):
+        return out
     order = np.argsort(block, kind="stable")
     block, first, second = block[order], first[order], second[order]
-    starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else []
+    starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
     for begin, end in zip(starts, [*starts[1:], len(block)], strict=True):
         bits = np.zeros(BLOCK_BITS, dtype=np.uint8)
         bits[first[begin:end]] = 1

@@ -138,8 +138,8 @@ def anchors_of(item: Item, frequency: np.ndarray, most: float) -> np.ndarray:
     return np.sort(order[: max(2, -(-len(order) // 4), rare)])
 
 
-def chain(offsets: np.ndarray, places: np.ndarray, gap: int) -> list[tuple[int, int, list[int]]]:
-    """Stretches of matches that advance together, best first: first and last offset, and the matched offsets.
+def chain(offsets: np.ndarray, places: np.ndarray, gap: int) -> list[tuple[list[int], list[int]]]:
+    """Stretches of matches that advance together, the longest first: the matched offsets and their places.
 
     Between two matches at most `gap` words of the item and as many of the document may be missing, and they may differ by two.
     """
@@ -165,7 +165,7 @@ def chain(offsets: np.ndarray, places: np.ndarray, gap: int) -> list[tuple[int,
             k = back[k]
         if len(path) >= 4:
             path.reverse()
-            found.append((at[path[0]], at[path[-1]], [off[k] for k in path]))
+            found.append(([off[k] for k in path], [at[k] for k in path]))
     return found
 
 
@@ -175,7 +175,7 @@ def stretches(offsets: np.ndarray, places: np.ndarray, rare: np.ndarray, size: i
     Each stretch is cut to its best part: a rare word inside it that matches counts for it, one that doesn't against it.
     """
     kept = []
-    for begin, end, path in chain(offsets, places, gap):
+    for path, spots in chain(offsets, places, gap):
         matched = set(path)
         inside = [o for o in range(path[0], path[-1] + 1) if rare[o]]
         # best run of rare words, a miss weighing inner/(1-inner) of a match: any run kept has more than `inner` of them matched
@@ -194,21 +194,20 @@ def stretches(offsets: np.ndarray, places: np.ndarray, rare: np.ndarray, size: i
             a -= 1
         while b + 1 < len(path) and path[b + 1] <= path[b] + 2:
             b += 1
-        kept.append((path[a], path[b], begin, end))
+        kept.append((path[a], path[b], spots[a], spots[b]))
     best, count = 0, 0
     for i, (a, b, p, q) in enumerate(kept):
         if b - a + 1 > best:
             best, count = b - a + 1, 1
         for c, d, r, s in kept[:i]:
-            if (b < c and q < r) or (d < a and s < p):
-                if (both := b - a + d - c + 2) > best:
+            # the later in the item must be the later in the text; words both span count once
+            if (a < c and b < d and q < r) or (c < a and d < b and s < p):
+                both = b - a + d - c + 2 - max(0, min(b, d) - max(a, c) + 1)
+                if both > best:
                     best, count = both, 2
     return best / size, count
 
 
-_RESULT = ("coverage double", "stretches int")
-
-
 def find(
     documents: DataFrame, id_col: str, text_col: str, items: DataFrame, item_id_col: str, item_text_col: str, *,
     share: float = 0.5, rare_share: float = 0.1, slack: int = 3, gap: int = 3, inner: float = 0.6, shared_by: int = 3, report_from: float | None = None,

@@ -138,13 +138,12 @@ def repair(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     Texts that are not returned are already in the consistent form.
     """
     ship_package(texts.sparkSession)
-    found = durable(scan(texts, id_col, text_col), "stand-ins")
+    found = durable(scan(texts, id_col, text_col).withColumn("_row", F.monotonically_increasing_id()), "stand-ins")
     wanted = found.select(F.explode("_tokens").alias("t")).select(F.lower("t.word").alias("word"))
     known = known_words(texts, text_col, wanted)
-    tokens = found.select("_id", F.posexplode("_tokens").alias("_pos", "t")).withColumn("word", F.lower("t.word"))
-    resolved = tokens.join(known, "word").groupBy("_id", "_pos").agg(F.first("t").alias("t"))
-    resolved = resolved.groupBy("_id").agg(F.array_sort(F.collect_list("t")).alias("_fixes"))
-    joined = found.join(resolved, "_id", "left")
+    tokens = found.select("_row", F.posexplode("_tokens").alias("_pos", "t")).withColumn("word", F.lower("t.word"))
+    resolved = tokens.join(known, "word").groupBy("_row").agg(F.array_sort(F.collect_list("t")).alias("_fixes"))
+    joined = found.join(resolved, "_row", "left")
 
     @F.pandas_udf("string")
     def rewritten(text: pd.Series, fixes: pd.Series) -> pd.Series:

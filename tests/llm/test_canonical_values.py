@@ -6,7 +6,7 @@ from folioscope.llm import canonical_values as cv
 LIST = [
     ("NA", "North Avaland", None, "Republic of North Avaland"), ("SA", "South Avaland, Kingdom of", "South Avaland", "Kingdom of South Avaland"),
     ("BR", "Brálistan", "Brálistan", "Republic of Brálistan"), ("SG", "Saint Gorimund", None, "Kingdom of Saint Gorimund"), ("CI", "Coribol Islands", "Coribol Islands", None), ("XX", None, None, None),
-    ("DI", "Dorimal Islands", None, None), ("SH", "Saint Hulimar", None, None),
+    ("NU", "North Umbrel", None, None), ("SU", "South Umbrel", None, None), ("DI", "Dorimal Islands", None, None), ("SH", "Saint Hulimar", None, None),
 ]
 
 

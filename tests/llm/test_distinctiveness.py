@@ -4,14 +4,14 @@ from folioscope.llm import distinctiveness as di
 
 
 def test_occurrences():
-    assert di.occurrences("fuel, fuels; (fuel) 2fuel fuel", "fuel") == [0, 13, 25]
+    assert di.occurrences("fuel, fuels; (fuel) 2fuel fuel", "fuel") == [0, 14, 26]
     assert di.occurrences("αfuelβ", "fuel") == [1]
     assert di.occurrences("", "fuel") == []
 
 
 def test_degrees():
     text = "Dense fuel burns. Dense FUEL burns! A dense fuel cools slowly over night."
-    assert list(di.degrees(text, ["dense fuel", "night", "absent"], 2)) == [("dense fuel", 3, 5), ("night", 1, 2), ("absent", 0, 0)]
+    assert list(di.degrees(text, ["dense fuel", "night", "absent"], 2)) == [("dense fuel", 3, 6), ("night", 1, 2), ("absent", 0, 0)]
 
 
 def brute(terms, texts):
