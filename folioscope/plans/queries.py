@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import folioscope.graph.measures
+import folioscope.graph.themes
 import folioscope.operators  # noqa: F401
 from folioscope.corpus import Corpus
 from folioscope.operators.networks import normalize
@@ -73,4 +75,7 @@ def queries() -> dict[str, Query]:
     found |= {name: _table(name, {}) for name in JOURNALS}
     found |= {"filtered_production": _filtered, "unified_keywords": _unified}
     found |= {"trend_forecast_table": _part("trend_forecast", {"this_year": 2026}, 0), "trend_forecast_fit": _part("trend_forecast", {"this_year": 2026}, 1)}
+    found |= {"network_metrics": lambda spark, directory: (c := Corpus.read(spark, directory)).network_metrics(c.co_word(), "keywords")[0]}
+    found |= {name: _part(name, {}, 0) for name in ("thematic_map", "conceptual_structure", "topic_dendrogram", "clustering_by_coupling")}
+    found |= {"thematic_evolution": _part("thematic_evolution", {}, 1), "thematic_flows": _part("thematic_evolution", {}, 2)}
     return found
