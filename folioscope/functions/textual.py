@@ -50,14 +50,14 @@ def unaccented(column: Column) -> Column:
 
 def plain_title(column: Column) -> Column:
     """Lower-case letters, digits and single spaces of an unaccented text; null where nothing is left."""
-    out = F.trim(F.regexp_replace(F.regexp_replace(F.lower(unaccented(column)), "[^a-z0-9 ]", " "), " +", " "))
-    return F.when(out != "", out)
+    out = F.trim(F.regexp_replace(F.lower(unaccented(column)), "[^a-z0-9]+", " "))
+    return F.nullif(out, F.lit(""))
 
 
 def plain_doi(column: Column) -> Column:
     """The DOI inside a cell, lower case, without closing punctuation; null where there is none."""
     out = F.rtrim(F.lower(F.regexp_extract(column, r"(10\.\d{4,9}/\S+)", 1)), F.lit(".,;)"))
-    return F.when(out != "", out)
+    return F.nullif(out, F.lit(""))
 
 
 def without_copyright(column: Column) -> Column:

@@ -25,12 +25,13 @@ def citation_pairs(c: Corpus) -> DataFrame:
     by_doi = docs.where("doi is not null").groupBy("doi").agg(F.min("eid").alias("cited"))
     by_title = docs.where(F.length("title") >= _LONG_TITLE).groupBy("title").agg(F.min("eid").alias("cited"))
     refs = c.references.select(F.col("eid").alias("citing"), plain_doi(F.col("ref_doi")).alias("doi"), plain_title(F.col("ref_title")).alias("title"))
-    first = refs.where("doi is not null").select("citing", "doi").distinct().join(by_doi, "doi").select("citing", "cited", F.lit("doi").alias("via"))
-    known = by_doi.select("doi")
-    # a reference whose DOI is known here is settled; the others are looked up by title
-    rest = refs.where("doi is null").unionByName(refs.where("doi is not null").join(known, "doi", "left_anti"))
-    second = rest.where(F.length("title") >= _LONG_TITLE).select("citing", "title").distinct().join(by_title, "title").select("citing", "cited", F.lit("title").alias("via"))
-    pairs = first.unionByName(second).where("citing <> cited").groupBy("citing", "cited").agg(F.min("via").alias("via")).cache()
+    # one pass over the references: looked up by DOI, and where that names no document here, by title; missing keys are spread
+    spread = F.concat(F.lit("#"), F.pmod(F.xxhash64("citing", "title"), F.lit(997)).cast("string"))
+    found = refs.withColumn("k", F.coalesce("doi", spread)).join(by_doi.select(F.col("doi").alias("k"), F.col("cited").alias("d")), "k", "left")
+    found = found.withColumn("k", F.coalesce(F.when(F.col("d").isNull() & (F.length("title") >= _LONG_TITLE), F.col("title")), spread))
+    found = found.join(by_title.select(F.col("title").alias("k"), F.col("cited").alias("t")), "k", "left").where("d is not null or t is not null")
+    found = found.select("citing", F.coalesce("d", "t").alias("cited"), F.when(F.col("d").isNotNull(), "doi").otherwise("title").alias("via"))
+    pairs = found.where("citing <> cited").groupBy("citing", "cited").agg(F.min("via").alias("via")).cache()
     c.kept["citation_pairs"] = pairs
     return pairs
 
