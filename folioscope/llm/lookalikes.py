@@ -61,8 +61,9 @@ _TOKEN = re.compile(r"[^\W\d_]+")
 _PLAIN_LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏḀ-ỿ]")
 _OTHER_LETTERS = re.compile(r"[^\W\d_A-Za-zªµºÀ-ÖØ-öø-ɏḀ-ỿıɩ]|[ıɩ]")
 _SUSPECT = re.compile(f"[{''.join(sorted(LOOKALIKES))}]")
-#: Java's form of "has something to look at", for a first pass that keeps clean texts out of Python.
-NOT_PLAIN = "[^\\x09-\\x0d\\x20-\\x7e\\u00a1-\\u00ac\\u00ae-\\u00ff\\u2010-\\u2029\\u2030-\\u203e]"
+#: Something to look at: what is neither printable ASCII, a usual break, nor a character beyond it that stands for nothing else.
+_NOT_PLAIN = re.compile("[^\\t-\\r -~\u00a1-\u00ac\u00ae-\u00ff\u2010-\u2029\u2030-\u203e]")
+_LATIN_WORD = re.compile("[a-z\u00df-\u00f6\u00f8-\u024f\u0250-\u058f]+")
 
 
 def unify(text: str) -> tuple[str, dict[str, int]]:
@@ -110,6 +111,8 @@ def scan(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for rows in batches:
             out = []
             for key, text in zip(rows["_id"], rows["_text"], strict=True):
+                if not _NOT_PLAIN.search(text):
+                    continue
                 text, counts = unify(text)
                 tokens = [{"start": a, "stop": b, "word": w} for a, b, w in mixed_tokens(text)]
                 if counts or tokens:
@@ -118,17 +121,25 @@ def scan(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     kind = texts.schema[id_col].dataType.simpleString()
     picked = texts.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    return picked.where(F.col("_text").rlike(NOT_PLAIN)).mapInPandas(look, _REPORT.format(id=kind))
+    return picked.where("_text is not null").mapInPandas(look, _REPORT.format(id=kind))
 
 
 def known_words(texts: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
     """Those of `wanted` (column word, lower case) that some text writes wholly in plain Latin letters.
 
-    Every text is read; words are made distinct inside each partition before they are shuffled, so what moves is the
-    vocabulary and not the running text.
+    Every text is read; words are made distinct where they are read before they are shuffled, so what moves is the vocabulary and
+    not the running text.
     """
-    words = texts.select(F.explode(F.split(F.lower(F.col(text_col)), "[^a-z\\u00df-\\u00f6\\u00f8-\\u024f\\u0250-\\u058f]+")).alias("word"))
-    return words.where("word <> ''").distinct().join(wanted.distinct(), "word", "left_semi")
+
+    def spoken(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            found: set[str] = set()
+            for text in rows["_text"]:
+                found.update(_LATIN_WORD.findall(text.lower()))
+            yield pd.DataFrame({"word": sorted(found)})
+
+    words = texts.select(F.col(text_col).cast("string").alias("_text")).where("_text is not null").mapInPandas(spoken, "word string")
+    return words.distinct().join(wanted.distinct(), "word", "left_semi")
 
 
 def repair(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
