@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import re
 
+from folioscope.functions.textual import STOPWORDS
+
 # Rounding as the operators do it: half-even on the scaled value.
 _R = re.compile(r"\br(\d)\(")
 
@@ -243,6 +245,39 @@ for _unit, _members in (("sources", "select eid, source as key from {srcpair}"),
 SQL["citation_balance"] = "with e as (" + SQL["citation_network_sources_edges"] + "), s as (select label, sum(i)::bigint as received, sum(o)::bigint as emitted from (select target as label, weight as i, 0 as o from e union all select source, 0, weight from e) group by 1) select label, received, emitted, received - emitted as balance from s"
 
 
+_AGR = "select case when lag(documents) over (order by year) > 0 then r2(100.0 * (documents - lag(documents) over (order by year)) / lag(documents) over (order by year)) end as agr from {yearly}"
+_RGR = "select r4(q) as rgr, case when q > 0 then r2(ln(2) / q) end as d from (select ln(c) - lag(ln(c)) over (order by year) as q from (select year, sum(documents) over (order by year) as c from {yearly}))"
+_LINKS = "select a.key, a.eid, coalesce(o.org, a.eid || '#' || l.aff_pos) as org, o.org as named from {au} a join (select distinct eid, position, aff_pos from author_affiliations where aff_pos is not null) l on l.eid = a.eid and l.position = a.position left join (select eid, aff_pos, min(case when length(trim(parent1)) > 0 then trim(parent1) end) as org from affiliations group by 1, 2) o on o.eid = l.eid and o.aff_pos = l.aff_pos where a.key is not null"
+SQL |= {
+    "growth_summary": "with e as (select arg_min(documents, year) as a, arg_max(documents, year) as b, max(year) - min(year) as n from {yearly}) select case when n > 0 and a > 0 then r2((pow(b * 1.0 / a, 1.0 / n) - 1) * 100) end as cagr, (select r2(avg(agr)) from (" + _AGR + ")) as mean_agr, (select r4(avg(rgr)) from (" + _RGR + ")) as mean_rgr, (select r2(avg(d)) from (" + _RGR + ")) as mean_doubling_time from e",
+    "cochran_sample_size": "select count(*) as population, 1.96::double as z, ceil(1.96 * 1.96 * 0.25 / 0.0025)::bigint as sample_infinite, ceil((1.96::double * 1.96 * 0.25 / 0.0025) / (1 + (1.96::double * 1.96 * 0.25 / 0.0025 - 1) / count(*)))::bigint as sample_size from documents",
+    "authors_by_affiliation_count": "with l as (" + _LINKS + "), m as (select key, max(k) as k from (select key, eid, count(distinct org) as k from l group by 1, 2) group by 1), s as (select key, string_agg(named, '; ' order by named) as t from (select key, named, row_number() over (partition by key order by named) as r from (select distinct key, named from l where named is not null)) where r <= 6 group by 1) select name as author, (select min(scopus_id) from {au} a where a.key = l.key) as scopus_id, count(distinct eid) as documents, count(distinct named) as institutions, any_value(m.k) as max_in_one_document, any_value(s.t) as affiliations from l join m using (key) join s using (key) join {auname} using (key) group by l.key, name having count(distinct named) >= 2 order by 4 desc, 3 desc, l.key limit 20",
+    "affiliation_profile": "with d as (select coalesce(k, 0) as k from (select distinct eid from documents) left join (select eid, count(distinct trim(parent1)) as k from affiliations where length(trim(parent1)) > 0 group by 1) using (eid)), a as (select key, count(distinct named) as k from (" + _LINKS + ") group by 1 having count(distinct named) > 0) select (select count(*) from d) as documents, (select count(*) from d where k = 0) as documents_without, (select count(*) from d where k = 1) as documents_single, (select count(*) from d where k > 1) as documents_multiple, (select r2(avg(k)) from d where k > 0) as mean_per_document, (select max(k) from d) as max_per_document, (select count(*) from a) as authors, (select count(*) from a where k > 1) as authors_multiple, (select r2(avg(k)) from a) as mean_per_author, (select max(k) from a) as max_per_author, (select count(*) from affiliations) as affiliation_rows, (select count(*) from affiliations where labelled) as labelled_rows",
+    "access_summary": "with o as (select count(*) as n, count(*) filter (regexp_matches(lower(coalesce(open_access, '')), '\\b(gold|hybrid|bronze|green)\\b|\\bopen\\s*access\\b')) as k, count(*) filter (length(trim(open_access)) > 0) as f from documents) select n as documents, k as open_documents, k as reported, f as filled_cells, r1(100.0 * k / n) as open_share, case when k > 0 then 100.0 end as open_share_of_reported from o",
+    "trend_forecast_table": "with y as (select * from {yearly}), f as (select regr_slope(documents, year) as s, regr_intercept(documents, year) as i, max(year) as z from y) select year, documents, r2(greatest(i + s * year, 0)) as fitted, 'observed' as kind from y, f union all select z + k, null, r2(greatest(i + s * (z + k), 0)), 'forecast' from f, (select unnest(range(1, 6)) as k)",
+    "trend_forecast_fit": "with y as (select * from {yearly}), f as (select regr_slope(documents, year) as s, regr_intercept(documents, year) as i, count(*) as n, max(year) as z, avg(documents) as m from y), e as (select sum((documents - greatest(i + s * year, 0)) ** 2) as a, sum((documents - m) ** 2) as b from y, f) select 'linear' as model, r6(s) as slope, r4(i) as intercept, r4(1 - a / b) as r2, r2(sqrt(a / (n - 2))) as rmse, n as years, z >= 2026 as last_year_partial from f, e",
+    "quartile_distribution": "with s as (select trim(source) as s, count(distinct eid) as d, sum(c) as c from {docs} where length(trim(source)) > 0 group by 1), q as (select unnest(['Q1', 'Q2', 'Q3', 'Q4', 'Not indexed']) as quartile) select quartile, case when quartile = 'Not indexed' then (select count(*) from s) else 0 end as sources, case when quartile = 'Not indexed' then (select sum(d)::bigint from s) else 0 end as documents, case when quartile = 'Not indexed' then 100.0 else 0.0 end as share, case when quartile = 'Not indexed' then (select sum(c)::bigint from s) else 0 end as citations, case when quartile = 'Not indexed' then (select r2(sum(c) * 1.0 / sum(d)) from s) else 0.0 end as citations_per_document from q",
+    "scimago_coverage": "with s as (select trim(source) as s, count(distinct eid) as d from {docs} where length(trim(source)) > 0 group by 1) select count(*) as sources, 0 as matched_sources, 0 as matched_by_issn, 0 as matched_by_title, sum(d)::bigint as documents, 0 as matched_documents, 0.0 as source_share, 0.0 as document_share from s",
+    "historiograph_nodes": "with t as (select eid, n from {local} where n > 0 order by n desc, eid limit 25) select d.eid as id, min(title) as title, any_value(first_author) as first_author, min(year) as year, min(source) as source, any_value(t.n) as local_citations, max(c) as citations from {docs} d join t using (eid) left join {firstau} f using (eid) group by 1",
+}
+
+
+def _terms(size: int) -> str:
+    """(eid, term) of abstracts: single words, or pairs of neighbouring ones."""
+    stop = ", ".join(f"'{w}'" for w in STOPWORDS)
+    words = "select eid, unnest(w) as t, unnest(range(1, len(w) + 1)) as i, d from (select row_number() over () as d, eid, regexp_extract_all(lower(strip_accents(trim(regexp_replace(coalesce(abstract, ''), '(?is)(\\bcopyright\\s*)?[©ⓒ].*', '')))), '[a-z][a-z0-9\\-]+') as w from documents)"
+    good = f"length(x.t) > 2 and x.t not in ({stop})"
+    if size == 1:
+        return f"select distinct eid, x.t as term from ({words}) x where {good}"
+    return f"select distinct x.eid, x.t || ' ' || y.t as term from ({words}) x join ({words}) y on x.d = y.d and y.i = x.i + 1 where {good} and {good.replace('x.', 'y.')}"
+
+
+for _name, _size in (("top_terms", 1), ("top_bigrams", 2)):
+    SQL[_name] = f"with t as ({_terms(_size)}) select term, count(*) as documents, r1(100.0 * count(*) / (select count(*) from documents)) as share from t group by 1 having count(*) >= 2 order by 2 desc, 1 limit 50"
+SQL["text_trend"] = f"with t as ({_terms(2)}), y as (select eid, min(year) as year from {{docs}} where year is not null group by 1) select term, count(*) as documents, round_even(quantile_cont(year, 0.25), 0)::bigint as year_q1, round_even(quantile_cont(year, 0.5), 0)::bigint as year_median, round_even(quantile_cont(year, 0.75), 0)::bigint as year_q3 from t join y using (eid) group by 1 having count(*) >= 2 order by 2 desc, 1 limit 20"
+SQL["text_co_occurrence_edges"] = f"with t as ({_terms(2)}), often as (select term from t group by 1 having count(*) >= 2 order by count(*) desc, 1 limit 50), f as (select * from t join often using (term)) select a.term as source, b.term as target, count(*) as weight from f a join f b on a.eid = b.eid and a.term < b.term group by 1, 2 having count(*) >= 2"
+
+
 def _expand(sql: str) -> str:
     """Replace every {part} by a table expression named after it."""
     sql = sql.replace("{docs_}", "documents")
