@@ -110,9 +110,26 @@ where p.together * s.baskets >= 4 * x.n * y.n
 """
 
 
+P5_SQL = r"""
+with k as (
+  select doc_id, regexp_replace(lower(title), '[^\p{L}\p{N}\p{M}]+', '', 'g') t, regexp_replace(coalesce(nullif(regexp_extract(lower(doi), '10\.\d{3,9}\s*/\s*[^\s?#]+'), ''), lower(doi), ''), '[^\p{L}\p{N}]+', '', 'g') d
+  from documents where title is not null
+), r as (select doc_id, list_min(list_transform(range(1, length(t) + 1), lambda i: substr(t, i) || substr(t, 1, i - 1))) t, d from k where t <> '')
+select f.first_id, r.doc_id from r join (select t, d, min(doc_id) first_id from r group by 1, 2) f on f.t = r.t and f.d = r.d where f.first_id < r.doc_id
+"""
+
+P6_SQL = r"""
+with kw as (select distinct eid, lower(trim(keyword)) keyword from keywords where trim(keyword) <> ''), df as (select keyword, count(*) n from kw group by 1),
+d as (select eid, '  ' || regexp_replace(lower(abstract), '([^a-z0-9])', '\1\1', 'g') || '  ' t, lower(abstract) a from documents where abstract is not null)
+select distinct kw.eid, kw.keyword from kw join df using (keyword) join d using (eid)
+where n >= 2 and n * 20 < (select count(distinct eid) from documents) and contains(a, kw.keyword)
+  and len(regexp_extract_all(t, '[^a-z0-9]' || regexp_escape(regexp_replace(kw.keyword, '([^a-z0-9])', '\1\1', 'g')) || '[^a-z0-9]')) >= 3
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_SQL}
+    return {"p1_found": P1_SQL, "p5_found": P5_SQL, "p6_found": P6_SQL}
