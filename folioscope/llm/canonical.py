@@ -9,6 +9,10 @@ _DOI = re.compile(r"10\.\d{3,9}\s*/\s*[^\s?#]+")
 _WORD = re.compile(r"\w+")
 
 
+# What is written where a title is missing, letters only.
+NO_TITLE = ("notitle", "untitled", "notitleavailable", "titlenotavailable", "notavailable", "na", "none", "null", "nan", "unknown")
+
+
 def letters_and_digits(value: str) -> str:
     """Case-folded letters, digits and their marks of `value`, everything else removed."""
     if value.isascii():

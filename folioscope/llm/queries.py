@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm import canonical_values, cooccurrence, distinctiveness, entity_match, format_duplicates, leakage, lookalikes, packing, set_similarity
+from folioscope.llm.canonical import NO_TITLE
 from folioscope.runtime import durable, read_table
 
 
@@ -54,6 +55,7 @@ def p4_found(spark: SparkSession, directory: str) -> DataFrame:
     cited = read_table(spark, directory, "references", "eid", "ref_doi", "ref_title")
     doi = F.regexp_replace(F.regexp_extract(F.lower("ref_doi"), "10\\.\\d{3,9}\\s*/\\s*[^\\s?#]+", 0), "[^a-z0-9]", "")
     title = F.regexp_replace(F.lower("ref_title"), "[^\\p{L}\\p{N}\\p{M}]+", "")
+    title = F.when(~title.isin(*NO_TITLE), title)  # a placeholder would make one work of all that lack a title
     works = set_similarity.same_values(cited.select("eid", doi.alias("doi"), title.alias("title")), "eid", ["doi", "title"])
     members, pairs = set_similarity.similar_classes(durable(works, "cited-works"))
     return set_similarity.expand(members, pairs).select(F.col("rec_a").alias("eid_a"), F.col("rec_b").alias("eid_b"))
