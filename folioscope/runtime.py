@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -65,7 +66,8 @@ def ship_package(spark: SparkSession) -> None:
         return
     root = Path(__file__).resolve().parent
     shared = shared_dir(spark)
-    base = shared.removeprefix("file://") if shared.startswith(("/", "file://")) else tempfile.mkdtemp()
+    # a driver-side file is enough where the folder isn't mounted here: addPyFile serves it to the executors
+    base = re.sub("^file:/+", "/", shared) if shared.startswith(("/", "file:/")) else tempfile.mkdtemp()
     os.makedirs(base, exist_ok=True)
     target = f"{base}/folioscope-{uuid.uuid4().hex}.zip"
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
