@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -54,20 +53,26 @@ class Item:
     terms: np.ndarray
 
 
-def prepare_items(rows: list[tuple[object, str | None]], shared_by: int = 3) -> tuple[list[Item], dict[str, int]]:
-    """Items as term numbers without shared instructions, and the numbering of terms."""
-    split = [(key, _SENTENCE.split(text.strip(), maxsplit=1)) for key, text in rows if text and text.strip()]
-    openings = Counter(parts[0].lower() for _, parts in split)
+def prepare_items(rows: list[tuple[object, str | None, bool]]) -> tuple[list[Item], dict[str, int]]:
+    """Items (id, text, whether the opening is a shared instruction) as term numbers, and the numbering of terms."""
     vocabulary: dict[str, int] = {}
     items = []
-    for key, parts in split:
-        kept = parts[1:] if openings[parts[0].lower()] >= shared_by and len(parts) > 1 else parts
-        terms = [vocabulary.setdefault(w, len(vocabulary)) for w in plain_words(" ".join(kept))]
+    for key, text, shared in rows:
+        parts = _SENTENCE.split((text or "").strip(), maxsplit=1)
+        kept = parts[1] if shared and len(parts) > 1 else (text or "")
+        terms = [vocabulary.setdefault(w, len(vocabulary)) for w in plain_words(kept)]
         if len(terms) > 1:
             items.append(Item(key, np.array(terms, dtype=np.int32)))
     return items, vocabulary
 
 
+def with_instructions(items: DataFrame, shared_by: int) -> DataFrame:
+    """`_item`, `_text` and `_shared`: whether the item's opening sentence is that of `shared_by` items or more."""
+    opened = items.withColumn("_opening", F.lower(F.element_at(F.split(F.trim("_text"), _SENTENCE.pattern, 2), 1)))
+    often = opened.groupBy("_opening").agg(F.countDistinct("_item").alias("_n")).where(F.col("_n") >= shared_by)
+    return opened.join(often, "_opening", "left").select("_item", "_text", F.col("_n").isNotNull().alias("_shared"))
+
+
 def _pack(ids: list, terms: list[np.ndarray], places: list[np.ndarray], kind: type) -> tuple:
     docs = np.repeat(np.arange(len(ids), dtype=np.uint16), [len(t) for t in terms])
     term = np.concatenate(terms)
@@ -219,23 +224,24 @@ def find(
     spark = documents.sparkSession
     ship_package(spark)
     clean = items.select(F.col(item_id_col).alias("_item"), F.col(item_text_col).cast("string").alias("_text")).where("_item is not null")
-    # every item text once; the instructions are counted over all items, each pass then holds a bounded part of them
+    # instructions are counted over all items; each pass then holds a bounded part of them
+    clean = durable(with_instructions(clean, shared_by), "test-items")
     total = clean.count()
     passes = max(1, -(-total // ITEMS_PER_PASS))
     least = share if report_from is None else report_from
     results = []
     for k in range(passes):
         part = clean if passes == 1 else clean.where(F.pmod(F.xxhash64("_item"), F.lit(passes)) == k)
-        results.append(_find_part(documents, id_col, text_col, part, items.schema[item_id_col].dataType, item_id_col, shared_by, rare_share, slack, gap, inner, least))
+        results.append(_find_part(documents, id_col, text_col, part, items.schema[item_id_col].dataType, item_id_col, rare_share, slack, gap, inner, least))
     out = results[0]
     for more in results[1:]:
         out = out.unionByName(more)
     return out.groupBy(id_col, item_id_col).agg(F.max("coverage").alias("coverage"), F.max_by("stretches", "coverage").alias("stretches"))
 
 
-def _find_part(documents, id_col, text_col, part, item_kind, item_id_col, shared_by, rare_share, slack, gap, inner, least) -> DataFrame:
+def _find_part(documents, id_col, text_col, part, item_kind, item_id_col, rare_share, slack, gap, inner, least) -> DataFrame:
     spark = documents.sparkSession
-    prepared, vocabulary = prepare_items([(r._item, r._text) for r in part.collect()], shared_by)
+    prepared, vocabulary = prepare_items([(r._item, r._text, r._shared) for r in part.collect()])
     doc_kind = documents.schema[id_col].dataType
     schema = T.StructType([T.StructField(id_col, doc_kind), T.StructField(item_id_col, item_kind), T.StructField("coverage", T.DoubleType()), T.StructField("stretches", T.IntegerType())])
     if not prepared:
