@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions.components import components
@@ -34,7 +34,7 @@ def _overlapping(overlap: Column, a: Column, b: Column, threshold: float) -> Col
 def same_values(rows: DataFrame, record_col: str, key_cols: list[str]) -> DataFrame:
     """`rec`, `value` (long): values known by any of several keys, being one where any key is the same, also through others.
 
-    A row without a key is left out. Keys are compared by their 64-bit hash.
+    `shared` tells whether another record may hold the value. A row without a key is left out; keys are compared by 64-bit hash.
     """
     keys = [F.when(F.col(c) != "", F.xxhash64(F.lit(c), F.col(c))) for c in key_cols]
     found = durable(rows.select(F.col(record_col).alias("rec"), *(k.alias(f"k{i}") for i, k in enumerate(keys))).where("rec is not null").distinct(), "value-keys")
@@ -48,7 +48,8 @@ def same_values(rows: DataFrame, record_col: str, key_cols: list[str]) -> DataFr
     held = durable(found.select("rec", first.alias("key")).where("key is not null").distinct(), "record-keys")
     counted = held.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     named = counted.join(group.withColumnRenamed("node", "key"), "key", "left").select("key", "n", F.coalesce("component", "key").alias("value"))
-    return join_counted(held, named, ["key"], "n", held.count()).select("rec", "value").distinct()
+    named = named.withColumn("shared", F.sum("n").over(Window.partitionBy("value")) > 1)
+    return join_counted(held, named, ["key"], "n", held.count()).select("rec", "value", "shared").distinct()
 
 
 def _chosen(tokens: Column, node: Column, size: Column, threshold: float) -> Column:
@@ -78,6 +79,8 @@ def _split_by_size(nodes: DataFrame, limit: int) -> tuple[DataFrame, DataFrame |
 def similar_classes(values: DataFrame, *, threshold: float = 0.6, least_size: int = 5, small: int = 48, depth: int = 6, target_recall: float = 0.9999, largest: int = 20_000, seed: int = 11) -> tuple[DataFrame, DataFrame]:
     """Classes of equal sets and the similar pairs of classes, from distinct rows (`rec`, `value` long).
 
+    Values marked as not `shared`, where there is such a column, are no branches: a node below one would hold a single record.
+
     Returns (`rec`, `class`, `copies`) for all records in question and (`a`, `b`, `overlap`, `na`, `nb`, `similarity`) with a < b.
     """
     sizes = values.groupBy("rec").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= least_size)
@@ -92,20 +95,21 @@ def similar_classes(values: DataFrame, *, threshold: float = 0.6, least_size: in
         big = join_counted(values, over.withColumnRenamed("size", "n"), ["rec"], "n", total).drop("n")
         hot = F.broadcast(over.where(F.col("size") >= max(2, total // 1_000)).select("rec"))
         fit = values.join(hot, "rec", "left_anti").join(over.select("rec"), "rec", "left_anti")
-    sets = fit.groupBy("rec").agg(F.array_sort(F.collect_list("value")).alias("tokens")).where(F.size("tokens") >= least_size)
+    branch = F.col("value") if "shared" not in values.columns else F.when(F.col("shared"), F.col("value"))
+    sets = fit.groupBy("rec").agg(F.array_sort(F.collect_list("value")).alias("tokens"), F.collect_list(branch).alias("open")).where(F.size("tokens") >= least_size)
     sets = durable(sets.withColumn("set", F.struct(F.xxhash64("tokens"), F.xxhash64(F.lit(seed), "tokens"))), "record-sets")
     classes = sets.groupBy("set").agg(F.min("rec").alias("class"), F.count(F.lit(1)).alias("copies"))
     classes = durable(classes.withColumn("id", F.monotonically_increasing_id()), "set-classes")
     members = join_counted(sets.select("rec", "set"), classes, ["set"], "copies", sets.count()).select("rec", "class", "copies")
-    held = sets.select("rec", "tokens").join(classes.select(F.col("class").alias("rec"), "id"), "rec")
-    records = durable(held.select("id", F.col("rec").alias("class"), "tokens", F.size("tokens").alias("size")), "class-sets")
+    held = sets.select("rec", "tokens", "open").join(classes.select(F.col("class").alias("rec"), "id"), "rec")
+    records = durable(held.select("id", F.col("rec").alias("class"), "tokens", "open", F.size("tokens").alias("size")), "class-sets")
 
     trees = math.ceil(math.log(1 - target_recall) / math.log(1 - _SURVIVAL))
-    roots = records.select("id", "tokens", "size", F.explode(F.sequence(F.lit(1), F.lit(trees))).alias("tree")).withColumn("node", F.xxhash64(F.lit(seed), "tree"))
+    roots = records.select("id", "open", "size", F.explode(F.sequence(F.lit(1), F.lit(trees))).alias("tree")).withColumn("node", F.xxhash64(F.lit(seed), "tree"))
     found = []
     level = roots.withColumn("path", F.array().cast("array<bigint>"))
     for step in range(depth):
-        branches = level.select("id", "size", "path", "node", F.explode(_chosen(F.array_except("tokens", "path"), F.col("node"), F.col("size") - F.size("path"), threshold)).alias("t"))
+        branches = level.select("id", "size", "path", "node", F.explode(_chosen(F.array_except("open", "path"), F.col("node"), F.col("size") - F.size("path"), threshold)).alias("t"))
         branches = branches.select("id", "size", F.xxhash64("node", "t").alias("node"), F.array_append("path", F.col("t")).alias("path"))
         branches = durable(branches, f"tree-level-{step}")
         rest, large = _split_by_size(branches.select("node", "id", "size"), small)
@@ -117,7 +121,7 @@ def similar_classes(values: DataFrame, *, threshold: float = 0.6, least_size: in
             found.append(_blocks(large, small))
             break
         again = join_counted(branches, large.groupBy("node").agg(F.max("n").alias("n")), ["node"], "n", branches.count()).drop("n")
-        level = again.join(records.select("id", "tokens"), "id")
+        level = again.join(records.select("id", "open"), "id")
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.unionByName(more)
