@@ -217,7 +217,8 @@ def map_values(values: DataFrame, value_col: str, entries: DataFrame, key_col: s
 
 
 def map_rows(rows: DataFrame, value_col: str, entries: DataFrame, key_col: str, name_cols: list[str]) -> DataFrame:
-    """`rows` whose value isn't null, with `key`, `how` and `score` of the entry their value means."""
-    matched = durable(map_values(rows, value_col, entries, key_col, name_cols), "value-matches")
+    """`rows` whose value isn't null, with `key`, `how` and `score` of the entry their value means; columns of these names are replaced."""
+    valued = rows.withColumn("_value", F.col(value_col).cast("string")).where("_value is not null").drop("key", "how", "score", "_rows")
+    matched = durable(map_values(valued, "_value", entries, key_col, name_cols), "value-matches")
     total = matched.agg(F.sum("n")).first()[0] or 0
-    return join_counted(rows.where(F.col(value_col).isNotNull()), matched.withColumnRenamed("n", "_rows"), [value_col], "_rows", total).drop("_rows")
+    return join_counted(valued, matched.withColumnRenamed("n", "_rows"), ["_value"], "_rows", total).drop("_rows", "_value")

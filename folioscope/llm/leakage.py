@@ -219,10 +219,13 @@ def find(
 ) -> DataFrame:
     """Pairs (document id, item id) with the `coverage` of the item and the number of `stretches`.
 
+    The columns are named as in the two tables; where both ids have one name, the item's is put behind `item_`.
+
     `report_from` lowers the coverage from which pairs are returned; by default it is `share`.
     """
     spark = documents.sparkSession
     ship_package(spark)
+    item_name = f"item_{item_id_col}" if item_id_col == id_col else item_id_col
     clean = items.select(F.col(item_id_col).alias("_item"), F.col(item_text_col).cast("string").alias("_text")).where("_item is not null")
     # instructions are counted over all items; each pass then holds a bounded part of them
     clean = durable(with_instructions(clean, shared_by), "test-items")
@@ -232,11 +235,11 @@ def find(
     results = []
     for k in range(passes):
         part = clean if passes == 1 else clean.where(F.pmod(F.xxhash64("_item"), F.lit(passes)) == k)
-        results.append(_find_part(documents, id_col, text_col, part, items.schema[item_id_col].dataType, item_id_col, rare_share, slack, gap, inner, least))
+        results.append(_find_part(documents, id_col, text_col, part, items.schema[item_id_col].dataType, item_name, rare_share, slack, gap, inner, least))
     out = results[0]
     for more in results[1:]:
         out = out.unionByName(more)
-    return out.groupBy(id_col, item_id_col).agg(F.max("coverage").alias("coverage"), F.max_by("stretches", "coverage").alias("stretches"))
+    return out.groupBy(id_col, item_name).agg(F.max("coverage").alias("coverage"), F.max_by("stretches", "coverage").alias("stretches"))
 
 
 def _find_part(documents, id_col, text_col, part, item_kind, item_id_col, rare_share, slack, gap, inner, least) -> DataFrame:

@@ -19,9 +19,9 @@ def test_values(spark):
     entries = spark.createDataFrame(LIST, "alpha2 string, name string, common string, official string")
     found = {r.country: r.key for r in cv.map_values(frame, "country", entries, "alpha2", ["name", "common", "official"]).collect()}
     assert found == typed
-    rows = cv.map_rows(frame.drop("key"), "country", entries, "alpha2", ["name", "common", "official"])
-    assert rows.count() == len(typed) + 1
-    assert cv.map_rows(frame.drop("key").where("false"), "country", entries, "alpha2", ["name"]).count() == 0
+    rows = cv.map_rows(frame, "country", entries, "alpha2", ["name", "common", "official"])
+    assert rows.count() == len(typed) + 1 and {r.key for r in rows.where("country = 'bralistan'").collect()} == {"BR"}
+    assert cv.map_rows(frame.where("false"), "country", entries, "alpha2", ["name"]).count() == 0
     assert {r.key for r in cv.map_values(frame, "country", entries.where("false"), "alpha2", ["name"]).collect()} == {None}
 
 

@@ -58,6 +58,13 @@ def test_passes_and_long_text(spark, monkeypatch):
     assert found == want | {(20, 9)}
 
 
+def test_one_name_for_both_ids(spark):
+    items, texts, want = corpus()
+    documents = spark.createDataFrame(list(texts.items()), "id long, text string")
+    found = leakage.find(documents, "id", "text", spark.createDataFrame(items, "id long, text string"), "id", "text")
+    assert {(r.id, r.item_id) for r in found.collect()} == want
+
+
 def test_empty(spark):
     documents = spark.createDataFrame([(1, "some text here")], "doc_id long, text string")
     tests = spark.createDataFrame([(1, "some text here now")], "item_id long, text string")
