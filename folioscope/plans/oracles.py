@@ -58,8 +58,8 @@ PARTS = {
 
 def _impact(pairs: str, key: str, having: str = "") -> str:
     """Counts and indices of `key` over distinct pairs, by ranking every row."""
-    return f"""select p.{key} as k, count(distinct p.eid) as documents, sum(c) as citations, min(year) as first_year, max(year) as last_year,
-  sum(case when c >= rn then 1 else 0 end) as h, sum(case when cum >= rn * rn then 1 else 0 end) as g, sum(case when c >= 10 then 1 else 0 end) as i10,
+    return f"""select p.{key} as k, count(distinct p.eid) as documents, sum(c)::bigint as citations, min(year) as first_year, max(year) as last_year,
+  sum(case when c >= rn then 1 else 0 end)::bigint as h, sum(case when cum >= rn * rn then 1 else 0 end)::bigint as g, sum(case when c >= 10 then 1 else 0 end)::bigint as i10,
   r2(sqrt(sum(case when c >= rn then c else 0 end) - sum(case when c >= rn then 1 else 0 end) ** 2)) as e
 from (select x.{key}, x.eid, d.year, coalesce(d.c, 0) as c, row_number() over w as rn, sum(coalesce(d.c, 0)) over (w rows between unbounded preceding and current row) as cum
   from {pairs} x left join {{docs}} d on d.eid = x.eid window w as (partition by x.{key} order by coalesce(d.c, 0) desc, x.eid, d.title, d.doi)) p group by 1 {having}"""
@@ -87,7 +87,7 @@ def _nodes(label: str, joins: str = "") -> str:
     return f"""select t.key as id, {label} as label, t.occurrences, s.degree from top t join (select key, sum(weight)::bigint as degree from (select source as key, weight from edges union all select target, weight from edges) group by 1) s using (key) {joins}"""
 
 
-_CAT = "select x.place, x.name, count(y.k) as documents, coalesce(sum(y.c), 0) as citations from cat x left join rows y on y.k = x.name group by 1, 2"
+_CAT = "select x.place, x.name, count(y.k) as documents, coalesce(sum(y.c), 0)::bigint as citations from cat x left join rows y on y.k = x.name group by 1, 2"
 _SHARES = "r1(100.0 * documents / (select count(*) from rows)) as share, citations, case when documents > 0 then r2(citations * 1.0 / documents) else 0.0 end as citations_per_document"
 _FILLED = "coalesce(lower(trim({f}::varchar)) not in ('', 'nan', 'none', 'na', 'null', '<na>', 'nat', '-'), false)"
 _STATUS = "case when share >= 90 then 'ready' when share >= 50 then 'partial' else 'limited' end as status"
@@ -253,11 +253,11 @@ SQL |= {
     "cochran_sample_size": "select count(*) as population, 1.96::double as z, ceil(1.96 * 1.96 * 0.25 / 0.0025)::bigint as sample_infinite, ceil((1.96::double * 1.96 * 0.25 / 0.0025) / (1 + (1.96::double * 1.96 * 0.25 / 0.0025 - 1) / count(*)))::bigint as sample_size from documents",
     "authors_by_affiliation_count": "with l as (" + _LINKS + "), m as (select key, max(k) as k from (select key, eid, count(distinct org) as k from l group by 1, 2) group by 1), s as (select key, string_agg(named, '; ' order by named) as t from (select key, named, row_number() over (partition by key order by named) as r from (select distinct key, named from l where named is not null)) where r <= 6 group by 1) select name as author, (select min(scopus_id) from {au} a where a.key = l.key) as scopus_id, count(distinct eid) as documents, count(distinct named) as institutions, any_value(m.k) as max_in_one_document, any_value(s.t) as affiliations from l join m using (key) join s using (key) join {auname} using (key) group by l.key, name having count(distinct named) >= 2 order by 4 desc, 3 desc, l.key limit 20",
     "affiliation_profile": "with d as (select coalesce(k, 0) as k from (select distinct eid from documents) left join (select eid, count(distinct trim(parent1)) as k from affiliations where length(trim(parent1)) > 0 group by 1) using (eid)), a as (select key, count(distinct named) as k from (" + _LINKS + ") group by 1 having count(distinct named) > 0) select (select count(*) from d) as documents, (select count(*) from d where k = 0) as documents_without, (select count(*) from d where k = 1) as documents_single, (select count(*) from d where k > 1) as documents_multiple, (select r2(avg(k)) from d where k > 0) as mean_per_document, (select max(k) from d) as max_per_document, (select count(*) from a) as authors, (select count(*) from a where k > 1) as authors_multiple, (select r2(avg(k)) from a) as mean_per_author, (select max(k) from a) as max_per_author, (select count(*) from affiliations) as affiliation_rows, (select count(*) from affiliations where labelled) as labelled_rows",
-    "access_summary": "with o as (select count(*) as n, count(*) filter (regexp_matches(lower(coalesce(open_access, '')), '\\b(gold|hybrid|bronze|green)\\b|\\bopen\\s*access\\b')) as k, count(*) filter (length(trim(open_access)) > 0) as f from documents) select n as documents, k as open_documents, k as reported, f as filled_cells, r1(100.0 * k / n) as open_share, case when k > 0 then 100.0 end as open_share_of_reported from o",
+    "access_summary": "with o as (select count(*) as n, count(*) filter (regexp_matches(lower(coalesce(open_access, '')), '\\b(gold|hybrid|bronze|green)\\b|\\bopen\\s*access\\b')) as k, count(*) filter (length(trim(open_access)) > 0) as f from documents) select n as documents, k as open_documents, k as reported, f as filled_cells, r1(100.0 * k / n) as open_share, case when k > 0 then 100.0::double end as open_share_of_reported from o",
     "trend_forecast_table": "with y as (select * from {yearly}), f as (select regr_slope(documents, year) as s, regr_intercept(documents, year) as i, max(year) as z from y) select year, documents, r2(greatest(i + s * year, 0)) as fitted, 'observed' as kind from y, f union all select z + k, null, r2(greatest(i + s * (z + k), 0)), 'forecast' from f, (select unnest(range(1, 6)) as k)",
     "trend_forecast_fit": "with y as (select * from {yearly}), f as (select regr_slope(documents, year) as s, regr_intercept(documents, year) as i, count(*) as n, max(year) as z, avg(documents) as m from y), e as (select sum((documents - greatest(i + s * year, 0)) ** 2) as a, sum((documents - m) ** 2) as b from y, f) select 'linear' as model, r6(s) as slope, r4(i) as intercept, r4(1 - a / b) as r2, r2(sqrt(a / (n - 2))) as rmse, n as years, z >= 2026 as last_year_partial from f, e",
-    "quartile_distribution": "with s as (select trim(source) as s, count(distinct eid) as d, sum(c) as c from {docs} where length(trim(source)) > 0 group by 1), q as (select unnest(['Q1', 'Q2', 'Q3', 'Q4', 'Not indexed']) as quartile) select quartile, case when quartile = 'Not indexed' then (select count(*) from s) else 0 end as sources, case when quartile = 'Not indexed' then (select sum(d)::bigint from s) else 0 end as documents, case when quartile = 'Not indexed' then 100.0 else 0.0 end as share, case when quartile = 'Not indexed' then (select sum(c)::bigint from s) else 0 end as citations, case when quartile = 'Not indexed' then (select r2(sum(c) * 1.0 / sum(d)) from s) else 0.0 end as citations_per_document from q",
-    "scimago_coverage": "with s as (select trim(source) as s, count(distinct eid) as d from {docs} where length(trim(source)) > 0 group by 1) select count(*) as sources, 0 as matched_sources, 0 as matched_by_issn, 0 as matched_by_title, sum(d)::bigint as documents, 0 as matched_documents, 0.0 as source_share, 0.0 as document_share from s",
+    "quartile_distribution": "with s as (select trim(source) as s, count(distinct eid) as d, sum(c) as c from {docs} where length(trim(source)) > 0 group by 1), q as (select unnest(['Q1', 'Q2', 'Q3', 'Q4', 'Not indexed']) as quartile) select quartile, case when quartile = 'Not indexed' then (select count(*) from s) else 0 end as sources, case when quartile = 'Not indexed' then (select sum(d)::bigint from s) else 0 end as documents, case when quartile = 'Not indexed' then 100.0::double else 0.0::double end as share, case when quartile = 'Not indexed' then (select sum(c)::bigint from s) else 0 end as citations, case when quartile = 'Not indexed' then (select r2(sum(c) * 1.0 / sum(d)) from s) else 0.0 end as citations_per_document from q",
+    "scimago_coverage": "with s as (select trim(source) as s, count(distinct eid) as d from {docs} where length(trim(source)) > 0 group by 1) select count(*) as sources, 0::bigint as matched_sources, 0::bigint as matched_by_issn, 0::bigint as matched_by_title, sum(d)::bigint as documents, 0::bigint as matched_documents, 0.0::double as source_share, 0.0::double as document_share from s",
     "historiograph_nodes": "with t as (select eid, n from {local} where n > 0 order by n desc, eid limit 25) select d.eid as id, min(title) as title, any_value(first_author) as first_author, min(year) as year, min(source) as source, any_value(t.n) as local_citations, max(c) as citations from {docs} d join t using (eid) left join {firstau} f using (eid) group by 1",
 }
 
