@@ -6,7 +6,9 @@ records choose the same values and go down together.  Nodes of at most `small` r
 branch again on other values.  A pair at the threshold survives a tree with a chance of a half at least, and as many trees are
 grown as bring the chance of a miss below 1 - `target_recall`.  Every pair met is verified exactly on the whole sets.
 
-Nodes still large at the deepest level are compared block against block, so none is cut short.  Sets of more than `largest`
+Two sets of a and b values are similar once they share threshold / (1 + threshold) * (a + b).  In a large node whose path holds
+that many, those two have no further value to meet by: they are compared there, block against block.  So are all records of nodes
+still large at the deepest level; none is cut short.  Sets of more than `largest`
 values are compared exactly by counting shared values, since no task may hold them whole.
 
 Cases: null records and null values are left out; repeated rows count once; records of fewer than `least_size` values are in no
@@ -120,6 +122,13 @@ def similar_classes(values: DataFrame, *, threshold: float = 0.6, least_size: in
         if big_nodes is not None:
             found.append(_blocks(large, small))
             break
+        whole = (step + 1) * (1 + 1 / threshold) + 1e-9  # the path alone makes sets similar whose sizes add up to this at most
+        least = max(step + 1, least_size)
+        if 2 * least <= whole:
+            ended = large.where(F.col("size") + least <= whole).drop("n")
+            counted = durable(ended.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), f"ended-{step}")
+            met = _blocks(join_counted(ended, counted, ["node"], "n", branches.count()), small)
+            found.append(met.where(F.col("na") + F.col("nb") <= whole))
         again = join_counted(branches, large.groupBy("node").agg(F.max("n").alias("n")), ["node"], "n", branches.count()).drop("n")
         level = again.join(records.select("id", "open"), "id")
     pairs = found[0]

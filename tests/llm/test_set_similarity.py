@@ -33,6 +33,14 @@ def test_all_pairs(spark, small, depth, largest):
     assert found == brute(sets, 0.6, 5)
 
 
+def test_many_sets_around_one_core(spark):
+    sets = {f"a{i}": {1, 2, 3, 4, 1000 + i} for i in range(150)} | {f"b{i}": {11, 12, 13, 14, 15, 2000 + i} for i in range(150)}
+    sets |= {f"c{i}": {11, 12, 13, 14, 15, 16, 17 + i % 2} | {3000 + i // 2} for i in range(60)}
+    rows = spark.createDataFrame([(k, v) for k, s in sets.items() for v in s], "rec string, value long")
+    found = {(r.rec_a, r.rec_b) for r in ss.expand(*ss.similar_classes(rows)).collect()}
+    assert found == brute(sets, 0.6, 5)
+
+
 def test_values_known_by_two_keys(spark):
     rows = [("a", "d1", "t1"), ("a", "", "t2"), ("b", "d1", None), ("b", None, "t2"), ("c", "d2", "t1"), ("c", None, None), (None, "d1", "t1"), ("d", "d9", ""), ("a", "d1", "t1")]
     frame = spark.createDataFrame(rows, "rec string, doi string, title string")
