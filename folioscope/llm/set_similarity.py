@@ -1,10 +1,14 @@
 """All pairs of records whose sets overlap strongly, found by recursive chosen-path splitting.
 
 Records of equal sets are made one class first.  Each tree then branches its records on randomly chosen values they hold: a
-value v of a record x is chosen in a node with probability 1 / (threshold * |x|), by a hash of node and value, so two similar
-records choose the same values and go down together.  Nodes of at most `small` records are compared pair by pair; larger ones
-branch again on other values.  A pair at the threshold survives a tree with a chance of a half at least, and as many trees are
-grown as bring the chance of a miss below 1 - `target_recall`.  Every pair met is verified exactly on the whole sets.
+value of a record x is chosen at the root with probability 1 / need, need = ceil(threshold * |x|), by a hash of node and value, so
+two similar records choose the same values and go down together.  Nodes of at most `small` records are compared pair by pair;
+larger ones branch again on other values, each chosen with probability 2 / (need - values on the path), 1 at most.
+
+Similar sets share at least the larger one's need, so they choose at least one shared value at the root and two (or the one left)
+in a node below it, on average.  With two a node a pair survives whatever the depth with a chance of 0.797 (1 - exp(-2q) = q), from
+the root with 1 - exp(-0.797) = 0.549: more than the half assumed, from which the number of trees follows that brings the chance of a
+miss below 1 - `target_recall`.  Every pair met is verified exactly on the whole sets.
 
 Two sets of a and b values are similar once they share threshold / (1 + threshold) * (a + b).  In a large node whose path holds
 that many, those two have no further value to meet by: they are compared there, block against block.  So are all records of nodes
@@ -54,9 +58,10 @@ def same_values(rows: DataFrame, record_col: str, key_cols: list[str]) -> DataFr
     return join_counted(held, named, ["key"], "n", held.count()).select("rec", "value", "shared").distinct()
 
 
-def _chosen(tokens: Column, node: Column, size: Column, threshold: float) -> Column:
-    """Values chosen in a node: by hash, each with probability 1 / (threshold * size)."""
-    reach = F.lit(float(1 << 30)) / (F.lit(threshold) * size)
+def _chosen(tokens: Column, node: Column, size: Column, passed: int, threshold: float) -> Column:
+    """Values chosen in a node with `passed` values on its path, by hash: of those a similar set must still share, one at the root, two below it."""
+    need = F.ceil(F.lit(threshold) * size - 1e-9) - passed
+    reach = F.lit(float(1 << 30)) * (2 if passed else 1) / F.greatest(need, F.lit(1))
     return F.filter(tokens, lambda t: F.pmod(F.xxhash64(node, t), F.lit(1 << 30)) < reach)
 
 
@@ -111,7 +116,7 @@ def similar_classes(values: DataFrame, *, threshold: float = 0.6, least_size: in
     found = []
     level = roots.withColumn("path", F.array().cast("array<bigint>"))
     for step in range(depth):
-        branches = level.select("id", "size", "path", "node", F.explode(_chosen(F.array_except("open", "path"), F.col("node"), F.col("size") - F.size("path"), threshold)).alias("t"))
+        branches = level.select("id", "size", "path", "node", F.explode(_chosen(F.array_except("open", "path"), F.col("node"), F.col("size"), step, threshold)).alias("t"))
         branches = branches.select("id", "size", F.xxhash64("node", "t").alias("node"), F.array_append("path", F.col("t")).alias("path"))
         branches = durable(branches, f"tree-level-{step}")
         rest, large = _split_by_size(branches.select("node", "id", "size"), small)

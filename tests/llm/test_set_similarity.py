@@ -41,6 +41,14 @@ def test_many_sets_around_one_core(spark):
     assert found == brute(sets, 0.6, 5)
 
 
+def test_pairs_deep_in_the_trees(spark):
+    sets = {f"s{i}": set(c) for i, c in enumerate([*combinations(range(10), 8), *combinations(range(10), 5)])}
+    rows = spark.createDataFrame([(k, v) for k, s in sets.items() for v in s], "rec string, value long")
+    found = {(r.rec_a, r.rec_b) for r in ss.expand(*ss.similar_classes(rows, small=8)).collect()}
+    expected = brute(sets, 0.6, 5)
+    assert found <= expected and len(found) >= 0.9999 * len(expected)
+
+
 def test_values_known_by_two_keys(spark):
     rows = [("a", "d1", "t1"), ("a", "", "t2"), ("b", "d1", None), ("b", None, "t2"), ("c", "d2", "t1"), ("c", None, None), (None, "d1", "t1"), ("d", "d9", ""), ("a", "d1", "t1")]
     frame = spark.createDataFrame(rows, "rec string, doi string, title string")
