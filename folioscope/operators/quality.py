@@ -72,12 +72,11 @@ def table_completeness(c: Corpus) -> DataFrame:
 
 @operator
 def duplicates(c: Corpus) -> DataFrame:
-    """Groups of documents with one DOI, and of those left with one long title; up to 20 titles of a group are shown, shortened."""
+    """Groups of documents with one DOI, and of those with one long title, whether or not they share a DOI; up to 20 titles of a group are shown, shortened."""
     docs = c.documents.select("eid", "title", plain_doi(F.col("doi")).alias("doi"), plain_title(F.col("title")).alias("key"))
     by_doi = docs.where("doi is not null").groupBy("doi").agg(F.count(F.lit(1)).alias("documents")).where("documents > 1")
-    settled = docs.join(by_doi.select("doi"), "doi", "left_semi").select("key").distinct()
     rest = docs.where(F.length("key") >= 25)
-    by_title = rest.groupBy("key").agg(F.count(F.lit(1)).alias("documents")).where("documents > 1").join(settled, "key", "left_anti")
+    by_title = rest.groupBy("key").agg(F.count(F.lit(1)).alias("documents")).where("documents > 1")
     first = by_doi.join(_titles(docs.where("doi is not null").join(by_doi.select("doi"), "doi", "left_semi"), "doi"), "doi").select(F.lit("doi").alias("kind"), F.col("doi").alias("key"), "documents", "titles")
     second = by_title.join(_titles(rest.join(by_title.select("key"), "key", "left_semi"), "key"), "key").select(F.lit("title").alias("kind"), "key", "documents", "titles")
     return first.unionByName(second).orderBy("kind", F.desc("documents"), "key")

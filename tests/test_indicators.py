@@ -140,3 +140,9 @@ def test_empty_corpus(spark, name):
 def test_empty_networks(spark, name):
     method, options = EDGES[name]
     assert getattr(corpus(spark), method)(**options)[1].count() == 0
+
+
+def test_title_groups_beside_doi_groups(spark):
+    long = "a title of more than twenty five letters"
+    c = corpus(spark, [doc("a", title=long, doi="10.1000/x"), doc("b", title=long.upper(), doi="10.1000/x"), doc("c", title=long, doi="10.1000/y"), doc("d", title=long), doc("e", title="short"), doc("f", title="short")])
+    assert [(r.kind, r.key, r.documents) for r in c.duplicates().collect()] == [("doi", "10.1000/x", 2), ("title", long, 4)]
