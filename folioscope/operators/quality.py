@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.corpus import Corpus, operator
@@ -72,7 +72,7 @@ def table_completeness(c: Corpus) -> DataFrame:
 
 @operator
 def duplicates(c: Corpus) -> DataFrame:
-    """Groups of documents with one DOI, and of those with one long title, whether or not they share a DOI; up to 20 titles of a group are shown, shortened."""
+    """Groups of documents with one DOI, and of those with one long title, whether or not they share a DOI; all different titles of a group are shown, shortened."""
     docs = c.documents.select("eid", "title", plain_doi(F.col("doi")).alias("doi"), plain_title(F.col("title")).alias("key"))
     by_doi = docs.where("doi is not null").groupBy("doi").agg(F.count(F.lit(1)).alias("documents")).where("documents > 1")
     rest = docs.where(F.length("key") >= 25)
@@ -83,9 +83,8 @@ def duplicates(c: Corpus) -> DataFrame:
 
 
 def _titles(rows: DataFrame, key: str) -> DataFrame:
-    each = rows.select(key, F.substring(F.coalesce("title", F.lit("")), 1, 60).alias("t")).groupBy(key, "t").agg(F.count(F.lit(1)).alias("n"))
-    few = each.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy("t"))).where("r <= 20")
-    return few.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list("t")), " | ").alias("titles"))
+    each = rows.select(key, F.substring(F.coalesce("title", F.lit("")), 1, 60).alias("t")).distinct()
+    return each.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list("t")), " | ").alias("titles"))
 
 
 @operator

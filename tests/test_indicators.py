@@ -146,3 +146,8 @@ def test_title_groups_beside_doi_groups(spark):
     long = "a title of more than twenty five letters"
     c = corpus(spark, [doc("a", title=long, doi="10.1000/x"), doc("b", title=long.upper(), doi="10.1000/x"), doc("c", title=long, doi="10.1000/y"), doc("d", title=long), doc("e", title="short"), doc("f", title="short")])
     assert [(r.kind, r.key, r.documents) for r in c.duplicates().collect()] == [("doi", "10.1000/x", 2), ("title", long, 4)]
+
+
+def test_all_titles_of_a_large_group(spark):
+    c = corpus(spark, [doc(f"d{i}", title=f"title {i % 30:02}", doi="10.1000/x") for i in range(60)])
+    assert [(r.documents, r.titles) for r in c.duplicates().collect()] == [(60, " | ".join(f"title {i:02}" for i in range(30)))]
