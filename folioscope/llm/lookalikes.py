@@ -4,6 +4,9 @@ Full-width forms, joined letters, separate accents, invisible characters and unu
 stand.  Look-alike letters are handled token by token: the dominant script of a token is that of most of its letters, or
 Latin when every foreign letter of it imitates a Latin one; only tokens of mixed script are touched, and a substitution is
 made only when its result is a word of the corpus vocabulary (words written wholly in one script), counted over all texts.
+A token of mixed script with letters that `LOOKALIKES` lacks is never substituted but reported: phonetic letters, small capitals and
+mathematical letters anywhere, cased letters of other scripts in a mostly Latin token. Greek letters that `LOOKALIKES` lacks are the
+signs of units and formulas (μm, λmax) and aren't reported.
 
 Cases: null text stays null and has no findings; empty text is clean; rows repeated under one id are repaired each.
 """
@@ -13,6 +16,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -60,7 +64,6 @@ _KINDS = {
 _TOKEN = re.compile(r"[^\W\d_]+")
 _PLAIN_LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏḀ-ỿ]")
 _OTHER_LETTERS = re.compile(r"[^\W\d_A-Za-zªµºÀ-ÖØ-öø-ɏḀ-ỿıɩ]|[ıɩ]")
-_SUSPECT = re.compile(f"[{''.join(sorted(LOOKALIKES))}]")
 #: Something to look at: what is neither printable ASCII, a usual break, nor a character beyond it that stands for nothing else.
 _NOT_PLAIN = re.compile("[^\\t-\\r -~\u00a1-\u00ac\u00ae-\u00ff\u2010-\u2029\u2030-\u203e]")
 _LATIN_WORD = re.compile("[a-z\u00df-\u00f6\u00f8-\u024f\u0250-\u058f]+")
@@ -87,9 +90,25 @@ def unify(text: str) -> tuple[str, dict[str, int]]:
     return text, counts
 
 
+@lru_cache(maxsize=None)
+def _foreign(letter: str) -> str:
+    """'latin' for a phonetic, small-capital or mathematical form of a Latin letter, 'other' for a cased letter of another script than Greek."""
+    if unicodedata.category(letter) not in ("Ll", "Lu", "Lt"):
+        return ""
+    name, plain = unicodedata.name(letter, ""), unicodedata.normalize("NFKC", letter)
+    if name.startswith("LATIN ") or name.startswith("MATHEMATICAL ") and plain.isascii():
+        return "latin"
+    return "" if name.startswith(("MATHEMATICAL ", "GREEK ")) or plain != letter or not (letter.lower() != letter or letter.upper() != letter) else "other"
+
+
 def mixed_tokens(text: str) -> Iterator[tuple[int, int, str]]:
     """Start, end and Latin rewriting of each token that holds look-alikes inside an otherwise Latin word."""
-    if not _SUSPECT.search(text):
+    return ((start, stop, word) for start, stop, word in foreign_tokens(text) if word is not None)
+
+
+def foreign_tokens(text: str) -> Iterator[tuple[int, int, str | None]]:
+    """Start, end and Latin rewriting of each Latin word that holds foreign letters; no rewriting where none of them is known."""
+    if not _OTHER_LETTERS.search(text):
         return
     for token in _TOKEN.finditer(text):
         word = token.group()
@@ -97,8 +116,11 @@ def mixed_tokens(text: str) -> Iterator[tuple[int, int, str]]:
         if not others or not _PLAIN_LETTERS.search(word):
             continue
         imitating = sum(c in LOOKALIKES for c in others)
-        if imitating == len(others) or (imitating and len(word) > 2 * len(others)):
+        latin = len(word) > 2 * len(others)
+        if imitating == len(others) or (imitating and latin):
             yield token.start(), token.end(), "".join(LOOKALIKES.get(c, c) for c in word)
+        elif any(_foreign(c) == "latin" or (latin and _foreign(c)) for c in others):
+            yield token.start(), token.end(), None
 
 
 _REPORT = "_id {id}, _text string, _wide int, _joined int, _accents int, _invisible int, _spaces int, _tokens array<struct<start:int,stop:int,word:string>>"
@@ -114,7 +136,7 @@ def scan(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 if not _NOT_PLAIN.search(text):
                     continue
                 text, counts = unify(text)
-                tokens = [{"start": a, "stop": b, "word": w} for a, b, w in mixed_tokens(text)]
+                tokens = [{"start": a, "stop": b, "word": w} for a, b, w in foreign_tokens(text)]
                 if counts or tokens:
                     out.append((key, text, *(counts.get(k, 0) for k in ("wide", "joined", "accents", "invisible", "spaces")), tokens))
             yield pd.DataFrame(out, columns=["_id", "_text", "_wide", "_joined", "_accents", "_invisible", "_spaces", "_tokens"])
@@ -144,7 +166,7 @@ def known_words(texts: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame
 
 def repair(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row per text that holds stand-ins: id, `clean`, counts `wide`, `joined`, `accents`, `invisible`, `spaces`,
-    `repaired` (look-alike tokens replaced) and `unresolved` (mixed-script tokens whose rewriting is no known word).
+    `repaired` (look-alike tokens replaced) and `unresolved` (mixed-script tokens that have no rewriting or whose rewriting is no known word).
 
     Texts that are not returned are already in the consistent form.
     """

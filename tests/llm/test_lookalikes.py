@@ -20,3 +20,10 @@ def test_repair(spark):
     found = sorted((r.id, r.clean, r.repaired, r.unresolved, r.wide) for r in lookalikes.repair(frame, "id", "text").collect())
     assert found == [(2, "again model", 1, 0, 0), (2, "another model here", 1, 0, 0), (3, "the Сzqx thing", 0, 1, 0), (7, "wide", 0, 0, 4)]
     assert lookalikes.repair(frame.where("false"), "id", "text").count() == 0
+
+
+def test_letters_outside_the_table(spark):
+    texts = ["a ʙook", "the wʜole", "ᴀnother", "a ɹed one", "mѐtal here", "ѓood", "a 𝐦odel", "moԃel", "5 μm λmax xⁿ donʼt Δt", "Приветz", "使用model", "book whole another red"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    found = sorted((r.id, r.clean, r.repaired, r.unresolved) for r in lookalikes.repair(frame, "id", "text").collect())
+    assert found == [(i, texts[i], 0, 1) for i in range(8)]
