@@ -7,6 +7,7 @@ import unicodedata
 
 _DOI = re.compile(r"10\.\d{3,9}\s*/\s*[^\s?#]+")
 _WORD = re.compile(r"\w+")
+_PARTING = re.compile(r"[:;.?!|/]+(?=\s|$)|(?<=\s)[:;|/~\-\u2010-\u2015\u2212]+(?=\s)|[\u2014\u2015\u2026\uff1a\uff1b\u3002]")
 
 
 # What is written where a title is missing, letters only.
@@ -21,24 +22,9 @@ def letters_and_digits(value: str) -> str:
     return "".join(c for c in value if c.isalnum() or unicodedata.category(c)[0] == "M")
 
 
-def least_rotation(text: str) -> str:
-    """The lexicographically least rotation, in linear time; equal for two texts whose halves are swapped."""
-    n = len(text)
-    i, j, k = 0, 1, 0
-    while i < n and j < n and k < n:
-        a, b = text[(i + k) % n], text[(j + k) % n]
-        if a == b:
-            k += 1
-            continue
-        if a > b:
-            i += k + 1
-        else:
-            j += k + 1
-        if i == j:
-            j += 1
-        k = 0
-    start = min(i, j)
-    return text[start:] + text[:start]
+def title_parts(title: str | None) -> list[str]:
+    """The letters and digits of each part of a title, where punctuation with a space, or a long dash, sets parts apart; none for a title without any."""
+    return [kept for part in _PARTING.split(title) if (kept := letters_and_digits(part))] if title else []
 
 
 def title_key(title: str | None) -> str:

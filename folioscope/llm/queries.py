@@ -64,7 +64,13 @@ def p4_found(spark: SparkSession, directory: str) -> DataFrame:
 def p5_found(spark: SparkSession, directory: str) -> DataFrame:
     """Copies of one record under different formatting."""
     documents = read_table(spark, directory, "documents", "doc_id", "title", "doi")
-    return format_duplicates.collapse(documents, "doc_id", "title", "doi").where("first_id < doc_id").select("first_id", "doc_id")
+    return format_duplicates.collapse(documents, "doc_id", "title", "doi").where("copies > 1 and first_id < doc_id").select("first_id", "doc_id").distinct()
+
+
+def p5_copies(spark: SparkSession, directory: str) -> DataFrame:
+    """One row for each record, under the least id of its copies, with their number."""
+    documents = read_table(spark, directory, "documents", "doc_id", "title", "doi")
+    return format_duplicates.collapse(documents, "doc_id", "title", "doi").where("first_id = doc_id").select("first_id", "copies")
 
 
 def p6_found(spark: SparkSession, directory: str) -> DataFrame:
@@ -112,13 +118,23 @@ where p.together * s.baskets >= 4 * x.n * y.n
 """
 
 
-P5_SQL = r"""
-with k as (
-  select doc_id, regexp_replace(lower(title), '[^\p{L}\p{N}\p{M}]+', '', 'g') t, regexp_replace(coalesce(nullif(regexp_extract(lower(doi), '10\.\d{3,9}\s*/\s*[^\s?#]+'), ''), lower(doi), ''), '[^\p{L}\p{N}]+', '', 'g') d
-  from documents where title is not null
-), r as (select doc_id, list_min(list_transform(range(1, length(t) + 1), lambda i: substr(t, i) || substr(t, 1, i - 1))) t, d from k where t <> '')
-select f.first_id, r.doc_id from r join (select t, d, min(doc_id) first_id from r group by 1, 2) f on f.t = r.t and f.d = r.d where f.first_id < r.doc_id
+#: Letters of a record's title by part, and groups of records whose letters are one another's with the parts in some order.
+_P5_GROUPS = r"""
+with recursive k as (
+  select doc_id, string_split(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(title, '')) || ' ', '[:;.?!|/]+\s', chr(31), 'g'), '\s[:;|/~\-‐-―−]+\s', chr(31), 'g'), '[—―…：；。]', chr(31), 'g'), chr(31)) raw,
+    regexp_replace(coalesce(nullif(regexp_extract(lower(doi), '10\.\d{3,9}\s*/\s*[^\s?#]+'), ''), lower(doi), ''), '[^\p{L}\p{N}]+', '', 'g') d from documents
+), r as (select doc_id, d, list_filter(list_transform(raw, lambda x: regexp_replace(x, '[^\p{L}\p{N}\p{M}]+', '', 'g')), lambda x: x <> '') p from k),
+s as (select doc_id, d, p, array_to_string(p, '') t, list_sort(string_split(array_to_string(p, ''), '')) c from r where len(p) > 0),
+m as (select d, c from s group by 1, 2 having count(distinct t) > 1),
+o as (select distinct d, p, ''::varchar t, []::bigint[] used from s join m using (d, c) where len(p) between 2 and 5
+  union all select d, p, t || p[i], list_append(used, i) from o, unnest(range(1, len(p) + 1)) as u(i) where not list_contains(used, i)),
+e as (select distinct d, array_to_string(p, '') a, t b from o where len(used) = len(p)), both_ways as (select d, a, b from e union select d, b, a from e),
+reach as (select distinct s.d, s.t, s.t u from s join m using (d, c) union select h.d, h.t, x.b from reach h join both_ways x on x.d = h.d and x.a = h.u),
+g as (select d, t, min(u) least from reach group by 1, 2), named as (select doc_id, s.d, coalesce(g.least, s.t) least from s left join g on g.d = s.d and g.t = s.t),
+f as (select d, least, min(doc_id) first_id, count(distinct doc_id) copies from named group by 1, 2)
 """
+P5_SQL = _P5_GROUPS + " select distinct first_id, doc_id from named join f using (d, least) where first_id < doc_id"
+P5_COPIES = _P5_GROUPS + " select first_id, copies from f union all select doc_id, 1 from r where len(p) = 0"
 
 P6_SQL = r"""
 with kw as (select distinct eid, lower(trim(keyword)) keyword from keywords where trim(keyword) <> ''), df as (select keyword, count(*) n from kw group by 1),
@@ -134,4 +150,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_SQL, "p5_found": P5_SQL, "p6_found": P6_SQL}
+    return {"p1_found": P1_SQL, "p5_found": P5_SQL, "p5_copies": P5_COPIES, "p6_found": P6_SQL}
