@@ -1,12 +1,13 @@
 """Text in one consistent form: stand-in characters found and replaced, look-alike letters repaired by script.
 
 Full-width forms, joined letters, separate accents, invisible characters and unusual spaces are rewritten wherever they
-stand.  Look-alike letters are handled token by token: the dominant script of a token is that of most of its letters, or
-Latin when every foreign letter of it imitates a Latin one; only tokens of mixed script are touched, and a substitution is
-made only when its result is a word of the corpus vocabulary (words written wholly in one script), counted over all texts.
-A token of mixed script with letters that `LOOKALIKES` lacks is never substituted but reported: phonetic letters, small capitals and
-mathematical letters anywhere, cased letters of other scripts in a mostly Latin token. Greek letters that `LOOKALIKES` lacks are the
-signs of units and formulas (μm, λmax) and aren't reported.
+stand.  Look-alike letters are handled token by token: the dominant script of a token is that of most of its letters, Latin where
+that is a tie (phonetic letters and small capitals count for it); only tokens of mixed script are touched.  A token is rewritten in its
+dominant script, or else in Latin, when every foreign letter has a look-alike there and the result is a word of the corpus vocabulary
+(words written wholly in one script), counted over all texts.
+A token of mixed script that isn't rewritten is reported, if it is a Latin word at heart: its letters all have a Latin look-alike or most
+are Latin, and one is foreign: phonetic letters, small capitals and mathematical letters anywhere, cased letters of other scripts in a
+mostly Latin token. Greek letters that `LOOKALIKES` lacks are the signs of units and formulas (μm, λmax) and aren't reported.
 
 Cases: null text stays null and has no findings; empty text is clean; rows repeated under one id are repaired each.
 """
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -90,6 +92,18 @@ def unify(text: str) -> tuple[str, dict[str, int]]:
     return text, counts
 
 
+@lru_cache(maxsize=None)
+def _script(letter: str) -> str:
+    """The script of a letter by the first word of its Unicode name; phonetic letters and small capitals are Latin."""
+    return unicodedata.name(letter, "OTHER").split(" ", 1)[0]
+
+
+#: By script, its letters by the Latin letter each looks like; of several the first in the table.
+_BACK: dict[str, dict[str, str]] = {}
+for _letter, _latin in LOOKALIKES.items():
+    _BACK.setdefault(_script(_letter), {}).setdefault(_latin, _letter)
+
+
 @lru_cache(maxsize=None)
 def _foreign(letter: str) -> str:
     """'latin' for a phonetic, small-capital or mathematical form of a Latin letter, 'other' for a cased letter of another script than Greek."""
@@ -101,13 +115,21 @@ def _foreign(letter: str) -> str:
     return "" if name.startswith(("MATHEMATICAL ", "GREEK ")) or plain != letter or not (letter.lower() != letter or letter.upper() != letter) else "other"
 
 
+def dominant_script(word: str) -> str:
+    """The script of most letters of `word`; Latin where it is one of several with as many."""
+    counts = Counter(map(_script, word))
+    most = max(counts.values())
+    return "LATIN" if counts["LATIN"] == most else next(s for s, n in counts.items() if n == most)
+
+
 def mixed_tokens(text: str) -> Iterator[tuple[int, int, str]]:
     """Start, end and Latin rewriting of each token that holds look-alikes inside an otherwise Latin word."""
-    return ((start, stop, word) for start, stop, word in foreign_tokens(text) if word is not None)
+    return ((start, stop, word) for start, stop, word, _, _ in foreign_tokens(text) if word is not None)
 
 
-def foreign_tokens(text: str) -> Iterator[tuple[int, int, str | None]]:
-    """Start, end and Latin rewriting of each Latin word that holds foreign letters; no rewriting where none of them is known."""
+def foreign_tokens(text: str) -> Iterator[tuple[int, int, str | None, str | None, bool]]:
+    """Each token of mixed script: start, end, its Latin rewriting, its rewriting in another dominant script (null where letters lack a
+    look-alike there), and whether its dominant script is Latin."""
     if not _OTHER_LETTERS.search(text):
         return
     for token in _TOKEN.finditer(text):
@@ -115,19 +137,24 @@ def foreign_tokens(text: str) -> Iterator[tuple[int, int, str | None]]:
         others = _OTHER_LETTERS.findall(word)
         if not others or not _PLAIN_LETTERS.search(word):
             continue
+        script = dominant_script(word)
+        home = script == "LATIN"
         imitating = sum(c in LOOKALIKES for c in others)
         latin = len(word) > 2 * len(others)
+        back = {} if home else _BACK.get(script, {})
+        letters = [c if _script(c) == script else back.get(c) for c in word]
+        restored = None if home or None in letters else "".join(letters)
         if imitating == len(others) or (imitating and latin):
-            yield token.start(), token.end(), "".join(LOOKALIKES.get(c, c) for c in word)
-        elif any(_foreign(c) == "latin" or (latin and _foreign(c)) for c in others):
-            yield token.start(), token.end(), None
+            yield token.start(), token.end(), "".join(LOOKALIKES.get(c, c) for c in word), restored, home
+        elif restored is not None or any(_foreign(c) == "latin" or (latin and _foreign(c)) for c in others):
+            yield token.start(), token.end(), None, restored, home
 
 
-_REPORT = "_id {id}, _text string, _wide int, _joined int, _accents int, _invisible int, _spaces int, _tokens array<struct<start:int,stop:int,word:string>>"
+_REPORT = "_id {id}, _text string, _wide int, _joined int, _accents int, _invisible int, _spaces int, _tokens array<struct<start:int,stop:int,word:string,other:string,home:boolean>>"
 
 
 def scan(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Per text that isn't plain: unified text, counts by kind, mixed-script tokens with their Latin rewriting."""
+    """Per text that isn't plain: unified text, counts by kind, mixed-script tokens with their rewritings."""
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -136,7 +163,7 @@ def scan(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 if not _NOT_PLAIN.search(text):
                     continue
                 text, counts = unify(text)
-                tokens = [{"start": a, "stop": b, "word": w} for a, b, w in foreign_tokens(text)]
+                tokens = [{"start": a, "stop": b, "word": w, "other": o, "home": h} for a, b, w, o, h in foreign_tokens(text)]
                 if counts or tokens:
                     out.append((key, text, *(counts.get(k, 0) for k in ("wide", "joined", "accents", "invisible", "spaces")), tokens))
             yield pd.DataFrame(out, columns=["_id", "_text", "_wide", "_joined", "_accents", "_invisible", "_spaces", "_tokens"])
@@ -147,7 +174,7 @@ def scan(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def known_words(texts: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
-    """Those of `wanted` (column word, lower case) that some text writes wholly in plain Latin letters.
+    """Those of `wanted` (column word, lower case) that some text writes so; the wanted are of one script each.
 
     Every text is read; words are made distinct where they are read before they are shuffled, so what moves is the vocabulary and
     not the running text.
@@ -165,18 +192,27 @@ def known_words(texts: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame
 
 
 def repair(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row per text that holds stand-ins: id, `clean`, counts `wide`, `joined`, `accents`, `invisible`, `spaces`,
-    `repaired` (look-alike tokens replaced) and `unresolved` (mixed-script tokens that have no rewriting or whose rewriting is no known word).
+    """One row per text that holds stand-ins or tokens of mixed script: id, `clean`, counts `wide`, `joined`, `accents`, `invisible`,
+    `spaces`, `repaired` (tokens rewritten in Latin), `restored` (tokens rewritten in another dominant script) and `unresolved` (Latin words
+    with foreign letters that have no rewriting or whose rewriting is no known word).
 
     Texts that are not returned are already in the consistent form.
     """
     ship_package(texts.sparkSession)
     found = durable(scan(texts, id_col, text_col).withColumn("_row", F.monotonically_increasing_id()), "stand-ins")
-    wanted = found.select(F.explode("_tokens").alias("t")).select(F.lower("t.word").alias("word"))
-    known = known_words(texts, text_col, wanted)
-    tokens = found.select("_row", F.posexplode("_tokens").alias("_pos", "t")).withColumn("word", F.lower("t.word"))
-    resolved = tokens.join(known, "word").groupBy("_row").agg(F.array_sort(F.collect_list("t")).alias("_fixes"))
-    joined = found.join(resolved, "_row", "left")
+    tokens = found.select("_row", F.explode("_tokens").alias("t"))
+    forms = tokens.select(F.explode(F.array_compact(F.array("t.word", "t.other"))).alias("form")).select(F.lower("form").alias("word"))
+    known = durable(known_words(texts, text_col, forms), "known-words")
+    named = lambda c, flag: known.select(F.col("word").alias(c), F.lit(True).alias(flag))
+    tokens = tokens.withColumns({"word": F.lower("t.word"), "other": F.lower("t.other")}).join(named("word", "is_word"), "word", "left").join(named("other", "is_other"), "other", "left")
+    back = F.col("is_other").isNotNull() & ~F.col("t.home")
+    choice = F.when(back, F.col("t.other")).when(F.col("is_word").isNotNull(), F.col("t.word"))
+    edit = F.when(choice.isNotNull(), F.struct(F.col("t.start").alias("start"), F.col("t.stop").alias("stop"), choice.alias("word")))
+    decided = tokens.groupBy("_row").agg(
+        F.array_sort(F.collect_list(edit)).alias("_fixes"), F.count(F.when(back, 1)).alias("_restored"), F.count(F.when(~back & F.col("is_word").isNotNull(), 1)).alias("_repaired"),
+        F.count(F.when(choice.isNull() & F.col("t.home"), 1)).alias("_unresolved"),
+    )
+    joined = found.join(decided, "_row", "left")
 
     @F.pandas_udf("string")
     def rewritten(text: pd.Series, fixes: pd.Series) -> pd.Series:
@@ -188,9 +224,8 @@ def repair(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
             out.append(value)
         return pd.Series(out)
 
-    repaired = F.coalesce(F.size("_fixes"), F.lit(0))
     return joined.select(
         F.col("_id").alias(id_col), rewritten("_text", "_fixes").alias("clean"),
         *(F.col(f"_{k}").alias(k) for k in ("wide", "joined", "accents", "invisible", "spaces")),
-        repaired.alias("repaired"), (F.size("_tokens") - repaired).alias("unresolved"),
+        *(F.coalesce(f"_{k}", F.lit(0)).cast("int").alias(k) for k in ("repaired", "restored", "unresolved")),
     )

@@ -21,12 +21,20 @@ def _plain(column: str) -> Column:
     return F.lower(F.btrim(F.col(column), F.lit(_OUTER)))
 
 
-def p1_found(spark: SparkSession, directory: str) -> DataFrame:
-    """Keywords, author names and countries that share documents far more often than chance."""
+def _field_items(spark: SparkSession, directory: str) -> DataFrame:
     fields = (("keyword", "keywords", "keyword"), ("author", "authors", "name"), ("country", "affiliations", "country"))
     parts = [read_table(spark, directory, table, "eid", column).select(F.lit(field).alias("field"), "eid", _plain(column).alias("item")) for field, table, column in fields]
-    rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).where("item <> ''")
-    return cooccurrence.count_pairs(rows, "field", "eid", "item").select("field", "item_a", "item_b")
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).where("item <> ''")
+
+
+def p1_found(spark: SparkSession, directory: str) -> DataFrame:
+    """Keywords, author names and countries that share documents far more often than chance."""
+    return cooccurrence.count_pairs(_field_items(spark, directory), "field", "eid", "item").select("field", "item_a", "item_b")
+
+
+def p1_pairs(spark: SparkSession, directory: str) -> DataFrame:
+    """Every pair that shares five documents, with how many, and how many times more often than chance."""
+    return cooccurrence.count_pairs(_field_items(spark, directory), "field", "eid", "item", min_lift=0.0)
 
 
 def p2_found(spark: SparkSession, directory: str) -> DataFrame:
@@ -50,14 +58,25 @@ def p3_found(spark: SparkSession, directory: str) -> DataFrame:
     return mapped.select("eid", "aff_pos", F.coalesce("key", F.lit("--")).alias("alpha2")).distinct()
 
 
-def p4_found(spark: SparkSession, directory: str) -> DataFrame:
-    """Pairs of documents that cite nearly the same works."""
+def p4_classes(spark: SparkSession, directory: str) -> DataFrame:
+    """Each document of at least five works with the class of documents that cite the same works, the class's documents, and the
+    number of other classes that cite nearly the same: the result's form at scale, since a class of k documents is k rows and not k (k - 1) / 2."""
+    members, pairs = set_similarity.similar_classes(_cited_works(spark, directory))
+    return set_similarity.linked(members, pairs).select(F.col("rec").alias("eid"), "class", "copies", "links")
+
+
+def _cited_works(spark: SparkSession, directory: str) -> DataFrame:
     cited = read_table(spark, directory, "references", "eid", "ref_doi", "ref_title")
     doi = F.regexp_replace(F.regexp_extract(F.lower("ref_doi"), "10\\.\\d{3,9}\\s*/\\s*[^\\s?#]+", 0), "[^a-z0-9]", "")
     title = F.regexp_replace(F.lower("ref_title"), "[^\\p{L}\\p{N}\\p{M}]+", "")
     title = F.when(~title.isin(*NO_TITLE), title)  # a placeholder would make one work of all that lack a title
     works = set_similarity.same_values(cited.select("eid", doi.alias("doi"), title.alias("title")), "eid", ["doi", "title"])
-    members, pairs = set_similarity.similar_classes(durable(works, "cited-works"))
+    return durable(works, "cited-works")
+
+
+def p4_found(spark: SparkSession, directory: str) -> DataFrame:
+    """Pairs of documents that cite nearly the same works."""
+    members, pairs = set_similarity.similar_classes(_cited_works(spark, directory))
     return set_similarity.expand(members, pairs).select(F.col("rec_a").alias("eid_a"), F.col("rec_b").alias("eid_b"))
 
 
@@ -81,6 +100,14 @@ def p6_found(spark: SparkSession, directory: str) -> DataFrame:
     return scored.where("records >= 2 and records * 20 < of").select("eid", "keyword").distinct()
 
 
+def p6_scores(spark: SparkSession, directory: str) -> DataFrame:
+    """How characteristic each keyword is of its document's abstract, for those that stand in it."""
+    keywords = read_table(spark, directory, "keywords", "eid", "keyword")
+    documents = read_table(spark, directory, "documents", "eid", "abstract")
+    scored = distinctiveness.score_terms(keywords, documents, "eid", "keyword", "abstract", min_occurrences=1)
+    return scored.select("eid", "keyword", "occurrences", "degree", "records", F.round("rarity", 6).alias("rarity"), F.round("score", 6).alias("score"))
+
+
 def p7_containers(spark: SparkSession, directory: str) -> DataFrame:
     """The container of 1,024 tokens that each text, or piece of a longer one, is put into."""
     documents = read_table(spark, directory, "documents", "doc_id", "text")
@@ -101,7 +128,13 @@ def p9_found(spark: SparkSession, directory: str) -> DataFrame:
     return lookalikes.repair(documents, "doc_id", "text").where(found > 0).select("doc_id").distinct()
 
 
-P1_SQL = """
+def p9_clean(spark: SparkSession, directory: str) -> DataFrame:
+    """The consistent form of each text that isn't in it, with what was found."""
+    documents = read_table(spark, directory, "documents", "doc_id", "text")
+    return lookalikes.repair(documents, "doc_id", "text")
+
+
+_P1_PAIRS = """
 with rows as (
   select distinct 'keyword' field, eid, lower(trim(keyword)) item from keywords where trim(keyword) <> ''
   union select distinct 'author', eid, lower(trim(name)) from authors where trim(name) <> ''
@@ -111,11 +144,13 @@ single as (select field, item, count(*) n from rows group by 1, 2),
 pairs as (
   select a.field, a.item item_a, b.item item_b, count(*) together from rows a
   join rows b on a.field = b.field and a.eid = b.eid and a.item < b.item group by 1, 2, 3 having count(*) >= 5
+), scored as (
+  select p.field, p.item_a, p.item_b, p.together, x.n n_a, y.n n_b, s.baskets, p.together * s.baskets / (x.n * y.n)::double lift from pairs p join sizes s on s.field = p.field
+  join single x on x.field = p.field and x.item = p.item_a join single y on y.field = p.field and y.item = p.item_b
 )
-select p.field, p.item_a, p.item_b from pairs p join sizes s on s.field = p.field
-join single x on x.field = p.field and x.item = p.item_a join single y on y.field = p.field and y.item = p.item_b
-where p.together * s.baskets >= 4 * x.n * y.n
 """
+P1_SQL = _P1_PAIRS + " select field, item_a, item_b from scored where together * baskets >= 4 * n_a * n_b"
+P1_PAIRS = _P1_PAIRS + " select * from scored"
 
 
 #: Letters of a record's title by part, and groups of records whose letters are one another's with the parts in some order.
@@ -144,10 +179,26 @@ where n >= 2 and n * 20 < (select count(distinct eid) from documents) and contai
   and len(regexp_extract_all(t, '[^a-z0-9]' || regexp_escape(regexp_replace(kw.keyword, '([^a-z0-9])', '\1\1', 'g')) || '[^a-z0-9]')) >= 3
 """
 
+#: Each occurrence of a keyword is put between marks; its neighbours are the words counted from them.
+P6_SCORES = r"""
+with kw as (select distinct eid, lower(trim(keyword)) keyword from keywords where trim(keyword) <> ''), df as (select keyword, count(*) n from kw group by 1),
+d as (select row_number() over () as doc, eid, '  ' || regexp_replace(lower(abstract), '([^a-z0-9])', '\1\1', 'g') || '  ' t, lower(abstract) a from documents where abstract is not null),
+p as (select kw.eid, kw.keyword, doc, t, regexp_escape(regexp_replace(kw.keyword, '([^a-z0-9])', '\1\1', 'g')) x from kw join d using (eid) where contains(a, kw.keyword)),
+m as (select eid, keyword, doc, regexp_extract_all(regexp_replace(t, '([^a-z0-9])(' || x || ')([^a-z0-9])', '\1' || chr(2) || '\2' || chr(3) || '\3', 'g'), chr(2) || '|' || chr(3) || '|[\p{L}\p{N}_]+') w from p),
+u as (select eid, keyword, doc, unnest(w) word, unnest(range(1, len(w) + 1)) i from m where list_contains(w, chr(2))),
+c as (select *, count(*) filter (word not in (chr(2), chr(3))) over (partition by eid, keyword, doc order by i) k from u),
+words as (select * from c where word not in (chr(2), chr(3))), marks as (select *, case when word = chr(2) then k - 3 else k + 1 end low from c where word in (chr(2), chr(3))),
+n as (select m.eid, m.keyword, m.doc, count(distinct w.word) degree from marks m join words w on w.eid = m.eid and w.keyword = m.keyword and w.doc = m.doc and w.k between m.low and m.low + 3 group by 1, 2, 3),
+o as (select eid, keyword, doc, count(*) filter (word = chr(2)) occurrences from c group by 1, 2, 3),
+b as (select eid, keyword, max((occurrences, coalesce(degree, 0))) best from o left join n using (eid, keyword, doc) group by 1, 2),
+z as (select eid, keyword, best[1] occurrences, best[2] degree, n as records, ln((select count(distinct eid) from documents) / n::double) r from b join df using (keyword))
+select eid, keyword, occurrences, degree, records, round(r, 6) rarity, round(degree * r, 6) score from z
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_SQL, "p5_found": P5_SQL, "p5_copies": P5_COPIES, "p6_found": P6_SQL}
+    return {"p1_found": P1_SQL, "p1_pairs": P1_PAIRS, "p6_scores": P6_SCORES, "p5_found": P5_SQL, "p5_copies": P5_COPIES, "p6_found": P6_SQL}

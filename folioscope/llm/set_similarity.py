@@ -184,3 +184,12 @@ def expand(members: DataFrame, pairs: DataFrame) -> DataFrame:
     inside = left.join(members.where("copies > 1").select(F.col("class").alias("a"), F.col("rec").alias("s")), "a").where("r < s")
     both = across.select("r", "s").unionByName(inside.select("r", "s"))
     return both.select(F.least("r", "s").alias("rec_a"), F.greatest("r", "s").alias("rec_b")).distinct()
+
+
+def linked(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """`members` with `links`, the number of classes that their class is similar to."""
+    ends = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class")))
+    found = ends.groupBy("class").agg(F.count(F.lit(1)).alias("links"))
+    classes = members.groupBy("class").agg(F.count(F.lit(1)).alias("n")).join(found, "class", "left").na.fill(0, ["links"])
+    classes = durable(classes, "class-links")
+    return join_counted(members, classes, ["class"], "n", members.count()).drop("n")

@@ -27,3 +27,22 @@ def test_letters_outside_the_table(spark):
     frame = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
     found = sorted((r.id, r.clean, r.repaired, r.unresolved) for r in lookalikes.repair(frame, "id", "text").collect())
     assert found == [(i, texts[i], 0, 1) for i in range(8)]
+
+
+def test_dominant_script(spark):
+    assert lookalikes.dominant_script("привеt") == "CYRILLIC" and lookalikes.dominant_script("tо") == lookalikes.dominant_script("ʙook") == "LATIN"
+    rows = [
+        (1, "сказал привеt всем"), (2, "слово привет"), (3, "Москвa"), (4, "раураl here"), (5, "plain paypal"), (6, "нечтo"), (7, "a mоdel zоzq"), (8, "some model"),
+    ]
+    frame = spark.createDataFrame(rows, "id long, text string")
+    found = {r.id: (r.clean, r.repaired, r.restored, r.unresolved) for r in lookalikes.repair(frame, "id", "text").collect()}
+    # towards the dominant script if that is a known word, else towards Latin if that is; a foreign word that is neither is left alone
+    assert found == {
+        1: ("сказал привет всем", 0, 1, 0), 3: ("Москвa", 0, 0, 0), 4: ("paypal here", 1, 0, 0), 6: ("нечтo", 0, 0, 0), 7: ("a model zоzq", 1, 0, 1),
+    }
+
+
+def test_vocabulary_decides(spark):
+    frame = spark.createDataFrame([(1, "a mоdel"), (2, "the model")], "id long, text string")
+    assert [r.repaired for r in lookalikes.repair(frame, "id", "text").collect()] == [1]
+    assert [(r.repaired, r.unresolved) for r in lookalikes.repair(frame.where("id = 1"), "id", "text").collect()] == [(0, 1)]
