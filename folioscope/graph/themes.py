@@ -115,7 +115,11 @@ def incidence(c: Corpus, kind: str, top_n: int, min_documents: int) -> tuple[lis
     return ids, both, weighted, sum(r.n for r in sets.select(F.sum("n").alias("n")).collect() if r.n)
 
 
-def _kmeans(points: np.ndarray, k: int, seed: int = 20240101, rounds: int = 100) -> np.ndarray:
+# A fixed value, so that the same corpus always gives the same clusters.
+_SEED = 7
+
+
+def _kmeans(points: np.ndarray, k: int, seed: int = _SEED, rounds: int = 100) -> np.ndarray:
     rng = np.random.default_rng(seed)
     centres = [points[rng.integers(len(points))]]
     while len(centres) < k:
