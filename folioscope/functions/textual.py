@@ -32,9 +32,7 @@ STOPWORDS = sorted(set((_ENGLISH + _SCIENTIFIC).split()))
 
 @F.pandas_udf(T.StringType())
 def _decompose(texts: pd.Series) -> pd.Series:
-    def plain(text: str | None) -> str | None:
-        if text is None or text.isascii():
-            return text
+    def plain(text: str) -> str:
         return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
 
     return texts.map(plain, na_action="ignore")
@@ -43,9 +41,10 @@ def _decompose(texts: pd.Series) -> pd.Series:
 def unaccented(column: Column) -> Column:
     """`column` in compatibility decomposition without accents.
 
-    Spark has no such function; rows cross to Python in Arrow batches, and ASCII texts come back as they are.
+    Spark has no such function; texts that aren't ASCII cross to Python in Arrow batches, all others stay where they are.
     """
-    return _decompose(column)
+    ascii_only = F.length(column) == F.octet_length(column)
+    return F.when(ascii_only, column).otherwise(_decompose(F.when(~ascii_only, column)))
 
 
 def plain_title(column: Column) -> Column:
@@ -72,10 +71,8 @@ def tokens(column: Column) -> Column:
 def ngrams(words: Column, size: int, extra: list[str]) -> Column:
     """n-grams of tokens that begin and end with content words, hold two of them and no word under three letters; for
     single words, content words of more than two letters. An n-gram with a word of `extra` is left out."""
-    stop = F.array(*map(F.lit, STOPWORDS))
-    other = F.array(*map(F.lit, extra)).cast("array<string>")
-    content = lambda w: ~F.array_contains(stop, w)
-    allowed = lambda w: ~F.array_contains(other, w)
+    content = lambda w: ~w.isin(*STOPWORDS)
+    allowed = lambda w: ~w.isin(*extra) if extra else F.lit(True)
     if size == 1:
         return F.filter(words, lambda w: content(w) & (F.length(w) > 2) & allowed(w))
     count = F.size(words) - size + 1

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.corpus import Corpus, operator
 from folioscope.functions.columns import filled, most_used, ratio, top
+from folioscope.functions.ranking import numbered
+from folioscope.functions.skew import join_counted
 from folioscope.functions.textual import plain_doi, plain_title
+from folioscope.runtime import durable
 
 _LONG_TITLE = 25
 
@@ -16,7 +19,7 @@ _LONG_TITLE = 25
 def citation_pairs(c: Corpus) -> DataFrame:
     """(citing, cited, via): references that are documents of the corpus, by DOI or else by a long title.
 
-    Of several documents with one DOI or title the one of least eid owns it. The pairs are cached with the corpus, since most of
+    Of several documents with one DOI or title the one of least eid owns it. The pairs are written once for a corpus, since most of
     what follows starts from them.
     """
     if "citation_pairs" in c.kept:
@@ -31,9 +34,9 @@ def citation_pairs(c: Corpus) -> DataFrame:
     found = found.withColumn("k", F.coalesce(F.when(F.col("d").isNull() & (F.length("title") >= _LONG_TITLE), F.col("title")), spread))
     found = found.join(by_title.select(F.col("title").alias("k"), F.col("cited").alias("t")), "k", "left").where("d is not null or t is not null")
     found = found.select("citing", F.coalesce("d", "t").alias("cited"), F.when(F.col("d").isNotNull(), "doi").otherwise("title").alias("via"))
-    pairs = found.where("citing <> cited").groupBy("citing", "cited").agg(F.min("via").alias("via")).cache()
-    c.kept["citation_pairs"] = pairs
-    return pairs
+    pairs = found.where("citing <> cited").groupBy("citing", "cited").agg(F.min("via").alias("via"))
+    c.kept["citation_pairs"] = durable(pairs, "citation-pairs")
+    return c.kept["citation_pairs"]
 
 
 @operator
@@ -47,10 +50,12 @@ def first_authors(c: Corpus) -> DataFrame:
 
 
 def document_cards(c: Corpus) -> DataFrame:
-    """One row per eid with title, first author, year, source, type, DOI and citations; of repeated rows the least values."""
+    """One row per eid with title, first author, year, source, type, DOI and citations; of repeated rows the one with most citations, then
+    the one of least title and so on."""
     each = ("title", "year", "source", "doc_type", "doi")
-    cards = c.documents.groupBy("eid").agg(*(F.min(x).alias(x) for x in each), F.max("cited_by").cast("long").alias("citations"))
-    return cards.withColumn("year", F.col("year").cast("long")).join(first_authors(c), "eid", "left")
+    order = F.struct(-F.coalesce("cited_by", F.lit(0)), *(x for name in each for x in (F.col(name).isNull(), F.col(name))))
+    cards = c.documents.groupBy("eid").agg(F.min_by(F.struct(*each, F.col("cited_by").cast("long").alias("citations")), order).alias("card"))
+    return cards.select("eid", "card.*").withColumn("year", F.col("year").cast("long")).join(first_authors(c), "eid", "left")
 
 
 @operator
@@ -58,7 +63,7 @@ def most_local_cited_documents(c: Corpus, n: int | None = 20) -> DataFrame:
     """Documents by citations from inside the corpus, labelled by first author and year; equal labels get -b, -c and so on."""
     rows = document_cards(c).join(local_citations(c).where("local_citations > 0"), "eid").crossJoin(c.last_year())
     name = F.concat_ws(", ", F.upper(F.coalesce("first_author", F.lit("?"))), F.coalesce(F.col("year").cast("string"), F.lit("n.d.")))
-    rows = rows.withColumn("base", name).withColumn("k", F.row_number().over(Window.partitionBy("base").orderBy("title", "eid")))
+    rows = numbered(rows.withColumn("base", name), "base", "title", "eid").withColumnRenamed("number", "k")
     label = F.when(F.col("k") == 1, F.col("base")).otherwise(F.concat("base", F.lit("-"), F.when(F.col("k") <= 26, F.char(F.col("k") + 96)).otherwise(F.col("k").cast("string"))))
     age = F.col("last_corpus_year") - F.col("year") + 1
     out = rows.select(
@@ -109,12 +114,25 @@ def members(c: Corpus, unit: str, level: str = "parent") -> DataFrame:
     return rows.distinct()
 
 
+def _with_entities(c: Corpus, own: DataFrame) -> DataFrame:
+    """Citation pairs whose two documents have entities, with those of either as arrays.
+
+    Entities are one row per document here, so that a document cited by a large share of all is joined by broadcast.
+    """
+    pairs = citation_pairs(c).select("citing", "cited")
+    total = pairs.count()
+    lists = own.groupBy("eid").agg(F.collect_list("key").alias("keys"))
+    for end in ("citing", "cited"):
+        counted = pairs.groupBy(end).agg(F.count(F.lit(1)).alias("n")).join(lists.select(F.col("eid").alias(end), F.col("keys").alias(f"{end}_keys")), end)
+        pairs = join_counted(pairs, counted, [end], "n", total).drop("n")
+    return pairs
+
+
 @operator
 def citation_network(c: Corpus, unit: str = "sources", top_n: int = 40, min_weight: int = 1, level: str = "parent") -> tuple[DataFrame, DataFrame]:
     """Who cites whom: nodes and directed edges (source cites target) of the `top_n` entities with most citations in and out."""
     own = members(c, unit, level)
-    pairs = citation_pairs(c)
-    flows = pairs.join(own.select(F.col("eid").alias("citing"), F.col("key").alias("source")), "citing").join(own.select(F.col("eid").alias("cited"), F.col("key").alias("target")), "cited")
+    flows = _with_entities(c, own).select(F.explode("citing_keys").alias("source"), "cited_keys").select("source", F.explode("cited_keys").alias("target"))
     edges = flows.where("source <> target").groupBy("source", "target").agg(F.count(F.lit(1)).alias("weight"))
     ends = edges.select(F.col("source").alias("id"), "weight").unionByName(edges.select(F.col("target").alias("id"), "weight"))
     best = F.broadcast(ends.groupBy("id").agg(F.sum("weight").alias("occurrences")).orderBy(F.desc("occurrences"), "id").limit(top_n))
@@ -137,10 +155,12 @@ def citation_balance(c: Corpus, unit: str = "sources", top_n: int = 40, min_weig
 
 def _shared(c: Corpus, level: str) -> DataFrame:
     """Citation pairs whose two documents share an entity of a level."""
-    own = c.author_rows().where("key is not null").select("eid", "key").distinct() if level == "authors" else members(c, level)
-    pairs = citation_pairs(c).select("citing", "cited")
-    both = pairs.join(own.select(F.col("eid").alias("citing"), "key"), "citing").join(own.select(F.col("eid").alias("cited"), "key"), ["cited", "key"])
-    return both.select("citing", "cited").distinct()
+    own = _author_documents(c) if level == "authors" else members(c, level)
+    return _with_entities(c, own).where(F.arrays_overlap("citing_keys", "cited_keys")).select("citing", "cited")
+
+
+def _author_documents(c: Corpus) -> DataFrame:
+    return c.author_rows().where("key is not null").select("eid", "key").distinct()
 
 
 @operator
@@ -163,12 +183,13 @@ def self_citation_summary(c: Corpus) -> DataFrame:
 @operator
 def authors_self_citation(c: Corpus, n: int | None = 20, min_citations: int = 1) -> DataFrame:
     """For each author the local citations of their documents, and how many of these come from documents of their own."""
-    rows = c.author_rows().where("key is not null")
-    own = rows.select("eid", "key").distinct()
-    received = citation_pairs(c).join(own.select(F.col("eid").alias("cited"), "key"), "cited")
-    same = own.select(F.col("eid").alias("citing"), "key", F.lit(1).alias("same"))
-    counted = received.join(same, ["citing", "key"], "left").groupBy("key").agg(F.count(F.lit(1)).alias("local_citations"), F.coalesce(F.sum("same"), F.lit(0)).alias("self_citations"))
+    own = _author_documents(c)
+    # a citation from a document without authors is one from others
+    nobody = c.references.select("eid").distinct().join(own.select("eid"), "eid", "left_anti").select("eid", F.lit("").alias("key"))
+    received = _with_entities(c, own.unionByName(nobody)).select("citing_keys", F.explode("cited_keys").alias("key")).where("key <> ''")
+    same = F.array_contains("citing_keys", F.col("key")).cast("long")
+    counted = received.groupBy("key").agg(F.count(F.lit(1)).alias("local_citations"), F.sum(same).alias("self_citations"))
     docs = own.groupBy("key").agg(F.count(F.lit(1)).alias("documents"))
-    out = counted.where(F.col("local_citations") >= min_citations).join(docs, "key").join(most_used(rows, ["key"], "name"), "key")
+    out = counted.where(F.col("local_citations") >= min_citations).join(docs, "key").join(most_used(c.author_rows(), ["key"], "name"), "key")
     out = out.select(F.col("name").alias("author"), "documents", "local_citations", "self_citations", (F.col("local_citations") - F.col("self_citations")).alias("external_citations"), ratio(F.col("self_citations"), F.col("local_citations"), 1, 100).alias("self_rate"), "key")
     return top(out, n, F.desc("self_citations"), F.desc("local_citations"), F.asc("key")).drop("key")

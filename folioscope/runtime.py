@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import atexit
-import os
-import re
+import io
 import shutil
 import tempfile
 import uuid
@@ -65,13 +64,15 @@ def ship_package(spark: SparkSession) -> None:
     if context.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parent
-    shared = shared_dir(spark)
-    # a driver-side file is enough where the folder isn't mounted here: addPyFile serves it to the executors
-    base = re.sub("^file:/+", "/", shared) if shared.startswith(("/", "file:/")) else tempfile.mkdtemp()
-    os.makedirs(base, exist_ok=True)
-    target = f"{base}/folioscope-{uuid.uuid4().hex}.zip"
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive:
         for source in sorted(root.rglob("*.py")):
             archive.write(source, source.relative_to(root.parent))
+    target = f"{shared_dir(spark)}/folioscope-{uuid.uuid4().hex}.zip"
+    # through Spark's own file system, whatever the shared folder lies on
+    place = spark._jvm.org.apache.hadoop.fs.Path(target)
+    out = place.getFileSystem(context._jsc.hadoopConfiguration()).create(place)
+    out.write(packed.getvalue())
+    out.close()
     context.addPyFile(target)
     _shipped.add(context.applicationId)
