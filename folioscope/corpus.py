@@ -54,20 +54,20 @@ class Corpus:
         return cls(**made)
 
     @classmethod
-    def from_dataframe(cls, wide: DataFrame) -> Corpus:
-        """A corpus of a wide export, one row per document, every column a string."""
+    def from_dataframe(cls, wide: DataFrame, countries: DataFrame | list[str] | None = None, unify: bool = True) -> Corpus:
+        """A corpus of a wide export, one row per document, every column a string. `countries` is a list to know countries by (see sources.places)."""
         from folioscope.sources.wide import build_tables
 
-        return cls.from_tables(build_tables(wide))
+        return cls.from_tables(build_tables(wide, countries), unify)
 
     @classmethod
-    def from_csv(cls, spark: SparkSession, path: str) -> Corpus:
+    def from_csv(cls, spark: SparkSession, path: str, countries: DataFrame | list[str] | None = None, unify: bool = True) -> Corpus:
         """A corpus of a cleaned export file; NotCleanedError where author lists aren't numbered."""
-        from folioscope.sources.wide import build_tables, check_cleaned, read_csv
+        from folioscope.sources.wide import check_cleaned, read_csv
 
         wide = read_csv(spark, path)
         check_cleaned(wide)
-        return cls.from_tables(build_tables(wide))
+        return cls.from_dataframe(wide, countries, unify)
 
     @classmethod
     def read(cls, spark: SparkSession, directory: str, unify: bool = False) -> Corpus:

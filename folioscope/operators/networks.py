@@ -15,6 +15,7 @@ from folioscope.functions.textual import plain_title
 from folioscope.operators.geography import city_pairs
 from folioscope.operators.production import documents_and_citations, keyword_rows
 from folioscope.operators.text import document_terms
+from folioscope.sources.places import place_key_of
 
 Graph = tuple[DataFrame, DataFrame]
 
@@ -129,7 +130,7 @@ def text_co_occurrence(c: Corpus, field: str = "abstract", ngram: int = 2, top_n
 def country_map(c: Corpus, places: DataFrame | None = None) -> DataFrame:
     """Countries with documents of one or several countries, and their place on the map.
 
-    `places` has name, map_name, lon and lat of each country (see sources.places); without it no country has a place.
+    `places` has key, map_name, lon and lat of each country (see sources.places); without it no country has a place.
     """
     pairs = c.affiliations.where(filled("country")).select("eid", "country").distinct()
     several = pairs.groupBy("eid").agg(F.count(F.lit(1)).alias("k"))
@@ -139,7 +140,7 @@ def country_map(c: Corpus, places: DataFrame | None = None) -> DataFrame:
     if places is None:
         out = out.select("*", F.lit(None).cast("string").alias("map_name"), F.lit(None).cast("double").alias("lon"), F.lit(None).cast("double").alias("lat"))
     else:
-        out = out.join(F.broadcast(places.select(F.col("name").alias("country"), "map_name", "lon", "lat")), "country", "left")
+        out = out.withColumn("key", place_key_of(F.col("country"))).join(places.select("key", "map_name", "lon", "lat"), "key", "left")
     return out.select("country", "documents", "citations", "sca", "mca", ratio(F.col("mca"), F.col("documents"), 4).alias("mca_ratio"), "map_name", "lon", "lat").orderBy(F.desc("documents"), "country")
 
 

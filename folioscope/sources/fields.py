@@ -5,9 +5,12 @@ from __future__ import annotations
 import re
 from collections import Counter
 
+from folioscope.sources.places import place_key
+
 # The labels of affiliation parts, in the order they are written, with their columns.
 LABELS = {"subparent": "subparent", "parent 1": "parent1", "parent 2": "parent2", "city": "city", "site": "site", "region": "region", "country": "country"}
 PARTS = tuple(LABELS.values())
+# How the export numbers authors, counts an author's affiliations, writes identifiers, and opens and ends a reference.
 _NUMBERED = re.compile(r"^\s*(\d+)\s*:\s*")
 _SEVERAL = re.compile(r"^\s*\[(\d+)\s+affiliations\]\s*")
 _BRACKETED = re.compile(r"^(.*?)\s*\((\d{5,})\)\s*$")
@@ -83,7 +86,7 @@ def affiliation(text: str, countries: frozenset[str]) -> dict[str, object]:
         if colon and column and value.strip():
             found |= {column: value.strip(), "labelled": True}
     if pieces and not found["labelled"]:
-        order = ("country", "city", "parent1", "subparent") if pieces[-1].lower() in countries else ("parent1", "subparent")
+        order = ("country", "city", "parent1", "subparent") if place_key(pieces[-1]) in countries else ("parent1", "subparent")
         found |= dict(zip(order, reversed(pieces), strict=False))
     return found
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from folioscope.runtime import durable, ship_package
 from folioscope.sources import fields
+from folioscope.sources.places import known_countries, place_key
 
 # The columns of the export and where they go.
 HEADERS = {
@@ -38,7 +39,7 @@ def check_cleaned(wide: DataFrame) -> None:
     """NotCleanedError if some author cell isn't numbered 1, 2, 3 in order; one aggregate over the file."""
     if "Authors" not in wide.columns:
         return
-    listed = F.filter(F.transform(F.split("Authors", ";"), F.trim), lambda x: x != "")
+    listed = F.filter(F.transform(F.split("Authors", ";"), lambda x: F.trim(x)), lambda x: x != "")
     number = lambda x: F.regexp_extract(x, r"^\s*(\d+)\s*:", 1).try_cast("int")
     good = F.forall(F.transform(listed, lambda x, i: F.coalesce(number(x) == i + 1, F.lit(False))), lambda x: x)
     cells = wide.where("trim(Authors) <> '' and lower(trim(Authors)) <> 'nan'")
@@ -47,10 +48,11 @@ def check_cleaned(wide: DataFrame) -> None:
         raise NotCleanedError(f"{bad} of {n} author cells are not numbered in order, such as {example!r}; clean the export first")
 
 
-def build_tables(wide: DataFrame, countries: list[str] | None = None) -> dict[str, DataFrame]:
+def build_tables(wide: DataFrame, countries: DataFrame | list[str] | None = None) -> dict[str, DataFrame]:
     """The six tables of a wide frame; only Title is required, other missing columns are empty.
 
-    `countries` are the names by which the last part of an unlabelled affiliation is known to be a country. Rows are numbered in
+    `countries` is a reference list, or the names, by which the last part of an unlabelled affiliation is known to be a country; without
+    it the names that Java knows are used. Rows are numbered in
     input order where a document has neither EID, DOI nor title. The cells are parsed once, and the parsed rows written.
     """
     if "Title" not in wide.columns:
@@ -67,7 +69,7 @@ def build_tables(wide: DataFrame, countries: list[str] | None = None) -> dict[st
     eid = F.coalesce(text("EID"), text("DOI"), F.concat(F.lit("t:"), F.substring(F.md5(F.lower(text("Title"))), 1, 16)), F.concat(F.lit("row:"), F.monotonically_increasing_id().cast("string")))
     numeric = {"year": whole("Year"), "cited_by": F.coalesce(whole("Cited by"), F.lit(0))}
     base = durable(wide.select(eid.alias("eid"), *(numeric.get(c, text(h)).alias(c) for c, h in HEADERS.items()), *(text(h).alias(h) for h in PACKED)), "export-rows")
-    known = frozenset(n.lower() for n in countries or ())
+    known = frozenset(map(place_key, known_countries(spark, countries)))
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:

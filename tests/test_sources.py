@@ -76,3 +76,12 @@ def test_unify(spark):
     assert sorted(r.name for r in c.authors.collect()) == ["Doe J.", "Doe J.", "Doe J.", "doe j"]
     assert {r.parent1 for r in c.affiliations.collect()} == {"Université X"}
     assert sorted((r.keyword, r.kind) for r in c.keywords.collect()) == [("MAPS", "index"), ("maps", "author"), ("maps", "author"), ("maps", "author")]
+
+
+def test_countries_of_unlabelled_affiliations(spark):
+    row = {**dict.fromkeys(ROW), "Title": "A title", "Affiliations": "Lab, Univ, Rabat, Morocco; Team, ENS, Paris, FRANCE; Dept, Univ, Abidjan, Côte d'Ivoire; Dept, Univ Z; Inst, Pohang, Republic of Korea"}
+    wide = spark.createDataFrame([row], ", ".join(f"`{c}` string" for c in ROW))
+    found = [(r.city, r.country, r.parent1) for r in Corpus.from_dataframe(wide).affiliations.orderBy("aff_pos").collect()]
+    assert found == [("Rabat", "Morocco", "Univ"), ("Paris", "FRANCE", "ENS"), ("Abidjan", "Côte d'Ivoire", "Univ"), (None, None, "Univ Z"), ("Pohang", "Republic of Korea", "Inst")]
+    listed = spark.createDataFrame([("XX", "Morocco", None, None)], "alpha2 string, name string, common_name string, official_name string")
+    assert [r.country for r in Corpus.from_dataframe(wide, listed).affiliations.orderBy("aff_pos").collect()] == ["Morocco", None, None, None, None]
