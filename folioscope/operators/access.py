@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.corpus import Corpus, operator
-from folioscope.functions.columns import filled, ratio
+from folioscope.functions.columns import ratio
 from folioscope.operators.geography import by_category
 
 # The routes that a cell may name, and the one for open documents that name none.
@@ -53,10 +53,15 @@ def access_over_time(c: Corpus) -> DataFrame:
 
 
 @operator
-def access_summary(c: Corpus) -> DataFrame:
-    """Open and reported documents, one row. A cell that names no route counts as not reported."""
-    d = document_access(c)
-    sums = d.agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum(F.col("open").cast("long")), F.lit(0)).alias("open_documents"))
-    filled_in = c.documents.agg(F.count(F.when(filled("open_access"), 1)).alias("filled_cells"))
-    share = ratio(F.col("open_documents"), F.col("documents"), 1, 100)
-    return sums.crossJoin(filled_in).select("documents", "open_documents", F.col("open_documents").alias("reported"), "filled_cells", share.alias("open_share"), F.when(F.col("open_documents") > 0, 100.0).alias("open_share_of_reported"))
+def access_summary(c: Corpus, journals: DataFrame | None = None) -> DataFrame:
+    """Documents, those that report access, the open ones, and how that agrees with their journals' access, one row.
+
+    A cell that names no route counts as not reported, so reported documents are the open ones. `disagreement` counts open documents
+    whose journal isn't open; it is 0 in a corpus without sources.
+    """
+    from folioscope.operators.journals import access_against_journals
+
+    sums = document_access(c).agg(F.count(F.lit(1)).alias("documents"), F.count(F.when(F.col("open"), 1)).alias("open_documents"))
+    share = F.when(F.col("open_documents") > 0, 100.0)
+    out = sums.crossJoin(F.broadcast(access_against_journals(c, journals)))
+    return out.select("documents", F.col("open_documents").alias("reported"), "open_documents", share.alias("open_share_of_reported"), "journal_open_documents", "disagreement")

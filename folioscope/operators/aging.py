@@ -10,9 +10,9 @@ from folioscope.functions.columns import filled, ratio, rounded
 
 
 def reference_ages(c: Corpus) -> DataFrame:
-    """(year, age) of references whose document and whose own year are known; 2 years ahead count as 0, others are errors."""
+    """(eid, year, age) of references whose document and whose own year are known; 2 years ahead count as 0, others are errors."""
     rows = c.references.where("ref_year is not null").select("eid", "ref_year").join(c.cited().where("year is not null").select("eid", "year"), "eid")
-    return rows.withColumn("age", F.col("year") - F.col("ref_year")).where("age between -2 and 200").select("year", F.greatest("age", F.lit(0)).alias("age"))
+    return rows.withColumn("age", F.col("year") - F.col("ref_year")).where("age between -2 and 200").select("eid", "year", F.greatest("age", F.lit(0)).alias("age"))
 
 
 def _counted(c: Corpus, *keys: str) -> DataFrame:
@@ -27,23 +27,28 @@ def _median(counted: DataFrame, keys: list[str]) -> DataFrame:
     return run.groupBy(*keys).agg(((reach(F.floor((F.col("all") + 1) / 2)) + reach(F.floor((F.col("all") + 2) / 2))) / 2.0).alias("median_age"))
 
 
+def _sums(counted: DataFrame, keys: list[str], window: int) -> DataFrame:
+    young = F.when(F.col("age") < window, F.col("n")).otherwise(0)
+    return counted.groupBy(*keys).agg(F.sum("n").alias("references"), F.sum(young).alias("young"), F.sum(F.col("n") * F.col("age")).alias("years"))
+
+
 @operator
 def price_index(c: Corpus, window: int = 5) -> DataFrame:
-    """Percentage of references younger than `window` years, median and mean age."""
+    """Percentage of references younger than `window` years, median and mean age, one row."""
     counted = _counted(c).withColumn("k", F.lit(1))
-    sums = counted.groupBy("k").agg(F.sum("n").alias("references"), F.sum(F.when(F.col("age") < window, F.col("n")).otherwise(0)).alias("young"), F.sum(F.col("n") * F.col("age")).alias("years"))
-    out = sums.join(_median(counted, ["k"]), "k")
-    half = rounded(F.col("median_age"), 1)
-    return out.select("references", ratio(F.col("young"), F.col("references"), 2, 100).alias("price_index"), half.alias("median_age"), ratio(F.col("years"), F.col("references"), 2).alias("mean_age"), half.alias("half_life"))
+    docs = reference_ages(c).agg(F.countDistinct("eid").alias("documents_with_references"))
+    out = F.broadcast(docs).withColumn("k", F.lit(1)).join(_sums(counted, ["k"], window).join(_median(counted, ["k"]), "k"), "k", "left")
+    half, count = rounded(F.col("median_age"), 1), F.coalesce("references", F.lit(0)).alias("references")
+    share, mean = ratio(F.col("young"), F.col("references"), 1, 100), ratio(F.col("years"), F.col("references"), 1)
+    return out.select(share.alias("price_index"), count, half.alias("median_age"), mean.alias("mean_age"), half.alias("half_life"), "documents_with_references", F.lit(window).cast("long").alias("window"))
 
 
 @operator
 def price_index_by_year(c: Corpus, window: int = 5) -> DataFrame:
     counted = _counted(c, "year")
-    sums = counted.groupBy("year").agg(F.sum("n").alias("references"), F.sum(F.when(F.col("age") < window, F.col("n")).otherwise(0)).alias("young"), F.countDistinct("age"))
-    docs = c.references.where("ref_year is not null").select("eid").distinct().join(c.cited().where("year is not null").select("eid", "year").distinct(), "eid").groupBy("year").agg(F.countDistinct("eid").alias("documents"))
-    out = sums.join(docs, "year").join(_median(counted, ["year"]), "year")
-    return out.select("year", "documents", "references", ratio(F.col("young"), F.col("references"), 2, 100).alias("price_index"), rounded(F.col("median_age"), 1).alias("median_age")).orderBy("year")
+    docs = reference_ages(c).groupBy("year").agg(F.countDistinct("eid").alias("documents"))
+    out = _sums(counted, ["year"], window).join(docs, "year").join(_median(counted, ["year"]), "year")
+    return out.select("year", "documents", "references", ratio(F.col("young"), F.col("references"), 1, 100).alias("price_index"), rounded(F.col("median_age"), 1).alias("median_age")).orderBy("year")
 
 
 @operator

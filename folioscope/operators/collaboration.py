@@ -66,24 +66,23 @@ def cai(c: Corpus, block_years: int = 5) -> DataFrame:
 
 @operator
 def price_law(c: Corpus) -> DataFrame:
-    """Whether the square root of all authors write half of the papers."""
+    """Whether the square root of all authors sign half of the papers, one row."""
     per = c.author_rows().where("key is not null").groupBy("key").agg(F.countDistinct("eid").alias("d"))
     # counted by productivity first, so the ranking below is as long as there are different productivities
     levels = per.groupBy("d").agg(F.count(F.lit(1)).alias("n"))
     down = Window.orderBy(F.desc("d")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     run = levels.withColumns({"t": F.sum("n").over(down), "s": F.sum(F.col("n") * F.col("d")).over(down)})
-    whole = run.agg(F.sum("n").alias("authors"), F.sum(F.col("n") * F.col("d")).alias("contributions")).where("authors is not null")
-    run = run.crossJoin(F.broadcast(whole)).withColumn("core", F.rint(F.sqrt(F.col("authors").cast("double"))).cast("long"))
+    whole = run.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("authors"), F.coalesce(F.sum(F.col("n") * F.col("d")), F.lit(0)).alias("signatures"))
+    run = F.broadcast(whole).withColumn("core", F.rint(F.sqrt(F.col("authors").cast("double"))).cast("long")).join(run, F.lit(True), "left")
     before = F.col("t") - F.col("n")
     by_core = F.when(before < F.col("core"), (F.least("t", "core") - before) * F.col("d")).otherwise(0)
-    half = F.col("contributions") / 2.0
+    half = F.col("signatures") / 2.0
     need = F.when((F.col("s") >= half) & (F.col("s") - F.col("n") * F.col("d") < half), before + F.ceil((half - (F.col("s") - F.col("n") * F.col("d"))) / F.col("d")))
-    out = run.groupBy("authors", "contributions", "core").agg(F.sum(by_core).alias("core_contributions"), F.min(need).cast("long").alias("authors_for_half"))
-    share = ratio(F.col("core_contributions"), F.col("contributions"), 1, 100)
-    return out.select("authors", "contributions", F.col("core").alias("core_authors"), "core_contributions", share.alias("observed_share"), "authors_for_half", (share >= 50).alias("holds"))
+    out = run.groupBy("authors", "signatures", "core").agg(F.sum(by_core).alias("held"), F.min(need).cast("long").alias("half_reached_with"))
+    return out.select("authors", "signatures", F.col("core").alias("expected_core"), ratio(F.col("held"), F.col("signatures"), 1, 100).alias("observed_share"), "half_reached_with")
 
 
-GROUPS = ["1 author", "2 authors", "3 authors", "4 authors or more"]
+GROUPS = ["1 author", "2 authors", "3 authors", "4+ authors"]
 
 
 @operator

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import datetime
 import math
-from statistics import NormalDist
 
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -56,8 +55,23 @@ def rgr_doubling_time(c: Corpus) -> DataFrame:
 
 @operator
 def growth_summary(c: Corpus) -> DataFrame:
-    means = rgr_doubling_time(c).agg(rounded(F.avg("rgr"), 4).alias("mean_rgr"), rounded(F.avg("doubling_time"), 2).alias("mean_doubling_time"))
-    return cagr(c).crossJoin(agr(c).agg(rounded(F.avg("agr"), 2).alias("mean_agr"))).crossJoin(means)
+    means = rgr_doubling_time(c).agg(rounded(F.avg("rgr"), 4).alias("rgr_mean"), rounded(F.avg("doubling_time"), 2).alias("doubling_time_mean"))
+    return cagr(c).crossJoin(agr(c).agg(rounded(F.avg("agr"), 2).alias("agr_mean"))).crossJoin(means)
+
+
+# Quantiles of the normal distribution by confidence, and the coefficients of the rational approximation for others.
+_QUANTILES = {0.80: 1.2816, 0.85: 1.4395, 0.90: 1.6449, 0.95: 1.9600, 0.98: 2.3263, 0.99: 2.5758}
+_ABOVE, _BELOW = (2.515517, 0.802853, 0.010328), (1.0, 1.432788, 0.189269, 0.001308)
+
+
+def normal_quantile(confidence: float) -> float:
+    """How many standard deviations hold `confidence` of a normal distribution, after Abramowitz and Stegun, 26.2.23."""
+    for known, quantile in _QUANTILES.items():
+        if math.isclose(confidence, known, abs_tol=1e-9):
+            return quantile
+    t = math.sqrt(-2 * math.log((1 - confidence) / 2))
+    value = lambda coefficients: sum(c * t**i for i, c in enumerate(coefficients))
+    return abs(t - value(_ABOVE) / value(_BELOW))
 
 
 @operator
@@ -65,44 +79,47 @@ def cochran_sample_size(c: Corpus, confidence: float = 0.95, margin: float = 0.0
     """How many documents to sample, with the correction for a finite population."""
     if not (0 < confidence < 1 and 0 < margin < 1 and 0 < proportion < 1):
         raise ValueError("confidence, margin and proportion lie between 0 and 1")
-    # The usual rounded quantiles; others are computed.
-    z = {0.90: 1.645, 0.95: 1.96, 0.99: 2.576}.get(round(confidence, 4)) or NormalDist().inv_cdf(0.5 + confidence / 2)
-    n0 = z * z * proportion * (1 - proportion) / (margin * margin)
-    size = F.ceil(F.lit(n0) / (1 + (F.lit(n0) - 1) / F.col("population"))).cast("long")
-    count = c.documents.agg(F.count(F.lit(1)).alias("population"))
-    return count.select("population", F.lit(z).alias("z"), F.lit(math.ceil(n0)).cast("long").alias("sample_infinite"), F.when(F.col("population") > 0, size).otherwise(0).alias("sample_size"))
+    z = normal_quantile(confidence)
+    n0 = z**2 * proportion * (1 - proportion) / margin**2
+    size = F.ceil(F.least(F.lit(n0) / (1 + F.lit(n0 - 1) / F.col("population")), F.col("population").cast("double"))).cast("long")
+    out = c.documents.agg(F.count(F.lit(1)).alias("population")).withColumn("sample_size", F.when(F.col("population") > 0, size).otherwise(0))
+    return out.select(
+        "population", F.lit(confidence).alias("confidence"), F.lit(margin).alias("margin_of_error"), F.lit(proportion).alias("proportion"), F.lit(round(z, 4)).alias("z_score"),
+        F.lit(math.ceil(n0)).cast("long").alias("sample_size_infinite"), "sample_size", F.coalesce(ratio(F.col("sample_size"), F.col("population"), 1, 100), F.lit(0.0)).alias("sampling_fraction"),
+    )
 
 
 @operator
 def trend_forecast(c: Corpus, horizon: int = 5, model: str = "linear", this_year: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """A least-squares trend of yearly documents: its table (observed and forecast) and its fit.
+    """A least-squares trend of yearly documents over the years since the first: its table (observed and forecast) and its fit.
 
-    `this_year` marks a last year that may be incomplete; the current one by default.
+    Both are empty for fewer than three years (three with documents, if exponential). A forecast is never below zero. `this_year` marks
+    a last year that may be incomplete; the current one by default.
     """
     if model not in ("linear", "exponential"):
         raise ValueError(f"model must be 'linear' or 'exponential', not {model!r}")
     rows = yearly(c)
-    if model == "exponential":
-        rows = rows.withColumn("y", F.log(F.when(F.col("documents") > 0, F.col("documents").cast("double"))))
-    else:
-        rows = rows.withColumn("y", F.col("documents").cast("double"))
-    x = F.col("year").cast("double")
-    line = rows.where("y is not null").agg(F.regr_slope("y", x).alias("slope"), F.regr_intercept("y", x).alias("intercept"), F.count(F.lit(1)).alias("years"), F.max("year").alias("last"))
-    line = F.broadcast(line.where("years >= 3"))
-    raw = F.col("intercept") + F.col("slope") * x
-    value = F.greatest(F.exp(raw) if model == "exponential" else raw, F.lit(0.0))
+    first = F.broadcast(rows.agg(F.min("year").alias("first"), F.max("year").alias("last"), F.count(F.lit(1)).alias("years")))
+    rows = rows.crossJoin(first).withColumn("t", (F.col("year") - F.col("first")).cast("double"))
+    count = F.col("documents").cast("double")
+    rows = rows.withColumn("y", F.log(F.when(count > 0, count)) if model == "exponential" else count)
+    line = rows.where("y is not null").groupBy("first", "last", "years").agg(F.regr_slope("y", "t").alias("slope"), F.regr_intercept("y", "t").alias("intercept"), F.count(F.lit(1)).alias("used"))
+    line = F.broadcast(line.where("years >= 3 and used >= 3").select("slope", "intercept", F.col("last").alias("end"), F.col("first").alias("begin")))
+    raw = F.col("intercept") + F.col("slope") * F.col("t")
+    value = F.exp(raw) if model == "exponential" else raw
     seen = rows.crossJoin(line).withColumn("v", value)
-    mean = F.avg("documents").over(Window.partitionBy())
-    errors = seen.withColumn("m", mean).agg(
-        F.first("slope").alias("slope"), F.first("intercept").alias("intercept"), F.first("years").alias("years"), F.first("last").alias("last"),
+    errors = seen.withColumn("m", F.avg("documents").over(Window.partitionBy())).groupBy("slope", "intercept", "years", "end").agg(
         F.sum(F.pow(F.col("documents") - F.col("v"), 2)).alias("sse"), F.sum(F.pow(F.col("documents") - F.col("m"), 2)).alias("sst"),
-    ).where("years is not null")
+    )
+    # What the slope says.
+    slope, label = (rounded(F.exp("slope"), 4), "annual growth factor") if model == "exponential" else (rounded(F.col("slope"), 3), "additional documents per year")
     fit = errors.select(
-        F.lit(model).alias("model"), rounded(F.col("slope"), 6).alias("slope"), rounded(F.col("intercept"), 4).alias("intercept"),
-        rounded(1 - F.try_divide(F.col("sse"), F.col("sst")), 4).alias("r2"), rounded(F.sqrt(F.try_divide(F.col("sse"), (F.col("years") - 2).cast("double"))), 2).alias("rmse"), "years",
-        (F.col("last") >= F.lit(this_year or datetime.date.today().year)).alias("last_year_partial"),
+        F.lit(model).alias("model"), slope.alias("slope"), F.lit(label).alias("slope_label"), rounded(F.col("intercept"), 3).alias("intercept"),
+        rounded(1 - F.try_divide(F.col("sse"), F.col("sst")), 4).alias("r2"), rounded(F.sqrt(F.col("sse") / F.greatest(F.col("years") - 2, F.lit(1))), 2).alias("rmse"),
+        F.col("years").alias("years_used"), F.col("end").alias("last_year"), (F.col("end") >= F.lit(this_year or datetime.date.today().year)).alias("last_year_partial"),
     )
-    ahead = line.select(F.explode(F.sequence(F.col("last") + 1, F.col("last") + horizon)).alias("year"), "slope", "intercept").withColumn("v", value)
+    ahead = line.select(F.explode(F.sequence(F.col("end") + 1, F.col("end") + horizon)).alias("year"), "slope", "intercept", "begin")
+    ahead = ahead.withColumn("t", (F.col("year") - F.col("begin")).cast("double")).withColumn("v", F.greatest(value, F.lit(0.0)))
     table = seen.select("year", "documents", rounded(F.col("v"), 2).alias("fitted"), F.lit("observed").alias("kind"))
     table = table.unionByName(ahead.select("year", F.lit(None).cast("long").alias("documents"), rounded(F.col("v"), 2).alias("fitted"), F.lit("forecast").alias("kind")))
     return table.orderBy("year"), fit

@@ -16,7 +16,7 @@ NUMBERS = {
     "Citable Docs. (3years)": "citable_docs_3y", "Citations / Doc. (2years)": "citations_per_doc_2y", "Ref. / Doc.": "refs_per_doc", "%Female": "female_share", "Overton": "overton",
 }
 QUARTILES = ["Q1", "Q2", "Q3", "Q4", "Not indexed"]
-ACCESS = ["Diamond", "Open access", "Subscription or hybrid"]
+ACCESS = ["Open access", "Subscription", "Unknown"]
 SCHEMA = ", ".join([f"{x} string" for x in TEXTS.values()] + [f"{x} double" for x in NUMBERS.values()] + ["quartile string", "issns array<string>", "scimago_rank double", "open_access boolean", "open_access_diamond boolean"])
 
 
@@ -91,10 +91,10 @@ def quartile_distribution(c: Corpus, journals: DataFrame | None = None) -> DataF
 
 @operator
 def quartile_over_time(c: Corpus, journals: DataFrame | None = None) -> DataFrame:
-    """Documents of each quartile in each year that has documents with a source."""
+    """Documents of each quartile in each year that has documents; a document without a source isn't indexed."""
     spark = c.documents.sparkSession
     found = scimago_sources(c, journals).select("source", F.coalesce("quartile", F.lit(QUARTILES[4])).alias("quartile"))
-    rows = c.documents.where(filled("source")).where("year is not null").select(F.trim("source").alias("source"), F.col("year").cast("long").alias("year"), "eid").join(found, "source")
+    rows = c.documents.where("year is not null").select(F.trim("source").alias("source"), F.col("year").cast("long").alias("year"), "eid").join(found, "source", "left").na.fill(QUARTILES[4], ["quartile"])
     counts = rows.groupBy("year", "quartile").agg(F.countDistinct("eid").alias("documents"))
     every = F.broadcast(spark.createDataFrame(list(enumerate(QUARTILES)), "place int, quartile string"))
     out = rows.select("year").distinct().crossJoin(every).join(counts, ["year", "quartile"], "left").na.fill(0, ["documents"])
@@ -104,58 +104,68 @@ def quartile_over_time(c: Corpus, journals: DataFrame | None = None) -> DataFram
 
 @operator
 def scimago_coverage(c: Corpus, journals: DataFrame | None = None) -> DataFrame:
+    """What the matching found, one row; `available` tells whether there is a journal table at all."""
     rows = scimago_sources(c, journals).agg(
         F.count(F.lit(1)).alias("sources"), F.count(F.when(F.col("matched_by") != "", 1)).alias("matched_sources"), F.count(F.when(F.col("matched_by") == "issn", 1)).alias("matched_by_issn"),
         F.count(F.when(F.col("matched_by") == "title", 1)).alias("matched_by_title"), F.coalesce(F.sum("documents"), F.lit(0)).alias("documents"), F.coalesce(F.sum(F.when(F.col("matched_by") != "", F.col("documents"))), F.lit(0)).alias("matched_documents"),
     )
-    share = lambda a, b: F.coalesce(ratio(F.col(a), F.col(b), 1, 100), F.lit(0.0))
-    return rows.select("*", share("matched_sources", "sources").alias("source_share"), share("matched_documents", "documents").alias("document_share"))
+    available = _journals(c, journals).agg((F.count(F.lit(1)) > 0).alias("available"))
+    share = F.coalesce(ratio(F.col("matched_documents"), F.col("documents"), 1, 100), F.lit(0.0))
+    return F.broadcast(available).crossJoin(rows).withColumn("document_share", share)
 
 
 def _split(column: str) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(column, F.lit("")), ";"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(column, F.lit("")), ";"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 @operator
 def subject_areas(c: Corpus, journals: DataFrame | None = None) -> DataFrame:
-    """Areas of the journals; a journal of several areas counts for each."""
-    rows = scimago_sources(c, journals).select("documents", "citations", F.explode(F.array_distinct(_split("areas"))).alias("area"))
-    sums = rows.groupBy("area").agg(F.count(F.lit(1)).alias("sources"), F.sum("documents").alias("documents"), F.sum("citations").alias("citations"))
-    share = ratio(F.col("documents"), F.sum("documents").over(Window.partitionBy()), 1, 100)
-    return sums.select("area", "sources", "documents", share.alias("share"), "citations").orderBy(F.desc("documents"), "area")
+    """Areas of the journals; a journal of several areas counts for each, shares are of all documents with a source."""
+    found = scimago_sources(c, journals)
+    whole = F.broadcast(found.agg(F.sum("documents").alias("whole")))
+    rows = found.select("source", "documents", "citations", F.explode(_split("areas")).alias("area"))
+    sums = rows.groupBy("area").agg(F.countDistinct("source").alias("sources"), F.sum("documents").alias("documents"), F.sum("citations").alias("citations"))
+    out = sums.crossJoin(whole).select("area", "sources", "documents", ratio(F.col("documents"), F.col("whole"), 1, 100).alias("share"), "citations")
+    return out.orderBy(F.desc("documents"), F.desc("citations"), "area")
 
 
 @operator
 def subject_categories(c: Corpus, n: int | None = 25, journals: DataFrame | None = None) -> DataFrame:
-    rows = scimago_sources(c, journals).select("documents", "quartile", F.explode(_split("categories")).alias("t"))
-    rows = rows.select("documents", F.trim(F.regexp_replace("t", r"\(Q[1-4]\)\s*$", "")).alias("category"), F.coalesce(F.nullif(F.regexp_extract("t", r"\((Q[1-4])\)", 1), F.lit("")), "quartile").alias("q"))
-    sums = rows.where("category <> ''").groupBy("category").agg(F.count(F.lit(1)).alias("sources"), F.sum("documents").alias("documents"), F.min("q").alias("best_quartile"))
-    return top(sums, n, F.desc("documents"), F.asc("category"))
+    """Categories of the journals with the best quartile that a journal has in each."""
+    rows = scimago_sources(c, journals).select("source", "documents", F.explode(_split("categories")).alias("t"))
+    rows = rows.select("source", "documents", F.trim(F.regexp_replace("t", r"\(Q[1-4]\)\s*$", "")).alias("category"), F.nullif(F.regexp_extract("t", r"\((Q[1-4])\)\s*$", 1), F.lit("")).alias("q"))
+    sums = rows.groupBy("category").agg(F.countDistinct("source").alias("sources"), F.sum("documents").alias("documents"), F.min("q").alias("best_quartile"))
+    return top(sums, n, F.desc("documents"), F.desc("sources"), F.asc("category"))
 
 
 @operator
 def interdisciplinarity(c: Corpus, journals: DataFrame | None = None) -> DataFrame:
-    """Spread of documents over areas: Shannon's and Simpson's indices, evenness and the largest area, one row."""
+    """Spread of documents over areas: Shannon's and Simpson's indices, evenness and the largest area, one row; without areas nulls."""
     areas = subject_areas(c, journals).withColumn("p", F.try_divide(F.col("documents").cast("double"), F.sum("documents").over(Window.partitionBy())))
-    out = areas.agg(F.count(F.lit(1)).alias("areas"), (-F.sum(F.col("p") * F.log("p"))).alias("h"), (1 - F.sum(F.col("p") * F.col("p"))).alias("simpson"), F.min_by("area", F.struct(-F.col("documents"), "area")).alias("top_area"), F.max("share").alias("top_share"))
-    even = F.when(F.col("areas") > 1, rounded(F.col("h") / F.log(F.col("areas").cast("double")), 4))
-    covered = scimago_coverage(c, journals).select(F.col("document_share").alias("coverage"))
-    return out.crossJoin(F.broadcast(covered)).select("areas", rounded(F.col("h"), 4).alias("shannon"), rounded(F.col("simpson"), 4).alias("simpson"), even.alias("evenness"), "top_area", "top_share", "coverage")
+    first = F.min_by(F.struct("area", "share"), F.struct(-F.col("documents"), -F.col("citations"), "area"))
+    out = areas.agg(F.count(F.lit(1)).alias("areas"), (-F.sum(F.col("p") * F.log("p"))).alias("h"), (1 - F.sum(F.col("p") * F.col("p"))).alias("d"), first.alias("best"))
+    even = F.when(F.col("areas") > 1, rounded(F.col("h") / F.log(F.col("areas").cast("double")), 3)).when(F.col("areas") == 1, 0.0)
+    covered = scimago_coverage(c, journals).select("document_share")
+    coverage = F.when(F.col("areas") > 0, F.col("document_share")).otherwise(0.0)
+    return out.crossJoin(F.broadcast(covered)).select("areas", rounded(F.col("h"), 3).alias("shannon"), rounded(F.col("d"), 3).alias("simpson"), even.alias("evenness"), F.col("best.area").alias("top_area"), F.col("best.share").alias("top_area_share"), coverage.alias("coverage"))
 
 
 @operator
 def journal_open_access(c: Corpus, journals: DataFrame | None = None) -> DataFrame:
-    kind = F.when(F.col("open_access_diamond"), ACCESS[0]).when(F.col("open_access"), ACCESS[1]).otherwise(ACCESS[2])
-    return _fixed(c, _weighted(c, journals, kind).where("matched_by <> ''"), "access", ACCESS)
+    """Documents by the access of their journal; that of a journal not in the table is unknown."""
+    kind = F.when(F.col("open_access"), ACCESS[0]).when(~F.col("open_access"), ACCESS[1]).otherwise(ACCESS[2])
+    return _fixed(c, _weighted(c, journals, kind), "access", ACCESS)
 
 
 @operator
 def access_against_journals(c: Corpus, journals: DataFrame | None = None) -> DataFrame:
-    """Documents in open journals, and open documents outside them."""
+    """Documents in open journals, and open documents outside them (none where there is no source at all)."""
     from folioscope.operators.access import document_access
 
-    found = scimago_sources(c, journals).where("open_access").select("source")
+    sources = scimago_sources(c, journals)
+    found = sources.where("open_access").select("source")
     inside = c.documents.withColumn("source", F.trim("source")).join(found, "source", "left_semi").select("eid").distinct()
-    open_docs = document_access(c).where("open").select("eid")
-    return inside.agg(F.count(F.lit(1)).alias("journal_open_documents")).crossJoin(F.broadcast(open_docs.join(inside, "eid", "left_anti").agg(F.count(F.lit(1)).alias("disagreement"))))
-
+    outside = document_access(c).where("open").select("eid").join(inside, "eid", "left_anti").agg(F.count(F.lit(1)).alias("outside"))
+    known = sources.agg((F.count(F.lit(1)) > 0).alias("known"))
+    out = inside.agg(F.count(F.lit(1)).alias("journal_open_documents")).crossJoin(F.broadcast(outside)).crossJoin(F.broadcast(known))
+    return out.select("journal_open_documents", F.when(F.col("known"), F.col("outside")).otherwise(0).alias("disagreement"))

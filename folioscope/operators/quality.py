@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscope.corpus import Corpus, operator
 from folioscope.functions.columns import ratio, rounded
-from folioscope.functions.textual import plain_doi, plain_title
+from folioscope.functions.textual import plain_title
 from folioscope.operators.citations import citation_pairs
 
 # Cells that mean nothing, the fields looked at with what they serve, the checks of the linked tables.
@@ -73,13 +73,13 @@ def table_completeness(c: Corpus) -> DataFrame:
 @operator
 def duplicates(c: Corpus) -> DataFrame:
     """Groups of documents with one DOI, and of those with one long title, whether or not they share a DOI; all different titles of a group are shown, shortened."""
-    docs = c.documents.select("eid", "title", plain_doi(F.col("doi")).alias("doi"), plain_title(F.col("title")).alias("key"))
+    docs = c.documents.select("eid", "title", F.when(is_filled(F.col("doi")), F.lower(F.trim("doi"))).alias("doi"), plain_title(F.col("title")).alias("key"))
     by_doi = docs.where("doi is not null").groupBy("doi").agg(F.count(F.lit(1)).alias("documents")).where("documents > 1")
-    rest = docs.where(F.length("key") >= 25)
+    rest = docs.where(F.length("key") >= 25).join(by_doi.select(F.col("doi").alias("key")), "key", "left_anti")
     by_title = rest.groupBy("key").agg(F.count(F.lit(1)).alias("documents")).where("documents > 1")
-    first = by_doi.join(_titles(docs.where("doi is not null").join(by_doi.select("doi"), "doi", "left_semi"), "doi"), "doi").select(F.lit("doi").alias("kind"), F.col("doi").alias("key"), "documents", "titles")
-    second = by_title.join(_titles(rest.join(by_title.select("key"), "key", "left_semi"), "key"), "key").select(F.lit("title").alias("kind"), "key", "documents", "titles")
-    return first.unionByName(second).orderBy("kind", F.desc("documents"), "key")
+    first = by_doi.join(_titles(docs.where("doi is not null").join(by_doi.select("doi"), "doi", "left_semi"), "doi"), "doi").select(F.lit("DOI").alias("kind"), F.col("doi").alias("key"), "documents", "titles")
+    second = by_title.join(_titles(rest.join(by_title.select("key"), "key", "left_semi"), "key"), "key").select(F.lit("Title").alias("kind"), F.substring("key", 1, 80).alias("key"), "documents", "titles")
+    return first.unionByName(second).orderBy(F.desc("documents"), "kind", "key")
 
 
 def _titles(rows: DataFrame, key: str) -> DataFrame:
@@ -119,7 +119,7 @@ def indicator_readiness(c: Corpus, journals: DataFrame | None = None) -> DataFra
     found = scimago_coverage(c, journals).select("document_share", "matched_sources", F.col("sources").alias("known_sources"))
     one = wide.crossJoin(F.broadcast(pairs)).crossJoin(F.broadcast(found)).crossJoin(F.broadcast(c.documents.agg(F.count(F.lit(1)).alias("total")))).where("total > 0")
     s = lambda k: F.element_at("s", F.lit(k))
-    percent = lambda k: F.format_string("%.0f", s(k))
+    percent = lambda k: F.rint(s(k)).cast("long").cast("string")
     # The analyses, the field each rests on and a note.
     rows = [
         ("Production and growth", s("documents.year"), "Publication year", F.lit("Documents without a year are excluded from every time series.")),

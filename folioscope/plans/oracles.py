@@ -51,7 +51,13 @@ PARTS = {
     "bytitle": "select t, min(eid) as cited from {doi_of} where length(t) >= 25 group by 1",
     "cites": "select citing, cited, min(via) as via from (select r.eid as citing, b.cited, 'doi' as via from {ref_of} r join {bydoi} b on b.doi = r.doi union all select r.eid, b.cited, 'title' from {ref_of} r join {bytitle} b on b.t = r.t where r.doi is null or r.doi not in (select doi from {bydoi})) where citing <> cited group by 1, 2",
     "local": "select d.eid, coalesce(x.n, 0) as n from (select distinct eid from documents) d left join (select cited, count(*) as n from {cites} group by 1) x on x.cited = d.eid",
-    "ages": "select d.year, greatest(d.year - r.ref_year, 0) as age from doc_references r join {docs} d on d.eid = r.eid where r.ref_year is not null and d.year is not null and d.year - r.ref_year between -2 and 200",
+    "ages": "select d.eid, d.year, greatest(d.year - r.ref_year, 0) as age from doc_references r join {docs} d on d.eid = r.eid where r.ref_year is not null and d.year is not null and d.year - r.ref_year between -2 and 200",
+    "card": "select * exclude k from (select *, row_number() over (partition by eid order by c desc, title, year, source, doc_type, doi) as k from {docs}) where k = 1",
+    "journal": "select title as id, title, min(issn) as issn, case length(title) % 5 when 0 then null else 'Q' || length(title) % 5 end as quartile, case length(title) % 3 when 0 then 'Engineering; Physics' when 1 then 'Medicine' else 'Physics' end as areas, case length(title) % 3 when 0 then 'Alloys (Q1); Optics (Q3)' when 1 then 'Surgery' else 'Optics (Q2)' end as categories, length(title) % 2 = 0 as open_access from (select trim(source) as title, case when length(regexp_replace(upper(issn), '[^0-9X]', '', 'g')) = 8 then regexp_replace(upper(issn), '[^0-9X]', '', 'g') end as issn from documents where length(trim(source)) > 0) where length(title) % 7 <> 0 group by title",
+    "issn_of": "select source, issn from (select trim(source) as source, regexp_replace(upper(issn), '[^0-9X]', '', 'g') as issn, row_number() over (partition by trim(source) order by count(*) desc, regexp_replace(upper(issn), '[^0-9X]', '', 'g')) as k from documents where length(trim(source)) > 0 and length(regexp_replace(upper(issn), '[^0-9X]', '', 'g')) = 8 group by 1, 2) where k = 1",
+    "plain_journal": "select *, trim(regexp_replace(lower(strip_accents(title)), '[^a-z0-9]+', ' ', 'g')) as plain from {journal}",
+    "js": "select s.source, s.documents, s.citations, case when a.id is not null then 'issn' when b.id is not null then 'title' else '' end as matched_by, coalesce(a.id, b.id) as id, case when a.id is not null then a.quartile else b.quartile end as quartile, case when a.id is not null then a.areas else b.areas end as areas, case when a.id is not null then a.categories else b.categories end as categories, case when a.id is not null then a.open_access else b.open_access end as open_access from (select trim(source) as source, count(distinct eid) as documents, sum(c)::bigint as citations from {docs} where length(trim(source)) > 0 group by 1) s left join {issn_of} i on i.source = s.source left join (select issn, min(id) as k from {journal} where length(title) % 2 = 0 group by 1) x on x.issn = i.issn left join {journal} a on a.id = x.k left join (select plain, min(id) as k from {plain_journal} where length(plain) >= 8 group by 1) y on y.plain = trim(regexp_replace(lower(strip_accents(s.source)), '[^a-z0-9]+', ' ', 'g')) left join {journal} b on b.id = y.k",
+    "place": "select key, min(coalesce(atlas, common_name, first)) as map_name, min(case when not isnan(lon) then lon end) as lon, min(case when not isnan(lat) then lat end) as lat from (select *, trim(regexp_replace(lower(strip_accents(name)), '\\s+', ' ', 'g')) as key from (select distinct alpha2, atlas, common_name, name as first, lon, lat, unnest([name, common_name, official_name]) as name from countries) where length(trim(name)) > 0) group by 1 having count(distinct alpha2) = 1",
     "works": "select eid, ref_authors, ref_year, ref_title, case when length(trim(ref_doi)) > 0 then 'doi:' || lower(trim(ref_doi)) when length(t) >= 12 then 't:' || t end as key from (select *, nullif(trim(regexp_replace(regexp_replace(lower(strip_accents(ref_title)), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')), '') as t from doc_references)",
 }
 
@@ -112,6 +118,12 @@ def _concentration(unit: str) -> str:
 from (select d, row_number() over (order by d, e) as i, row_number() over (order by d desc, e) as j, count(*) over () as n from ({_levels(unit)}))"""
 
 
+#: Levels of productivity (d, n) and the likeliest exponent a, by halving an interval 60 times, with zeta z(a).
+_LOTKA = """with recursive l as materialized (select d, count(*) as n from (select count(distinct eid) as d from {au} where key is not null group by key) group by 1), m as (select sum(n * ln(d)) / sum(n) as v from l),
+t as materialized (select ln(i::double) as i from (select unnest(range(1, 200001)) as i)), b as (select 1.01::double as lo, 6.0::double as hi, 0 as k
+  union all select case when up then (lo + hi) / 2 else lo end, case when up then hi else (lo + hi) / 2 end, k + 1 from (select lo, hi, k, sum(i * exp(-(lo + hi) / 2 * i)) / sum(exp(-(lo + hi) / 2 * i)) > (select v from m) as up from b, t where k < 60 group by 1, 2, 3)),
+e as (select (lo + hi) / 2 as a from b where k = 60), f as (select a, (select sum(exp(-a * ln(n::double))) from (select unnest(range(1, 100001)) as n)) + pow(100000.5, 1 - a) / (a - 1) as z from e)"""
+
 SQL = {
     "summary": "select (select count(*) from documents) as documents, (select min(year) from {docs}) as year_min, (select max(year) from {docs}) as year_max, (select count(distinct source) from {srcpair}) as sources, (select sum(c)::bigint from {docs}) as citations, (select count(distinct coalesce(scopus_id, 'name:' || name)) from authors) as authors, (select count(distinct raw) from affiliations) as affiliations, (select count(distinct country) from {cc}) as countries, (select count(distinct org) from {inst}) as institutions, (select count(distinct keyword) from keywords where kind = 'author') as keywords, (select count(*) from doc_references) as references, (select count(*) from documents where eid not in (select eid from doc_references)) as documents_without_references",
     "main_information": """with y as (select * from {yearly}), e as (select arg_min(documents, year) as first, arg_max(documents, year) as last, max(year) - min(year) as span from y)
@@ -156,7 +168,7 @@ i as (select country, trim(city) as city, org, count(*) as k from {inst} group b
 select p.country, p.city, coalesce(any_value(l.institutions), 0) as institutions, count(distinct p.eid) as documents, any_value(l.top_institution) as top_institution, r1(100.0 * count(distinct p.eid) / any_value(w.n)) as share_of_country, coalesce(any_value(l.institution_affiliations), '') as institution_affiliations
 from p join w using (country) left join l on l.country = p.country and l.city = p.city group by 1, 2 order by 1, 4 desc, 2 limit 40""",
     "most_cited_documents": "select title, first_author, year, source, doc_type, c as citations, r2(c * 1.0 / (y1 - year + 1)) as citations_per_year, doi from {docs} d left join {firstau} f using (eid) cross join {last} order by c desc, d.eid, title limit 20",
-    "most_normalized_documents": "with m as (select year, avg(c) as v from {docs} where year is not null group by 1), s as (select d.eid, max(case when m.v > 0 then r3(d.c / m.v) else 0 end) as n, max(coalesce(r2(m.v), 0)) as y from {docs} d left join m on m.year = d.year group by 1) select d.eid, min(title) as title, any_value(first_author) as first_author, min(year) as year, min(source) as source, max(c) as citations, any_value(s.y) as year_mean_citations, any_value(s.n) as normalized_citations from {docs} d join s using (eid) left join {firstau} f using (eid) group by 1 order by 8 desc, 1 limit 25",
+    "most_normalized_documents": "with m as (select year, avg(c) as v from {docs} where year is not null group by 1), s as (select d.eid, max(case when m.v > 0 then r3(d.c / m.v) else 0 end) as n, max(coalesce(r2(m.v), 0)) as y from {docs} d left join m on m.year = d.year group by 1) select d.eid, title, first_author, year, source, c as citations, s.y as year_mean_citations, s.n as normalized_citations from {card} d join s using (eid) left join {firstau} f using (eid) order by 8 desc, 1 limit 25",
     "document_list": "select title, first_author, year, source, doc_type, c as citations, n as local_citations, doi from {docs} d left join {firstau} f using (eid) left join {local} l using (eid) order by c desc nulls last, d.eid, doi nulls first limit 100",
     "most_cited_references": """with r as (select *, coalesce(case when length(trim(ref_doi)) > 0 then lower(trim(ref_doi)) end, 't:' || lower(trim(coalesce(ref_title, '')))) as key from doc_references), b as (select key, count(distinct eid) as n, min(ref_doi) as ref_doi from r group by 1 order by 2 desc, 1 limit 20),
 t as (select key, ref_title from (select key, ref_title, row_number() over (partition by key order by count(*) desc, ref_title) as k from r where ref_title is not null group by 1, 2) where k = 1), y as (select key, ref_year from (select key, ref_year, row_number() over (partition by key order by count(*) desc, ref_year) as k from r where ref_year is not null group by 1, 2) where k = 1)
@@ -172,33 +184,36 @@ union all select 'No author', (select count(*) from e where eid not in (select e
 union all select 'No affiliation', (select count(*) from e where eid not in (select eid from affiliations)), 'medium', 'Absent from institutions, cities and countries.'
 union all select 'No reference', (select count(*) from e where eid not in (select eid from doc_references)), 'medium', 'Cannot cite locally, nor take part in coupling.'
 union all select 'No keyword', (select count(*) from e where eid not in (select eid from keywords)), 'medium', 'Absent from co-word, thematic map and evolution.')""",
-    "duplicates": """with d as (select o.eid, o.doi, o.t, left(coalesce(x.title, ''), 60) as s from (select row_number() over () as i, * from {doi_of}) o join (select row_number() over () as i, title from documents) x using (i)),
-g as (select doi, count(*) as n from d where doi is not null group by 1 having count(*) > 1), done as (select distinct t from d where doi in (select doi from g)), h as (select t, count(*) as n from d where length(t) >= 25 group by 1 having count(*) > 1)
-select 'doi' as kind, doi as key, any_value(g.n) as documents, string_agg(distinct s, ' | ' order by s) as titles from d join g using (doi) group by 2
-union all select 'title', t, any_value(h.n), string_agg(distinct s, ' | ' order by s) from d join h using (t) where t not in (select t from done where t is not null) group by 2""",
+    "duplicates": """with d as (select o.eid, case when lower(trim(x.doi)) not in ('', 'nan', 'none', 'na', 'null', '<na>', 'nat', '-') then lower(trim(x.doi)) end as doi, o.t, left(coalesce(x.title, ''), 60) as s from (select row_number() over () as i, * from {doi_of}) o join (select row_number() over () as i, title, doi from documents) x using (i)),
+g as (select doi, count(*) as n from d where doi is not null group by 1 having count(*) > 1), h as (select t, count(*) as n from d where length(t) >= 25 and t not in (select doi from g) group by 1 having count(*) > 1)
+select 'DOI' as kind, doi as key, any_value(g.n) as documents, string_agg(distinct s, ' | ' order by s) as titles from d join g using (doi) group by 2
+union all select 'Title', left(t, 80), any_value(h.n), string_agg(distinct s, ' | ' order by s) from d join h using (t) group by t""",
     "cagr": "with e as (select arg_min(documents, year) as a, arg_max(documents, year) as b, max(year) - min(year) as n from {yearly}) select case when n > 0 and a > 0 then r2((pow(b * 1.0 / a, 1.0 / n) - 1) * 100) end as cagr from e",
     "agr": "select year, documents, case when lag(documents) over (order by year) > 0 then r2(100.0 * (documents - lag(documents) over (order by year)) / lag(documents) over (order by year)) end as agr, sum(documents) over (order by year)::bigint as cumulative from {yearly}",
     "rgr_doubling_time": "with a as (select year, documents, sum(documents) over (order by year)::bigint as cumulative from {yearly}), b as (select *, ln(cumulative) as l, ln(cumulative) - lag(ln(cumulative)) over (order by year) as q from a) select year, documents, cumulative, r4(l) as ln_cumulative, r4(q) as rgr, case when q > 0 then r2(ln(2) / q) end as doubling_time from b",
     "collaboration_indicators": """with s as (select count(*) as n, sum(case when j = 1 then 1 else 0 end) as one, sum(j) as signed, sum(1.0::double / j) as parts, max(j) as most from {perdoc}), a as (select count(distinct coalesce(scopus_id, 'name:' || name)) as a from authors)
 select n as documents, one::bigint as single_authored, (n - one)::bigint as multi_authored, r4((n - one) * 1.0 / n) as degree_of_collaboration, r4(signed * 1.0 / n) as collaboration_index, r4(1 - parts / n) as collaborative_coefficient, r4((1 - parts / n) * a / (a - 1)) as modified_collaborative_coefficient, a as authors, r4(n * 1.0 / a) as aapp, most as max_authors from s, a""",
     "authorship_pattern": "select j as authors, count(*) as documents, r2(100.0 * count(*) / sum(count(*)) over ()) as share from {perdoc} group by 1",
-    "authorship_groups": "with rows as (select case when j >= 4 then '4 authors or more' when j = 1 then '1 author' else j || ' authors' end as k, c from {docs} join {perdoc} using (eid)), cat as (select * from (values (1, '1 author'), (2, '2 authors'), (3, '3 authors'), (4, '4 authors or more')) t(place, name)) select name as \"group\", place::bigint as min_authors, documents, " + _SHARES + f" from ({_CAT})",
+    "authorship_groups": "with rows as (select case when j >= 4 then '4+ authors' when j = 1 then '1 author' else j || ' authors' end as k, c from {docs} join {perdoc} using (eid)), cat as (select * from (values (1, '1 author'), (2, '2 authors'), (3, '3 authors'), (4, '4+ authors')) t(place, name)) select name as \"group\", place::bigint as min_authors, documents, " + _SHARES + f" from ({_CAT})",
     "cai": """with y as (select eid, min(year) as year from {docs} where year is not null group by 1), p as (select least(j, 4) as band, year from {perdoc} join y using (eid)), b as (select min(year) as y0, max(year) as y1 from p), q as (select (year - y0) // 5 as block, band, y0, y1 from p, b),
 t as (select band, count(*) as n from q group by 1), s as (select block, any_value(y0) + block * 5 as a, least(any_value(y0) + block * 5 + 4, any_value(y1)) as z, count(*) as n, count(*) filter (band = 1) as b1, count(*) filter (band = 2) as b2, count(*) filter (band = 3) as b3, count(*) filter (band = 4) as b4 from q group by 1)
 select case when z > a then a || '-' || z else a::varchar end as period, n as documents, b1 as single, b2 as two, b3 as three, b4 as multi, """ + ", ".join(f"r1((b{i}::double / n) / (((select n from t where band = {i})::double) / (select sum(n) from t)) * 100) as cai_{name}" for i, name in enumerate(("single", "two", "three", "multi"), 1)) + " from s",
     "price_law": """with a as (select key, count(distinct eid) as d from {au} where key is not null group by 1), r as (select d, row_number() over (order by d desc, key) as i, sum(d) over (order by d desc, key rows unbounded preceding) as s from a), w as (select count(*) as n, sum(d)::bigint as t, round_even(sqrt(count(*)), 0)::bigint as core from a)
-select n as authors, t as contributions, core as core_authors, (select sum(d)::bigint from r where i <= core) as core_contributions, r1(100.0 * (select sum(d) from r where i <= core) / t) as observed_share, (select min(i) from r where s >= t / 2.0) as authors_for_half, r1(100.0 * (select sum(d) from r where i <= core) / t) >= 50 as holds from w""",
+select n as authors, coalesce(t, 0) as signatures, core as expected_core, r1(100.0 * (select sum(d) from r where i <= core) / t) as observed_share, (select min(i) from r where s >= t / 2.0) as half_reached_with from w""",
     "documents_by_affiliation_count": "select coalesce(k, 0) as affiliations, count(*) as documents, r1(100.0 * count(*) / sum(count(*)) over ()) as share from (select distinct eid from documents) left join (select eid, count(distinct trim(parent1)) as k from affiliations where length(trim(parent1)) > 0 group by 1) using (eid) group by 1",
-    "lotka_table": "with a as (select key, count(distinct eid) as d from {au} where key is not null group by 1), l as (select d, count(*) as n from a group by 1) select d as documents_written, n as n_authors, r2(100.0 * n / sum(n) over ()) as share_observed, r2(600.0 / (pi() * pi()) / (d * d)) as share_lotka, coalesce((select n from l where d = 1), 0) as single_document_authors from l",
-    "lotka_fit": "with a as (select key, count(distinct eid) as d from {au} where key is not null group by 1), l as (select log10(d) as x, log10(count(*)) as y from a group by d) select r3(-regr_slope(y, x)) as exponent, r3(pow(10, regr_intercept(y, x))) as constant, r4(regr_r2(y, x)) as r2 from l",
+    "lotka_table": _LOTKA + " select d as documents_written, n as n_authors, r4(n * 1.0 / (select sum(n) from l)) as share_observed, r4(pow(d, -a) / z) as share_fitted, r4(6 / (pi() * pi()) / (d * d)) as share_lotka from l, f",
+    "lotka_fit": _LOTKA + " select any_value(r6(a)) as exponent, any_value(r6(1 / z)) as constant, r6(regr_r2(log10(n), log10(d))) as r2, r6(-regr_slope(log10(n), log10(d))) as exponent_ols from l, f",
+    "lotka_tests": _LOTKA + """, g as (select unnest(range(1, (select max(d) from l) + 1)) as x), c as (select law, x, sum(coalesce(n, 0)) over w / (select sum(n) from l) as o, sum(pow(x, -e) / s) over w as t from g left join l on l.d = g.x cross join (select 'fitted' as law, a as e, z as s from f union all select 'strict', 2.0, pi() * pi() / 6) window w as (partition by law order by x)),
+k as (select law, max(abs(o - t)) as d, (select sum(n) from l) as n from c group by 1)
+select law, r4(d) as d, r4(least(1, greatest(0, 2 * (select sum(case when i % 2 = 1 then 1 else -1 end * exp(-2 * i * i * n * d * d)) from (select unnest(range(1, 101)) as i))))) as p_value, r4(1.36 / sqrt(n)) as critical_5pct, d <= 1.36 / sqrt(n) as follows_lotka from k""",
     "bradford": "with s as (select source, count(distinct eid) as d from {srcpair} group by 1), q as (select *, row_number() over w as i, sum(d) over (w rows unbounded preceding)::bigint as c, sum(d) over () as t from s window w as (order by d desc, source)) select i as rank, source, d as documents, c as cumulative, least(3, (c - d) * 3 // t + 1)::bigint as zone from q",
     "bradford_zones": "with s as (select source, count(distinct eid) as d from {srcpair} group by 1), q as (select *, sum(d) over (order by d desc, source rows unbounded preceding) as c, sum(d) over () as t from s), z as (select least(3, (c - d) * 3 // t + 1)::bigint as zone, count(*) as sources, sum(d)::bigint as documents from q group by 1) select zone, sources, documents, r2(sources * 1.0 / lag(sources) over (order by zone)) as multiplier from z",
     "zipf": "with k as (select norm, count(distinct eid) as f from {kwa} group by 1), q as (select *, row_number() over (order by f desc, norm) as i from k), t as (select regr_slope(log10(f), log10(i)) as s, regr_intercept(log10(f), log10(i)) as a from q) select i as rank, n.name as keyword, f as frequency, r2(pow(10, a + s * log10(i))) as predicted from q join {kwname} n using (norm), t where i <= 100",
     "zipf_fit": "with k as (select norm, count(distinct eid) as f from {kwa} group by 1), q as (select log10(f) as y, log10(row_number() over (order by f desc, norm)) as x from k) select r3(-regr_slope(y, x)) as exponent, r3(pow(10, regr_intercept(y, x))) as constant, r4(regr_r2(y, x)) as r2 from q",
     "concentration_summary": " union all ".join(map(_concentration, ("authors", "institutions", "countries", "sources", "cities"))),
     "lorenz": "with q as (select d, row_number() over (order by d, e) as i, sum(d) over (order by d, e rows unbounded preceding) as s, count(*) over () as n, sum(d) over () as t from (" + _levels("authors") + ")), k as (select distinct floor(u * n / 39.0)::bigint as i from (select unnest(range(0, 40)) as u) cross join (select any_value(n) as n from q)) select 0.0 as population_share, 0.0 as value_share union all select r4(i * 1.0 / n), r4(s * 1.0 / t) from q join k using (i)",
-    "price_index": "select count(*) as references, r2(100.0 * sum(case when age < 5 then 1 else 0 end) / count(*)) as price_index, r1(median(age)) as median_age, r2(avg(age)) as mean_age, r1(median(age)) as half_life from {ages}",
-    "price_index_by_year": "select year, (select count(distinct r.eid) from doc_references r join {docs} d on d.eid = r.eid where r.ref_year is not null and d.year = a.year) as documents, count(*) as references, r2(100.0 * sum(case when age < 5 then 1 else 0 end) / count(*)) as price_index, r1(median(age)) as median_age from {ages} a group by 1",
+    "price_index": "select r1(100.0 * sum(case when age < 5 then 1 else 0 end) / count(*)) as price_index, count(*) as references, r1(median(age)) as median_age, r1(avg(age)) as mean_age, r1(median(age)) as half_life, count(distinct eid) as documents_with_references, 5::bigint as window from {ages}",
+    "price_index_by_year": "select year, count(distinct eid) as documents, count(*) as references, r1(100.0 * sum(case when age < 5 then 1 else 0 end) / count(*)) as price_index, r1(median(age)) as median_age from {ages} group by 1",
     "reference_age_distribution": "with g as (select unnest(range(0, least(max(age), 40) + 1)) as age from {ages}), c as (select age, count(*) as n from {ages} group by 1), s as (select g.age, coalesce(n, 0) as n, r2(100.0 * coalesce(n, 0) / (select count(*) from {ages})) as share from g left join c on c.age = g.age) select age, n as references, share, r2(sum(share) over (order by age)) as cumulative_share from s",
     "reference_spectroscopy": """with r as (select *, ref_year::bigint as year from doc_references where ref_year >= 1800 and ref_year <= (select max(year) from documents)), g as (select unnest(range(min(year), max(year) + 1)) as year from r), c as (select g.year, count(r.eid) as n from g left join r on r.year = g.year group by 1),
 m as (select year, n, median(n) over (order by year rows between 2 preceding and 2 following) as m from c), l as (select median(n - m) as v from m where n > m),
@@ -207,12 +222,12 @@ select m.year, n as references, r1(m) as median_5, r1(n - m) as deviation, coale
     "citation_pairs": "select * from {cites}", "local_citations": "select eid, n as local_citations from {local}",
     "most_local_cited_authors": "select name as author, sum(n)::bigint as local_citations, count(*) as documents from (select distinct name, eid from authors where length(trim(name)) > 0) join {local} using (eid) group by 1 having sum(n) > 0 order by 2 desc, 3 desc, 1 limit 20",
     "most_local_cited_sources": "select source, sum(n)::bigint as local_citations, count(*) as documents from {srcpair} join {local} using (eid) group by 1 having sum(n) > 0 order by 2 desc, 3 desc, 1 limit 20",
-    "most_local_cited_documents": """with c as (select eid, min(title) as title, min(year) as year, min(source) as source, max(c) as citations from {docs} group by 1), q as (select *, upper(coalesce(first_author, '?')) || ', ' || coalesce(year::varchar, 'n.d.') as base from c join {local} l using (eid) left join {firstau} f using (eid) where n > 0), k as (select *, row_number() over (partition by base order by title, eid) as k from q)
+    "most_local_cited_documents": """with q as (select *, c as citations, upper(coalesce(first_author, '?')) || ', ' || coalesce(year::varchar, 'n.d.') as base from {card} join {local} l using (eid) left join {firstau} f using (eid) where n > 0), k as (select *, row_number() over (partition by base order by title nulls first, eid) as k from q)
 select case when k = 1 then base when k <= 26 then base || '-' || chr((k + 96)::int) else base || '-' || k end as label, title, first_author, year, source, n as local_citations, citations as global_citations, case when citations > 0 then r2(100.0 * n / citations) end as lc_gc_ratio, r2(n * 1.0 / (y1 - year + 1)) as local_citations_per_year from k cross join {last} order by n desc, citations desc, eid limit 20""",
     "self_citation_summary": " union all ".join(f"select '{level}' as level, (select count(*) from {{cites}}) as citations, n as self_citations, (select count(*) from {{cites}}) - n as external, r1(100.0 * n / (select count(*) from {{cites}})) as self_rate from (select count(*) as n from (select distinct p.citing, p.cited from {{cites}} p join {pairs} a on a.eid = p.citing join {pairs} b on b.eid = p.cited and a.{key} = b.{key}))" for level, pairs, key in (("authors", "{au}", "key"), ("institutions", "{org}", "org"), ("countries", "{cc}", "country"))),
     "authors_self_citation": """with o as (select distinct eid, key from {au} where key is not null), r as (select b.key, count(*) as n, count(a.key) as s from {cites} p join o b on b.eid = p.cited left join o a on a.eid = p.citing and a.key = b.key group by 1)
 select name as author, (select count(*) from o where o.key = r.key) as documents, n as local_citations, s as self_citations, n - s as external_citations, r1(100.0 * s / n) as self_rate from r join {auname} using (key) order by 4 desc, 3 desc, key limit 20""",
-    "country_map": "with s as (select eid, count(*) as k from {cc} group by 1) select country, count(distinct p.eid) as documents, coalesce(sum(c), 0)::bigint as citations, count(distinct case when k = 1 then p.eid end) as sca, count(distinct case when k > 1 then p.eid end) as mca, r4(count(distinct case when k > 1 then p.eid end) * 1.0 / count(distinct p.eid)) as mca_ratio, null::varchar as map_name, null::double as lon, null::double as lat from {cc} p join s using (eid) left join {docs} d on d.eid = p.eid group by 1",
+    "country_map": "with s as (select eid, count(*) as k from {cc} group by 1) select country, count(distinct p.eid) as documents, coalesce(sum(c), 0)::bigint as citations, count(distinct case when k = 1 then p.eid end) as sca, count(distinct case when k > 1 then p.eid end) as mca, r4(count(distinct case when k > 1 then p.eid end) * 1.0 / count(distinct p.eid)) as mca_ratio, any_value(g.map_name) as map_name, any_value(g.lon) as lon, any_value(g.lat) as lat from {cc} p join s using (eid) left join {docs} d on d.eid = p.eid left join {place} g on g.key = trim(regexp_replace(lower(strip_accents(p.country)), '\\s+', ' ', 'g')) group by 1",
     "trend_topics": "with y as (select eid, min(year) as year from {docs} where year is not null group by 1), k as (select distinct norm, eid, year from {kwa} join y using (eid)) select name as keyword, count(*) as documents, round_even(quantile_cont(year, 0.25), 0)::bigint as year_q1, round_even(quantile_cont(year, 0.5), 0)::bigint as year_median, round_even(quantile_cont(year, 0.75), 0)::bigint as year_q3 from k join {kwname} using (norm) group by norm, name having count(*) >= 2 order by 2 desc, norm limit 25",
     "three_fields": """with a as (select distinct eid, name as v from authors where length(trim(name)) > 0), b as (select distinct eid, name as v from {kwa} join {kwname} using (norm)), c as (select eid, source as v from {srcpair}), """ + ", ".join(f"{x}_top as (select {x}.* from {x} join (select v from {x} group by 1 order by count(*) desc, 1 limit 10) using (v))" for x in "abc") + """
 select x.v as source, y.v as target, count(distinct eid) as value, 0::bigint as depth from a_top x join b_top y using (eid) group by 1, 2 union all select x.v, y.v, count(distinct eid), 1 from b_top x join c_top y using (eid) group by 1, 2""",
@@ -247,18 +262,70 @@ SQL["citation_balance"] = "with e as (" + SQL["citation_network_sources_edges"]
 
 _AGR = "select case when lag(documents) over (order by year) > 0 then r2(100.0 * (documents - lag(documents) over (order by year)) / lag(documents) over (order by year)) end as agr from {yearly}"
 _RGR = "select r4(q) as rgr, case when q > 0 then r2(ln(2) / q) end as d from (select ln(c) - lag(ln(c)) over (order by year) as q from (select year, sum(documents) over (order by year) as c from {yearly}))"
-_LINKS = "select a.key, a.eid, coalesce(o.org, a.eid || '#' || l.aff_pos) as org, o.org as named from {au} a join (select distinct eid, position, aff_pos from author_affiliations where aff_pos is not null) l on l.eid = a.eid and l.position = a.position left join (select eid, aff_pos, min(case when length(trim(parent1)) > 0 then trim(parent1) end) as org from affiliations group by 1, 2) o on o.eid = l.eid and o.aff_pos = l.aff_pos where a.key is not null"
+_LINKS = "select a.key, a.eid, coalesce(o.org, 'aff#' || coalesce(l.aff_pos::varchar, '?')) as org from {au} a join (select distinct eid, position, aff_pos from author_affiliations) l on l.eid = a.eid and l.position = a.position left join (select eid, aff_pos, min(case when length(trim(parent1)) > 0 then trim(parent1) end) as org from affiliations group by 1, 2) o on o.eid = l.eid and o.aff_pos = l.aff_pos where a.key is not null"
+_SEVERAL = "m as (select key, max(k) as k from (select key, eid, count(distinct org) as k from l group by 1, 2) group by 1), g as (select key, count(distinct eid) as documents, count(distinct org) as institutions from l group by 1 having count(distinct org) >= 2)"
+_TREND = "with y as (select *, year - min(year) over () as t from {yearly}), f as (select regr_slope(documents, t) as s, regr_intercept(documents, t) as i, count(*) as n, max(year) as z, min(year) as a, avg(documents) as m from y)"
+_AREAS = "with areas as (select area, count(distinct source) as sources, sum(documents)::bigint as documents, r1(100.0 * sum(documents) / (select sum(documents) from {js})) as share, sum(citations)::bigint as citations from (select source, documents, citations, trim(unnest(string_split(areas, ';'))) as area from {js}) group by 1)"
+SQL |= {
+    "growth_summary": "with e as (select arg_min(documents, year) as a, arg_max(documents, year) as b, max(year) - min(year) as n from {yearly}) select case when n > 0 and a > 0 then r2((pow(b * 1.0 / a, 1.0 / n) - 1) * 100) end as cagr, (select r2(avg(agr)) from (" + _AGR + ")) as agr_mean, (select r4(avg(rgr)) from (" + _RGR + ")) as rgr_mean, (select r2(avg(d)) from (" + _RGR + ")) as doubling_time_mean from e",
+    "cochran_sample_size": "select count(*) as population, 0.95::double as confidence, 0.05::double as margin_of_error, 0.5::double as proportion, 1.96::double as z_score, 385::bigint as sample_size_infinite, ceil(384.16 / (1 + 383.16 / count(*)))::bigint as sample_size, r1(100.0 * ceil(384.16 / (1 + 383.16 / count(*))) / count(*)) as sampling_fraction from documents",
+    "authors_by_affiliation_count": "with l as (" + _LINKS + "), " + _SEVERAL + ", s as (select key, string_agg(org, '; ' order by org) as t from (select key, org, row_number() over (partition by key order by org) as r from (select distinct key, org from l)) where r <= 6 group by 1) select name as author, case when starts_with(g.key, 'name:') then '' else g.key end as scopus_id, documents, institutions, m.k as max_in_one_document, s.t as affiliations from g join m using (key) join s using (key) join {auname} using (key) order by 5 desc, 4 desc, 3 desc, 1, g.key limit 20",
+    "affiliation_profile": "with l as (" + _LINKS + "), " + _SEVERAL + ", d as (select coalesce(k, 0) as k from (select distinct eid from documents) left join (select eid, count(distinct trim(parent1)) as k from affiliations where length(trim(parent1)) > 0 group by 1) using (eid)), x as (select (select count(*) from documents) as n, (select count(*) from {perdoc} where j = 1) as a, (select count(*) from d where k = 1) as b, (select count(*) from d where k = 2) as c, (select count(*) from d where k >= 3) as e) select n as documents, a as single_author_documents, r2(100.0 * a / n) as single_author_share, b as single_affiliation_documents, r2(100.0 * b / n) as single_affiliation_share, c as two_affiliation_documents, r2(100.0 * c / n) as two_affiliation_share, e as many_affiliation_documents, r2(100.0 * e / n) as many_affiliation_share, (select count(distinct coalesce(scopus_id, 'name:' || name)) from authors) as authors, (select count(*) from g) as authors_with_several_affiliations, (select count(*) from g join m using (key) where m.k >= 2) as authors_with_double_affiliation from x",
+    "access_summary": "with o as (select eid, trim(source) as source, regexp_matches(lower(coalesce(open_access, '')), '\\b(gold|hybrid|bronze|green)\\b|\\bopen\\s*access\\b') as open from documents), j as (select distinct eid from o where source in (select source from {js} where open_access)) select count(*) as documents, count(*) filter (open) as reported, count(*) filter (open) as open_documents, case when count(*) filter (open) > 0 then 100.0::double end as open_share_of_reported, (select count(*) from j) as journal_open_documents, count(*) filter (open and eid not in (select eid from j)) as disagreement from o",
+    "trend_forecast_table": _TREND + " select year, documents, r2(i + s * t) as fitted, 'observed' as kind from y, f union all select z + k, null, r2(greatest(i + s * (z + k - a), 0)), 'forecast' from f, (select unnest(range(1, 6)) as k)",
+    "trend_forecast_fit": _TREND + ", e as (select sum((documents - (i + s * t)) ** 2) as p, sum((documents - m) ** 2) as q from y, f) select 'linear' as model, r3(s) as slope, 'additional documents per year' as slope_label, r3(i) as intercept, r4(1 - p / q) as r2, r2(sqrt(p / (n - 2))) as rmse, n as years_used, z as last_year, z >= 2026 as last_year_partial from f, e",
+    "scimago_sources": "select source, documents, citations, matched_by, id as scimago_id, id as scimago_title, quartile, areas, categories, open_access from {js}",
+    "quartile_distribution": "with cat as (select * from (values (0, 'Q1'), (1, 'Q2'), (2, 'Q3'), (3, 'Q4'), (4, 'Not indexed')) t(place, quartile)), n as (select sum(documents) as n from {js}) select cat.quartile, count(source) as sources, coalesce(sum(documents), 0)::bigint as documents, r1(100.0 * coalesce(sum(documents), 0) / any_value(n)) as share, coalesce(sum(citations), 0)::bigint as citations, coalesce(r2(sum(citations) * 1.0 / sum(documents)), 0) as citations_per_document from cat left join (select source, documents, citations, coalesce(quartile, 'Not indexed') as q from {js}) on q = cat.quartile cross join n group by 1",
+    "quartile_over_time": "with d as (select d.eid, d.year, coalesce(quartile, 'Not indexed') as quartile from {docs} d left join {js} j on j.source = trim(d.source) where d.year is not null), g as (select * from (select distinct year from d), (select unnest(['Q1', 'Q2', 'Q3', 'Q4', 'Not indexed']) as quartile)), c as (select year, quartile, count(distinct eid) as n from d group by 1, 2) select year, quartile, coalesce(n, 0) as documents, r1(100.0 * coalesce(n, 0) / sum(n) over (partition by year)) as share from g left join c using (year, quartile)",
+    "scimago_coverage": "select (select count(*) > 0 from {journal}) as available, count(*) as sources, count(*) filter (matched_by <> '') as matched_sources, count(*) filter (matched_by = 'issn') as matched_by_issn, count(*) filter (matched_by = 'title') as matched_by_title, sum(documents)::bigint as documents, coalesce(sum(documents) filter (matched_by <> ''), 0)::bigint as matched_documents, r1(100.0 * coalesce(sum(documents) filter (matched_by <> ''), 0) / sum(documents)) as document_share from {js}",
+    "subject_areas": _AREAS + " select * from areas",
+    "subject_categories": "select category, count(distinct source) as sources, sum(documents)::bigint as documents, min(q) as best_quartile from (select source, documents, trim(regexp_replace(t, '\\(Q[1-4]\\)\\s*$', '')) as category, nullif(regexp_extract(t, '\\((Q[1-4])\\)\\s*$', 1), '') as q from (select source, documents, trim(unnest(string_split(categories, ';'))) as t from {js})) group by 1 order by 3 desc, 2 desc, 1 limit 25",
+    "interdisciplinarity": _AREAS + ", p as (select area, citations, documents, share, documents::double / sum(documents) over () as p from areas) select count(*) as areas, r3(-sum(p * ln(p))) as shannon, r3(1 - sum(p * p)) as simpson, case when count(*) > 1 then r3(-sum(p * ln(p)) / ln(count(*))) else 0.0 end as evenness, arg_min(area, (-documents, -citations, area)) as top_area, arg_min(share, (-documents, -citations, area)) as top_area_share, (select r1(100.0 * coalesce(sum(documents) filter (matched_by <> ''), 0) / sum(documents)) from {js}) as coverage from p",
+    "journal_open_access": "with cat as (select unnest(['Open access', 'Subscription', 'Unknown']) as access), n as (select sum(documents) as n from {js}) select access, count(source) as sources, coalesce(sum(documents), 0)::bigint as documents, r1(100.0 * coalesce(sum(documents), 0) / any_value(n)) as share, coalesce(sum(citations), 0)::bigint as citations, coalesce(r2(sum(citations) * 1.0 / sum(documents)), 0) as citations_per_document from cat left join (select *, case when open_access then 'Open access' when not open_access then 'Subscription' else 'Unknown' end as k from {js}) on k = access cross join n group by 1",
+    "historiograph_nodes": "with t as (select eid, n from {local} where n > 0 order by n desc, eid limit 25) select d.eid as id, title, first_author, year, source, t.n as local_citations, c as citations from {card} d join t using (eid) left join {firstau} f using (eid)",
+}
+
+
+_READY = "with s as (select 'documents' as t, field, share from (" + SQL["field_completeness"] + ") union all select \"table\", field, share from (" + SQL["table_completeness"] + ")), r as (" + " union all ".join(
+    f"select '{name}' as analysis, {coverage} as coverage, '{basis}' as basis, {note} as note" for name, coverage, basis, note in (
+        (name, f"(select share from s where t = '{at.split('.')[0]}' and field = '{at.split('.')[1]}')" if at else "0.0", basis, note) for name, at, basis, note in (
+            ("Production and growth", "documents.year", "Publication year", "'Documents without a year are excluded from every time series.'"),
+            ("Impact indices (h, g, i10, e, m)", "documents.cited_by", "Citation count", "'Computed on THIS corpus, not on each person''s whole body of work.'"),
+            ("Author analysis", "authors.name", "Author names", "'Scopus identifier present on ' || (select round_even(share, 0)::int from s where t = 'authors' and field = 'scopus_id') || ' % of rows, homonyms are only separable where it is.'"),
+            ("Institutions", "affiliations.parent1", "Parent organisation", "'Internal units filled on ' || (select round_even(share, 0)::int from s where t = 'affiliations' and field = 'subparent') || ' % of affiliations.'"),
+            ("Cities and geography", "affiliations.city", "City", "'Drives the local / national / international collaboration scale.'"),
+            ("Keywords and thematic map", "keywords.keyword", "Keywords", "'Co-word, thematic map and evolution all rest on this field.'"),
+            ("Text mining", "documents.abstract", "Abstract", "'Terms are extracted from titles and abstracts.'"),
+            ("Local citations and historiograph", "references.ref_doi", "Reference DOIs", "(select count(*) from {cites}) || ' internal citation links actually matched.'"),
+            ("SCImago quartiles and SJR", "", "ISSN matching", "'0 of ' || (select count(distinct trim(source)) from documents where length(trim(source)) > 0) || ' sources matched.'"),
+            ("Open access", "documents.open_access", "Open access flag", "'Scopus only flags OPEN articles; a blank is not a closed article.'"),
+        )
+    )
+) + ")"
+SQL |= {
+    "indicator_readiness": _READY + " select analysis, case when coverage >= 90 then 'ready' when coverage >= 50 then 'partial' else 'limited' end as status, coverage, basis, note from r",
+    "quality_summary": _READY + ", dups as (" + SQL["duplicates"] + "), odd as (" + SQL["anomalies"] + ") select (select count(*) from documents) as documents, count(*) as analyses, count(*) filter (coverage >= 90) as ready, count(*) filter (coverage >= 50 and coverage < 90) as partial, count(*) filter (coverage < 50) as limited, (select count(*) from dups) as duplicate_groups, (select count(*) from odd where severity = 'high' and documents > 0) as high_severity_issues, r1(avg(coverage)) as mean_coverage from r",
+    "overlay_years_keywords": "select norm as id, r2(avg(year)) as overlay_year from (select distinct norm, eid from {kw}) join (select distinct eid, year from {docs} where year is not null) using (eid) group by 1",
+    "overlay_years_countries": "select country as id, r2(avg(year)) as overlay_year from {cc} join (select distinct eid, year from {docs} where year is not null) using (eid) group by 1",
+}
+#: The co-word network in both directions, as links (a, b, w) and their nodes.
+_LINKED = _pairs(_WORDS, 50, 2) + ", links as (select source as a, target as b, weight as w from edges union all select target, source, weight from edges), n as (select distinct a as id from links), deg as (select a as id, count(*) as k, sum(w) as s from links group by 1), tri as (select x.a as id, count(*) as t, sum(cbrt(x.w * y.w * z.w / pow((select max(w) from links), 3))) as v from links x join links y on y.a = x.b join links z on z.a = y.b and z.b = x.a group by 1)"
+_FIRST = "trim(split_part(replace(ref_authors, ',', ';'), ';', 1))"
+_MODE = "select key, {v} from (select key, {v}, row_number() over (partition by key order by count(*) desc, {v}) as k from (select key, {e} as {v} from {{works}} where key is not null) where {w} group by 1, 2) where k = 1"
+_USUAL = {v: _MODE.format(v=v, e=e, w=w).replace("{{", "{").replace("}}", "}") for v, e, w in (("who", _FIRST, "length(who) > 0"), ("y", "ref_year", "y is not null"), ("ti", "ref_title", "ti is not null"))}
+SQL["co_citation_nodes"] = _pairs("select distinct eid, key from {works} where key is not null", 50, 2) + _nodes("concat_ws(' · ', coalesce(a.who, '?') || coalesce(' (' || b.y || ')', ''), left(c.ti, 70))", f"left join ({_USUAL['who']}) a on a.key = t.key left join ({_USUAL['y']}) b on b.key = t.key left join ({_USUAL['ti']}) c on c.key = t.key")
+SQL |= {
+    "network_summary": _LINKED.replace("with m as", "with recursive m as", 1) + ", reach as (select id, id as r from n union select reach.id, links.b from reach join links on links.a = reach.r) select (select count(*) from n) as nodes, (select count(*) from edges) as edges, r4(2.0 * (select count(*) from edges) / ((select count(*) from n) * ((select count(*) from n) - 1))) as density, r4((select sum(t)::double from tri) / (select sum(k * (k - 1)) from deg)) as transitivity, (select count(distinct c) from (select id, min(r) as c from reach group by 1)) as components, r2(2.0 * (select count(*) from edges) / (select count(*) from n)) as mean_degree",
+    "network_measures": _LINKED.replace("with m as", "with recursive m as", 1) + ", p as (select id, 1.0::double / (select count(*) from n) as r, 0 as i from n union all select l.b, 0.15 / (select count(*) from n) + 0.85 * sum(p.r * l.w / d.s), any_value(p.i) + 1 from p join links l on l.a = p.id join deg d on d.id = p.id where p.i < 200 group by 1) select deg.id, r5(p.r) as pagerank, case when k > 1 then r4(coalesce(v, 0) / (k * (k - 1))) else 0.0 end as clustering from deg join p on p.id = deg.id and p.i = 200 left join tri on tri.id = deg.id",
+}
+#: One row of the export for each document row.
+_ROWS = "with d as (select row_number() over () as i, * from documents)"
+_CELL = "case when lower(trim({c})) <> 'nan' then nullif(trim({c}), '') end"
 SQL |= {
-    "growth_summary": "with e as (select arg_min(documents, year) as a, arg_max(documents, year) as b, max(year) - min(year) as n from {yearly}) select case when n > 0 and a > 0 then r2((pow(b * 1.0 / a, 1.0 / n) - 1) * 100) end as cagr, (select r2(avg(agr)) from (" + _AGR + ")) as mean_agr, (select r4(avg(rgr)) from (" + _RGR + ")) as mean_rgr, (select r2(avg(d)) from (" + _RGR + ")) as mean_doubling_time from e",
-    "cochran_sample_size": "select count(*) as population, 1.96::double as z, ceil(1.96 * 1.96 * 0.25 / 0.0025)::bigint as sample_infinite, ceil((1.96::double * 1.96 * 0.25 / 0.0025) / (1 + (1.96::double * 1.96 * 0.25 / 0.0025 - 1) / count(*)))::bigint as sample_size from documents",
-    "authors_by_affiliation_count": "with l as (" + _LINKS + "), m as (select key, max(k) as k from (select key, eid, count(distinct org) as k from l group by 1, 2) group by 1), s as (select key, string_agg(named, '; ' order by named) as t from (select key, named, row_number() over (partition by key order by named) as r from (select distinct key, named from l where named is not null)) where r <= 6 group by 1) select name as author, (select min(scopus_id) from {au} a where a.key = l.key) as scopus_id, count(distinct eid) as documents, count(distinct named) as institutions, any_value(m.k) as max_in_one_document, any_value(s.t) as affiliations from l join m using (key) join s using (key) join {auname} using (key) group by l.key, name having count(distinct named) >= 2 order by 4 desc, 3 desc, l.key limit 20",
-    "affiliation_profile": "with d as (select coalesce(k, 0) as k from (select distinct eid from documents) left join (select eid, count(distinct trim(parent1)) as k from affiliations where length(trim(parent1)) > 0 group by 1) using (eid)), a as (select key, count(distinct named) as k from (" + _LINKS + ") group by 1 having count(distinct named) > 0) select (select count(*) from d) as documents, (select count(*) from d where k = 0) as documents_without, (select count(*) from d where k = 1) as documents_single, (select count(*) from d where k > 1) as documents_multiple, (select r2(avg(k)) from d where k > 0) as mean_per_document, (select max(k) from d) as max_per_document, (select count(*) from a) as authors, (select count(*) from a where k > 1) as authors_multiple, (select r2(avg(k)) from a) as mean_per_author, (select max(k) from a) as max_per_author, (select count(*) from affiliations) as affiliation_rows, (select count(*) from affiliations where labelled) as labelled_rows",
-    "access_summary": "with o as (select count(*) as n, count(*) filter (regexp_matches(lower(coalesce(open_access, '')), '\\b(gold|hybrid|bronze|green)\\b|\\bopen\\s*access\\b')) as k, count(*) filter (length(trim(open_access)) > 0) as f from documents) select n as documents, k as open_documents, k as reported, f as filled_cells, r1(100.0 * k / n) as open_share, case when k > 0 then 100.0::double end as open_share_of_reported from o",
-    "trend_forecast_table": "with y as (select * from {yearly}), f as (select regr_slope(documents, year) as s, regr_intercept(documents, year) as i, max(year) as z from y) select year, documents, r2(greatest(i + s * year, 0)) as fitted, 'observed' as kind from y, f union all select z + k, null, r2(greatest(i + s * (z + k), 0)), 'forecast' from f, (select unnest(range(1, 6)) as k)",
-    "trend_forecast_fit": "with y as (select * from {yearly}), f as (select regr_slope(documents, year) as s, regr_intercept(documents, year) as i, count(*) as n, max(year) as z, avg(documents) as m from y), e as (select sum((documents - greatest(i + s * year, 0)) ** 2) as a, sum((documents - m) ** 2) as b from y, f) select 'linear' as model, r6(s) as slope, r4(i) as intercept, r4(1 - a / b) as r2, r2(sqrt(a / (n - 2))) as rmse, n as years, z >= 2026 as last_year_partial from f, e",
-    "quartile_distribution": "with s as (select trim(source) as s, count(distinct eid) as d, sum(c) as c from {docs} where length(trim(source)) > 0 group by 1), q as (select unnest(['Q1', 'Q2', 'Q3', 'Q4', 'Not indexed']) as quartile) select quartile, case when quartile = 'Not indexed' then (select count(*) from s) else 0 end as sources, case when quartile = 'Not indexed' then (select sum(d)::bigint from s) else 0 end as documents, case when quartile = 'Not indexed' then 100.0::double else 0.0::double end as share, case when quartile = 'Not indexed' then (select sum(c)::bigint from s) else 0 end as citations, case when quartile = 'Not indexed' then (select r2(sum(c) * 1.0 / sum(d)) from s) else 0.0 end as citations_per_document from q",
-    "scimago_coverage": "with s as (select trim(source) as s, count(distinct eid) as d from {docs} where length(trim(source)) > 0 group by 1) select count(*) as sources, 0::bigint as matched_sources, 0::bigint as matched_by_issn, 0::bigint as matched_by_title, sum(d)::bigint as documents, 0::bigint as matched_documents, 0.0::double as source_share, 0.0::double as document_share from s",
-    "historiograph_nodes": "with t as (select eid, n from {local} where n > 0 order by n desc, eid limit 25) select d.eid as id, min(title) as title, any_value(first_author) as first_author, min(year) as year, min(source) as source, any_value(t.n) as local_citations, max(c) as citations from {docs} d join t using (eid) left join {firstau} f using (eid) group by 1",
+    "csv_documents": "select eid, " + ", ".join(_CELL.format(c=c) + f" as {c}" for c in ("title", "source", "doi", "open_access")) + ", year, coalesce(cited_by, 0) as cited_by from documents",
+    "csv_keywords": _ROWS + " select eid, min(k) as keyword, kind from (select i, eid, kind, trim(unnest(string_split(keyword, ';'))) as k from d join keywords using (eid)) where k <> '' group by i, eid, kind, lower(k)",
+    "csv_references": _ROWS + ", r as (select eid, " + ", ".join(f"nullif(trim(translate({c}, ';|', ',/')), '') as {c}" for c in ("ref_doi", "ref_authors", "ref_title")) + ", ref_year from doc_references) select r.* from d join r using (eid)",
+    "csv_authors": _ROWS + " select eid, row_number() over (partition by i order by position, name) as position, trim(name) as name from d join authors using (eid) where length(trim(name)) > 0",
 }
 
 
@@ -295,8 +362,8 @@ def _expand(sql: str) -> str:
     parts = ", ".join(f"part_{n} as materialized ({visit(PARTS[n])})" for n in used)
     if not parts:
         return _rounding(body)
-    head, tail = ("with ", body[5:].lstrip()) if body.startswith("with ") else ("", body)
-    return _rounding(f"with {parts}{', ' if head else ' '}{tail}")
+    start = next((w for w in ("with recursive ", "with ") if body.startswith(w)), "")
+    return _rounding(f"{start or 'with '}{parts}{', ' if start else ' '}{body[len(start) :]}")
 
 
 def oracle_sql() -> dict[str, str]:

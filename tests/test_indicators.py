@@ -7,6 +7,8 @@ import pytest
 
 from folioscope.api import Corpus
 from folioscope.functions.columns import citation_indices
+from folioscope.functions.ranking import numbered, ranked
+from folioscope.operators.growth import normal_quantile
 from folioscope.operators.laws import kolmogorov_smirnov, lotka_exponent, zeta
 from folioscope.operators.networks import normalize
 from folioscope.plans.queries import EDGES, TABLES
@@ -46,15 +48,19 @@ def test_growth(spark):
     assert [(r.agr, r.cumulative) for r in c.agr().collect()] == [(None, 1), (100.0, 3), (100.0, 7)]
     gap = corpus(spark, [doc("a", 2018), doc("b", 2021)])
     assert [(r.year, r.documents, r.cumulative) for r in gap.production_by_year().collect()] == [(2018, 1, 1), (2019, 0, 1), (2020, 0, 1), (2021, 1, 2)]
-    assert c.cochran_sample_size().first().sample_size == 7
+    assert tuple(c.cochran_sample_size().first()) == (7, 0.95, 0.05, 0.5, 1.96, 385, 7, 100.0)
+    assert normal_quantile(0.975) == pytest.approx(2.2414, abs=5e-4) and normal_quantile(0.99) == 2.5758
+    assert c.growth_summary().columns == ["cagr", "agr_mean", "rgr_mean", "doubling_time_mean"]
     table, fit = corpus(spark, [doc(f"{y}{i}", y) for y in range(2015, 2020) for i in range(y - 2013)]).trend_forecast(2, this_year=2030)
-    assert fit.first().slope == 1.0 and [r.fitted for r in table.where("kind = 'forecast'").collect()] == [7.0, 8.0]
+    f = fit.first()
+    assert (f.slope, f.slope_label, f.intercept, f.years_used, f.last_year, f.last_year_partial) == (1.0, "additional documents per year", 2.0, 5, 2019, False)
+    assert [r.fitted for r in table.where("kind = 'forecast'").collect()] == [7.0, 8.0]
 
 
 def test_ageing(spark):
     c = corpus(spark, [doc("a", 2020)], references=[("a", i, None, y, "x") for i, y in enumerate((2019, 2018, 2017, 2000))])
     r = c.price_index().first()
-    assert (r.price_index, r.median_age, r.references) == (75.0, 2.5, 4)
+    assert (r.price_index, r.median_age, r.references, r.documents_with_references, r.window) == (75.0, 2.5, 4, 1, 5)
     assert corpus(spark, [doc("a", 2020)], references=[("a", i, None, y, "x") for i, y in enumerate((2019, 2015, 2010))]).price_index().first().median_age == 5.0
 
 
@@ -87,8 +93,54 @@ def test_lotka():
     assert zeta(2.0) == pytest.approx(math.pi**2 / 6, abs=1e-9)
     weights = [k**-2.5 / zeta(2.5) for k in range(1, 20_000)]
     assert lotka_exponent(sum(p * math.log(k) for k, p in enumerate(weights, 1))) == pytest.approx(2.5, abs=0.02)
-    assert lotka_exponent(0.0) is None
-    assert kolmogorov_smirnov([(1, 600), (2, 150), (3, 70)], 2.0)["critical"] == round(1.36 / math.sqrt(820), 4)
+    assert lotka_exponent(0.0) == pytest.approx(6.0) and lotka_exponent(None) is None
+    found = kolmogorov_smirnov([(1, 600), (2, 150), (3, 70)], 2.0)
+    assert found["critical_5pct"] == round(1.36 / math.sqrt(820), 4) and found.keys() == {"d", "p_value", "critical_5pct", "follows_lotka"}
+    assert kolmogorov_smirnov([], 2.0)["d"] is None
+
+
+def test_lotka_table(spark):
+    c = corpus(spark, [doc(x) for x in "abcd"], [("a", 1, "A", "1"), ("b", 1, "A", "1"), ("c", 1, "A", "1"), ("a", 2, "X", "2"), ("b", 2, "Y", "3"), ("c", 2, "Z", None)])
+    rows = [(r.documents_written, r.n_authors, r.share_observed, r.share_lotka) for r in c.lotka_table().collect()]
+    assert rows == [(1, 3, 0.75, 0.6079), (3, 1, 0.25, 0.0675)]
+    fit = c.lotka_fit().first()
+    assert fit.constant == pytest.approx(1 / zeta(fit.exponent), abs=1e-5) and fit.exponent_ols == pytest.approx(1.0, abs=1e-6)
+    assert [r.share_fitted for r in c.lotka_table().collect()] == [pytest.approx(fit.constant * k**-fit.exponent, abs=1e-4) for k in (1, 3)]
+    assert [r.law for r in c.lotka_tests().collect()] == ["fitted", "strict"]
+
+
+def test_price_law_and_groups(spark):
+    c = corpus(spark, [doc(x) for x in "abcd"], [*((x, 1, "A", "1") for x in "abcd"), ("a", 2, "X", "2"), ("b", 2, "Y", "3"), ("c", 2, "Z", "4")])
+    assert tuple(c.price_law().first()) == (4, 7, 2, 71.4, 1)
+    assert tuple(corpus(spark).price_law().first()) == (0, 0, 0, None, None)
+    assert [r.group for r in c.authorship_groups().collect()] == ["1 author", "2 authors", "3 authors", "4+ authors"]
+
+
+def test_affiliation_profile(spark):
+    places = [("a", 1, "U", None, None, None), ("a", 2, None, None, None, None), ("b", 1, "V", None, None, None), ("b", 2, "U", None, None, None), ("c", 1, "W", None, None, None)]
+    links = spark.createDataFrame([("a", 1, 1, "U"), ("a", 1, 2, "?"), ("b", 1, 1, "V"), ("b", 2, 2, "U"), ("c", 1, None, "W")], "eid string, position int, aff_pos int, raw string")
+    base = corpus(spark, [doc(x) for x in "abcd"], [("a", 1, "X", "1"), ("b", 1, "X", "1"), ("b", 2, "Y", None), ("c", 1, "Y", None)], places)
+    c = Corpus.from_tables({**base.tables(), "author_affiliations": links}, unify=False)
+    found = {r.author: (r.scopus_id, r.documents, r.institutions, r.max_in_one_document, r.affiliations) for r in c.authors_by_affiliation_count().collect()}
+    assert found == {"X": ("1", 2, 3, 2, "U; V; aff#2"), "Y": ("", 2, 2, 1, "U; aff#?")}
+    r = c.affiliation_profile().first()
+    assert (r.documents, r.single_author_documents, r.single_author_share, r.single_affiliation_documents, r.two_affiliation_documents, r.many_affiliation_documents) == (4, 2, 50.0, 2, 1, 0)
+    assert (r.authors, r.authors_with_several_affiliations, r.authors_with_double_affiliation) == (2, 2, 1)
+
+
+def test_ranked(spark):
+    rows = [(f"k{i:03}", (i * 7) % 5) for i in range(200)]
+    found, total = ranked(spark.createDataFrame(rows, "k string, v long").repartition(7), "v", "k")
+    want, run = [], 0
+    for i, (k, v) in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])), 1):
+        run += v
+        want.append((k, i, run))
+    assert total == run and [(r.k, r.rank, r.cumulative) for r in found.orderBy("rank").collect()] == want
+    same = numbered(spark.range(300).selectExpr("id", "if(id < 200, 'hot', concat('g', id % 3)) as g").repartition(5), "g", "id")
+    groups = {}
+    for r in sorted(same.collect(), key=lambda r: r.id):
+        groups.setdefault(r.g, []).append(r.number)
+    assert all(v == list(range(1, len(v) + 1)) for v in groups.values())
 
 
 def test_networks(spark):
@@ -120,7 +172,9 @@ def test_journals(spark, tmp_path):
     found = {r.source: (r.matched_by, r.quartile) for r in c.scimago_sources(table).collect()}
     assert found["Other  Journal name"] == ("title", "Q2") and found["Unknown"] == ("", None)
     assert {r.quartile: r.documents for r in c.quartile_distribution(table).collect()}["Not indexed"] >= 1
-    assert c.scimago_coverage().first().matched_sources == 0
+    assert c.scimago_coverage().first().matched_sources == 0 and not c.scimago_coverage().first().available
+    assert {r.access: r.sources for r in c.journal_open_access(table).collect()} == {"Open access": 1, "Subscription": 0, "Unknown": 2}
+    assert c.interdisciplinarity(table).columns[5] == "top_area_share" and c.interdisciplinarity().first().coverage == 0.0
 
 
 def test_filter(spark):
@@ -145,7 +199,7 @@ def test_empty_networks(spark, name):
 def test_title_groups_beside_doi_groups(spark):
     long = "a title of more than twenty five letters"
     c = corpus(spark, [doc("a", title=long, doi="10.1000/x"), doc("b", title=long.upper(), doi="10.1000/x"), doc("c", title=long, doi="10.1000/y"), doc("d", title=long), doc("e", title="short"), doc("f", title="short")])
-    assert [(r.kind, r.key, r.documents) for r in c.duplicates().collect()] == [("doi", "10.1000/x", 2), ("title", long, 4)]
+    assert [(r.kind, r.key, r.documents) for r in c.duplicates().collect()] == [("Title", long, 4), ("DOI", "10.1000/x", 2)]
 
 
 def test_all_titles_of_a_large_group(spark):
