@@ -1,10 +1,15 @@
 """Passages of held-out test items found in a training corpus through a positional inverted index.
 
 The corpus is indexed once, in segments: each holds, for every term that some item uses, the sorted list of (document,
-position) postings of its documents.  Segments are written to the shared folder; nothing of the corpus is shuffled.  From
-all segments come the terms' document frequencies over the whole corpus.  An item's rare terms are its anchors: their lists
-are shifted by the anchor's offset in the item and intersected, so that a document in which enough anchors agree with another on
-where the item would begin is a candidate.  For candidates the lists of all the item's terms give the exact stretches.
+position) postings of its documents.  Terms are known by 64-bit hash; the hashes of all items' terms are sent to every executor, and
+only if they are more than MOST_TERMS are the items dealt over several indexes.  Segments are written to the shared folder; nothing of
+the corpus is shuffled.  From all segments come the terms' document frequencies over the whole corpus.  An item's rare terms are its
+anchors: their lists are shifted by the anchor's offset in the item and intersected, so that a document is a candidate in which
+enough anchors agree with another on where the item would begin: three quarters of those that `least` of the item holds on average,
+`inner` of them matching.  An item whose anchors stand mostly in the part that a document lacks may so be missed; with `slack` None
+anchors needn't agree, only be there, in the number that must match in the parts of the item with fewest of them, which misses
+nothing that the rule admits and looks at very many more documents.  For candidates the lists of all the item's terms give
+the exact stretches.  Items are looked for ITEMS_PER_PASS at a time, each pass reading the index and not the texts.
 
 A document holds an item when one or two stretches, in the item's order, span at least `share` of it.  A stretch may leave out
 or replace single words (at most `gap` in a row); the rare words inside it must mostly match, so a sentence pattern filled
@@ -24,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,7 +39,10 @@ from folioscope.llm.lookalikes import LOOKALIKES, mixed_tokens, unify
 from folioscope.runtime import durable, ship_package
 
 #: Items handled at once: what one pass broadcasts is bounded by this, larger item tables take several passes.
-ITEMS_PER_PASS = 20_000
+ITEMS_PER_PASS, TERMS_PER_PASS = 20_000, 8_000_000
+#: Distinct terms of one index, of eight bytes each; what is broadcast with it is bounded by this.
+MOST_TERMS = 1 << 23
+_WORDS_KEPT = 1 << 20
 SEGMENT_DOCS, SEGMENT_TOKENS = 1_000, 400_000
 _SENTENCE = re.compile(r"(?<=[.?!])\s+")
 
@@ -53,17 +62,26 @@ class Item:
     terms: np.ndarray
 
 
-def prepare_items(rows: list[tuple[object, str | None, bool]]) -> tuple[list[Item], dict[str, int]]:
-    """Items (id, text, whether the opening is a shared instruction) as term numbers, and the numbering of terms."""
-    vocabulary: dict[str, int] = {}
-    items = []
-    for key, text, shared in rows:
-        parts = _SENTENCE.split((text or "").strip(), maxsplit=1)
-        kept = parts[1] if shared and len(parts) > 1 else (text or "")
-        terms = [vocabulary.setdefault(w, len(vocabulary)) for w in plain_words(kept)]
-        if len(terms) > 1:
-            items.append(Item(key, np.array(terms, dtype=np.int32)))
-    return items, vocabulary
+def term_hash(word: str) -> int:
+    return xxhash.xxh64_intdigest(word) - (1 << 63)
+
+
+def item_words(text: str | None, shared: bool) -> list[str]:
+    """The words of an item, without its opening sentence where that is a shared instruction."""
+    parts = _SENTENCE.split((text or "").strip(), maxsplit=1)
+    return plain_words(parts[1] if shared and len(parts) > 1 else (text or ""))
+
+
+def item_terms(items: DataFrame) -> DataFrame:
+    """`_item` and its `terms` in order, as hashes; items of fewer than two words are left out."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            terms = [[term_hash(w) for w in item_words(t, s)] for t, s in zip(rows["_text"], rows["_shared"], strict=True)]
+            yield pd.DataFrame({"_item": rows["_item"].to_numpy(), "terms": terms})
+
+    schema = T.StructType([items.schema["_item"], T.StructField("terms", T.ArrayType(T.LongType()))])
+    return items.mapInPandas(read, schema).where(F.size("terms") > 1)
 
 
 def with_instructions(items: DataFrame, shared_by: int) -> DataFrame:
@@ -81,17 +99,35 @@ def _pack(ids: list, terms: list[np.ndarray], places: list[np.ndarray], kind: ty
     return (ids, found.astype(np.int32).tobytes(), starts.astype(np.int32).tobytes(), docs[order].tobytes(), np.concatenate(places)[order].astype(np.uint32).tobytes())
 
 
-def build_index(documents: DataFrame, id_col: str, text_col: str, vocabulary: dict[str, int]) -> DataFrame:
-    """One row per index segment: its documents' ids, the terms found, where each term's list starts, the lists."""
+class _Numbers(dict):
+    """Word to term number, -1 for words that no item has; words are looked up in the vocabulary once."""
+
+    terms: np.ndarray
+
+    def __missing__(self, word: str) -> int:
+        value = term_hash(word)
+        at = int(np.searchsorted(self.terms, value))
+        self[word] = at = at if at < len(self.terms) and self.terms[at] == value else -1
+        return at
+
+
+def build_index(documents: DataFrame, id_col: str, text_col: str, vocabulary: np.ndarray) -> DataFrame:
+    """One row per index segment: its documents' ids, the terms found, where each term's list starts, the lists.
+
+    `vocabulary` holds the sorted hashes of the terms, a term's number being its place there.
+    """
     words_of = documents.sparkSession.sparkContext.broadcast(vocabulary)
 
     def segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        number = words_of.value.get
+        numbers = _Numbers()
+        numbers.terms = words_of.value
         ids, terms, places, size = [], [], [], 0
         names = ["ids", "terms", "starts", "docs", "places"]
         for rows in batches:
             for key, text in zip(rows["_id"], rows["_text"], strict=True):
-                term = np.array([number(w, -1) for w in plain_words(text)], dtype=np.int32)
+                if len(numbers) > _WORDS_KEPT:
+                    numbers.clear()
+                term = np.array([numbers[w] for w in plain_words(text)], dtype=np.int32)
                 place = np.flatnonzero(term >= 0)
                 ids.append(key)
                 terms.append(term[place])
@@ -143,6 +179,29 @@ def anchors_of(item: Item, frequency: np.ndarray, most: float) -> np.ndarray:
     return np.sort(order[: max(2, -(-len(order) // 4), rare)])
 
 
+def _mask(anchors: np.ndarray, item: Item) -> np.ndarray:
+    mask = np.zeros(len(item.terms), dtype=bool)
+    mask[anchors] = True
+    return mask
+
+
+def fewest_inside(rare: np.ndarray, length: int) -> int:
+    """The fewest rare words that one or two parts of an item of `length` words in all hold."""
+    total = np.r_[0, np.cumsum(rare)]
+    n, length = len(rare), min(length, len(rare))
+    best = int(rare.sum())
+    # parts are tried in steps of at most a 64th of the length; a coarser step can only give a lower number, as each part is shortened by it
+    step = max(1, length // 64)
+    for first in range(0, length + 1, step):
+        second = max(0, length - first - step + 1)
+        one, two = total[first:] - total[: n + 1 - first], total[second:] - total[: n + 1 - second]
+        # the first part ends where the second begins or before
+        ahead = np.minimum.accumulate(one)[: max(0, n + 1 - first - second)]
+        if len(ahead):
+            best = min(best, int((ahead + two[first : first + len(ahead)]).min()))
+    return best
+
+
 def chain(offsets: np.ndarray, places: np.ndarray, gap: int) -> list[tuple[list[int], list[int]]]:
     """Stretches of matches that advance together, the longest first: the matched offsets and their places.
 
@@ -200,6 +259,8 @@ def stretches(offsets: np.ndarray, places: np.ndarray, rare: np.ndarray, size: i
         while b + 1 < len(path) and path[b + 1] <= path[b] + 2:
             b += 1
         kept.append((path[a], path[b], spots[a], spots[b]))
+    # the words just before and behind a stretch may be left out or replaced like any other
+    kept = [(max(0, a - 1), min(size - 1, b + 1), p, q) for a, b, p, q in kept]
     best, count = 0, 0
     for i, (a, b, p, q) in enumerate(kept):
         if b - a + 1 > best:
@@ -215,7 +276,7 @@ def stretches(offsets: np.ndarray, places: np.ndarray, rare: np.ndarray, size: i
 
 def find(
     documents: DataFrame, id_col: str, text_col: str, items: DataFrame, item_id_col: str, item_text_col: str, *,
-    share: float = 0.5, rare_share: float = 0.1, slack: int = 3, gap: int = 3, inner: float = 0.6, shared_by: int = 3, report_from: float | None = None,
+    share: float = 0.5, rare_share: float = 0.1, slack: int | None = 3, gap: int = 3, inner: float = 0.6, shared_by: int = 3, report_from: float | None = None,
 ) -> DataFrame:
     """Pairs (document id, item id) with the `coverage` of the item and the number of `stretches`.
 
@@ -228,38 +289,45 @@ def find(
     item_name = f"item_{item_id_col}" if item_id_col == id_col else item_id_col
     clean = items.select(F.col(item_id_col).alias("_item"), F.col(item_text_col).cast("string").alias("_text")).where("_item is not null")
     # instructions are counted over all items; each pass then holds a bounded part of them
-    clean = durable(with_instructions(clean, shared_by), "test-items")
-    total = clean.count()
-    passes = max(1, -(-total // ITEMS_PER_PASS))
-    least = share if report_from is None else report_from
-    results = []
-    for k in range(passes):
-        part = clean if passes == 1 else clean.where(F.pmod(F.xxhash64("_item"), F.lit(passes)) == k)
-        results.append(_find_part(documents, id_col, text_col, part, items.schema[item_id_col].dataType, item_name, rare_share, slack, gap, inner, least))
-    out = results[0]
-    for more in results[1:]:
-        out = out.unionByName(more)
+    read = durable(item_terms(with_instructions(clean, shared_by)), "item-terms")
+    count, words_in_all = read.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()
+    result = T.StructType([T.StructField(id_col, documents.schema[id_col].dataType), T.StructField(item_name, items.schema[item_id_col].dataType), T.StructField("coverage", T.DoubleType()), T.StructField("stretches", T.IntegerType())])
+    distinct = durable(read.select(F.explode("terms").alias("term")).distinct(), "item-vocabulary")
+    indexes = max(1, -(-distinct.count() // MOST_TERMS))
+    out = spark.createDataFrame([], result)
+    for k in range(indexes if count else 0):
+        dealt = F.pmod(F.xxhash64(F.lit(17), "_item"), F.lit(indexes))
+        own = read if indexes == 1 else durable(read.where(dealt == k), "item-terms")
+        listed = distinct if indexes == 1 else own.select(F.explode("terms").alias("term")).distinct()
+        vocabulary = np.sort(listed.toPandas()["term"].to_numpy(dtype=np.int64))
+        index = build_index(documents, id_col, text_col, vocabulary)
+        frequency = document_frequencies(index, len(vocabulary))
+        indexed = index.agg(F.sum(F.size("ids"))).first()[0] or 0
+        passes = max(1, -(-count // (indexes * ITEMS_PER_PASS)), -(-words_in_all // (indexes * TERMS_PER_PASS)))
+        for i in range(passes):
+            part = own if passes == 1 else own.where(F.pmod(F.xxhash64("_item"), F.lit(passes)) == i)
+            prepared = [Item(r._item, np.searchsorted(vocabulary, np.array(r.terms, dtype=np.int64)).astype(np.int32)) for r in part.collect()]
+            out = out.unionByName(_find_items(index, prepared, frequency, rare_share * indexed, result, slack, gap, inner, share if report_from is None else report_from))
     return out.groupBy(id_col, item_name).agg(F.max("coverage").alias("coverage"), F.max_by("stretches", "coverage").alias("stretches"))
 
 
-def _find_part(documents, id_col, text_col, part, item_kind, item_id_col, rare_share, slack, gap, inner, least) -> DataFrame:
-    spark = documents.sparkSession
-    prepared, vocabulary = prepare_items([(r._item, r._text, r._shared) for r in part.collect()])
-    doc_kind = documents.schema[id_col].dataType
-    schema = T.StructType([T.StructField(id_col, doc_kind), T.StructField(item_id_col, item_kind), T.StructField("coverage", T.DoubleType()), T.StructField("stretches", T.IntegerType())])
+def _find_items(index: DataFrame, prepared: list[Item], frequency: np.ndarray, most: float, schema: T.StructType, slack: int | None, gap: int, inner: float, least: float) -> DataFrame:
+    """The documents of `index` that hold at least `least` of an item of `prepared`."""
+    spark = index.sparkSession
     if not prepared:
         return spark.createDataFrame([], schema)
-    index = build_index(documents, id_col, text_col, vocabulary)
-    frequency = document_frequencies(index, len(vocabulary))
-    indexed = index.agg(F.sum(F.size("ids"))).first()[0] or 0
-    anchored = [anchors_of(item, frequency, rare_share * indexed) for item in prepared]
-    # a text that is to hold `least` of an item has `inner` of the rare words there in place; a quarter of that is left to uneven spread
-    needed = np.array([max(2, int(np.ceil(0.75 * inner * least * len(a)))) for a in anchored])
+    anchored = [anchors_of(item, frequency, most) for item in prepared]
+    # a text that is to hold `least` of an item has `inner` of the rare words there in place, fewer where a part ends in common words
+    if slack is None:
+        few = [0.5 * fewest_inside(_mask(a, item), int(np.ceil(least * len(item.terms)))) for item, a in zip(prepared, anchored, strict=True)]
+    else:
+        few = [0.75 * inner * least * len(a) for a in anchored]
+    needed = np.array([max(2, int(np.ceil(n))) for n in few])
     term = np.concatenate([item.terms[a] for item, a in zip(prepared, anchored, strict=True)])
     item_no = np.repeat(np.arange(len(prepared)), [len(a) for a in anchored])
     offset = np.concatenate(anchored)
     order = np.argsort(term, kind="stable")
-    at = np.searchsorted(term[order], np.arange(len(vocabulary) + 1))
+    at = np.searchsorted(term[order], np.arange(len(frequency) + 1))
     shared = spark.sparkContext.broadcast((prepared, anchored, needed, at, item_no[order], offset[order]))
 
     def candidates(row, needed, at, item_no, offset) -> tuple[np.ndarray, np.ndarray]:
@@ -275,22 +343,25 @@ def _find_part(documents, id_col, text_col, part, item_kind, item_id_col, rare_s
         posting = np.repeat(posting, per)
         start = places[posting] - offset[where]
         key = docs[posting].astype(np.int64) * len(needed) + item_no[where]
-        order = np.lexsort((start, key))
-        key, start = key[order], start[order]
-        linked = np.zeros(len(key) + 1, dtype=bool)
-        linked[1:-1] = (key[1:] == key[:-1]) & (start[1:] - start[:-1] <= slack)
-        agreeing = key[linked[1:] | linked[:-1]]
-        found, hits = np.unique(agreeing, return_counts=True)
+        spot = offset[where]
+        if slack is None:
+            order = np.lexsort((spot, key))
+            key, spot = key[order], spot[order]
+            counted = np.ones(len(key), dtype=bool)
+            counted[1:] = (key[1:] != key[:-1]) | (spot[1:] != spot[:-1])
+        else:
+            order = np.lexsort((start, key))
+            key, start = key[order], start[order]
+            linked = np.zeros(len(key) + 1, dtype=bool)
+            linked[1:-1] = (key[1:] == key[:-1]) & (start[1:] - start[:-1] <= slack)
+            counted = linked[1:] | linked[:-1]
+        found, hits = np.unique(key[counted], return_counts=True)
         found = found[hits >= needed[found % len(needed)]]
         return found // len(needed), found % len(needed)
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         prepared, anchored, needed, at, item_no, offset = shared.value
-        rare = []
-        for item, a in zip(prepared, anchored, strict=True):
-            mask = np.zeros(len(item.terms), dtype=bool)
-            mask[a] = True
-            rare.append(mask)
+        rare = [_mask(a, item) for item, a in zip(prepared, anchored, strict=True)]
         for rows in batches:
             out = []
             for row in rows.itertuples(index=False):

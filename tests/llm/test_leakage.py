@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from folioscope.llm import leakage
 
 WORDS = [f"w{i:03d}" for i in range(400)]
@@ -70,3 +72,44 @@ def test_empty(spark):
     tests = spark.createDataFrame([(1, "some text here now")], "item_id long, text string")
     assert leakage.find(documents.where("false"), "doc_id", "text", tests, "item_id", "text").count() == 0
     assert leakage.find(documents, "doc_id", "text", tests.where("false"), "item_id", "text").count() == 0
+
+
+def test_fewest_rare_words():
+    rng = random.Random(1)
+    for _ in range(100):
+        n = rng.randint(2, 12)
+        rare, length = [rng.random() < 0.4 for _ in range(n)], rng.randint(1, n)
+        best = min(
+            sum(rare[a:b]) + sum(rare[c : c + length - b + a])
+            for a in range(n + 1) for b in range(a, min(n, a + length) + 1) for c in range(b, n - length + b - a + 1)
+        )
+        assert leakage.fewest_inside(np.array(rare), length) == best
+
+
+def test_without_agreement(spark):
+    """No candidate is left out where anchors needn't agree; here that finds the same."""
+    items, texts, want = corpus()
+    documents = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = leakage.find(documents, "doc_id", "text", spark.createDataFrame(items, "item_id long, text string"), "item_id", "text", slack=None)
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == want
+
+
+def test_many_passes_over_one_index(spark, monkeypatch):
+    items, texts, want = corpus()
+    built = []
+    build = leakage.build_index
+    monkeypatch.setattr(leakage, "build_index", lambda *a: built.append(1) or build(*a))
+    monkeypatch.setattr(leakage, "ITEMS_PER_PASS", 5)
+    documents = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    tests = spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in leakage.find(documents, "doc_id", "text", tests, "item_id", "text").collect()} == want and len(built) == 1
+    monkeypatch.setattr(leakage, "MOST_TERMS", 200)
+    assert {(r.doc_id, r.item_id) for r in leakage.find(documents, "doc_id", "text", tests, "item_id", "text").collect()} == want and len(built) > 2
+
+
+def test_edge_words_replaced(spark):
+    item = " ".join(WORDS[:40])
+    cut = ["other", *WORDS[1:19], "else"]
+    documents = spark.createDataFrame([(1, " ".join(cut)), (2, " ".join(WORDS[3:17])), *((i, " ".join(WORDS[i : i + 30])) for i in range(60, 120))], "doc_id long, text string")
+    found = leakage.find(documents, "doc_id", "text", spark.createDataFrame([(1, item)], "item_id long, text string"), "item_id", "text")
+    assert [r.doc_id for r in found.collect()] == [1]
