@@ -31,6 +31,8 @@ from folioscope.runtime import durable, ship_package
 
 #: The reference list is sent to every executor; a longer list is refused rather than broadcast.
 MOST_ENTRIES = 200_000
+#: Longer words and names aren't indexed by what edits leave of them, which would be very many forms, but compared by length.
+_LONG = 60
 _APART = re.compile(r"[\W_]+")
 
 
@@ -111,16 +113,35 @@ class Matcher:
         self.qualifiers = {w for w, n in used.items() if n > 1 and w not in self.titles}
         self.joined: dict[str, set[tuple[str, str]]] = defaultdict(set)
         self.by_word: dict[str, set[tuple[str, str]]] = defaultdict(set)
+        self.long_joined: dict[int, set[tuple[str, str]]] = defaultdict(set)
+        self.long_words: dict[int, set[tuple[str, str]]] = defaultdict(set)
         for key, names in self.short.items():
             for name in names:
                 whole = name.replace(" ", "")
-                for form in _deletes(whole, allowed(whole)):
-                    self.joined[form].add((whole, key))
+                self._index(whole, (whole, key), self.joined, self.long_joined)
                 words = name.split()
                 rare = [w for w in words if w not in self.qualifiers] or words
                 for word in rare:
-                    for form in _deletes(word, allowed(word)):
-                        self.by_word[form].add((name, key))
+                    self._index(word, (name, key), self.by_word, self.long_words)
+
+    @staticmethod
+    def _index(word: str, entry: tuple[str, str], forms: dict[str, set], lengths: dict[int, set]) -> None:
+        # long ones near the border are found either way, whichever side of it the other is on
+        if len(word) <= _LONG:
+            for form in _deletes(word, allowed(word)):
+                forms[form].add(entry)
+        if len(word) > _LONG - 2:
+            lengths[len(word)].add(entry)
+
+    @staticmethod
+    def _near(word: str, forms: dict[str, set], lengths: dict[int, set]) -> Iterator[tuple[str, str]]:
+        """Entries that may be as few edits away as a word of this length allows."""
+        if len(word) <= _LONG:
+            for form in _deletes(word, allowed(word)):
+                yield from forms.get(form, ())
+        if len(word) > _LONG - 2:
+            for n in range(len(word) - 2, len(word) + 3):
+                yield from lengths.get(n, ())
 
     def mentions(self, folded: str) -> list[str]:
         """Entries named in a folded value by the longest mentions that don't overlap."""
@@ -164,16 +185,13 @@ class Matcher:
         own = [w for w in words if w not in self.titles]
         costs: dict[str, int] = {}
         whole = "".join(own)
-        for form in _deletes(whole, allowed(whole)) if 3 < len(whole) <= 60 else ():
-            for name, key in self.joined.get(form, ()):
-                if (cost := edits(whole, name, allowed(name))) <= allowed(name):
-                    costs[key] = min(cost, costs.get(key, cost))
-        for word in {w for w in own if len(w) <= 60}:
-            for form in _deletes(word, allowed(word)):
-                for name, key in self.by_word.get(form, ()):
-                    cost = self._covers(own, name)
-                    if cost is not None:
-                        costs[key] = min(cost, costs.get(key, cost))
+        for name, key in self._near(whole, self.joined, self.long_joined) if len(whole) > 3 else ():
+            if (cost := edits(whole, name, allowed(name))) <= allowed(name):
+                costs[key] = min(cost, costs.get(key, cost))
+        for name, key in {e for w in set(own) for e in self._near(w, self.by_word, self.long_words)}:
+            cost = self._covers(own, name)
+            if cost is not None:
+                costs[key] = min(cost, costs.get(key, cost))
         if not costs:
             return None, 0.0
         least = min(costs.values())

@@ -15,6 +15,7 @@ the order of their ids, so a partition is packed the same way each time; rows re
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,8 +33,18 @@ AT_ONCE = 1 << 20
 _loaded: dict[tuple[str, str], Callable[[list[str]], list[int]]] = {}
 
 
-def token_counter(path: str, kind: str) -> Callable[[list[str]], list[int]]:
-    """How many tokens each text has under the vocabulary file at `path`; `kind` is tokenizers, tiktoken or sentencepiece."""
+def split_pattern() -> str:
+    """The pattern that comes with the vocabulary files of this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
+def token_counter(path: str, kind: str, pattern: str | None = None) -> Callable[[list[str]], list[int]]:
+    """How many tokens each text has under the vocabulary file at `path`; `kind` is tokenizers, tiktoken or sentencepiece.
+
+    A tiktoken file doesn't hold the `pattern` that splits a text before its bytes are merged; it is a parameter.
+    """
     if (path, kind) in _loaded:
         return _loaded[path, kind]
     if kind == "tokenizers":
@@ -43,12 +54,11 @@ def token_counter(path: str, kind: str) -> Callable[[list[str]], list[int]]:
         made.encode_special_tokens = True
         count = lambda texts: [len(e.ids) for e in made.encode_batch_fast(texts, add_special_tokens=False)]
     elif kind == "tiktoken":
-        import public_tokenizers
         import tiktoken
 
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        made = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        made = tiktoken.Encoding("own", pat_str=pattern or split_pattern(), mergeable_ranks=ranks, special_tokens={})
         count = lambda texts: [len(made.encode_ordinary(t)) for t in texts]
     elif kind == "sentencepiece":
         import sentencepiece
@@ -60,12 +70,17 @@ def token_counter(path: str, kind: str) -> Callable[[list[str]], list[int]]:
     return _loaded.setdefault((path, kind), count)
 
 
-def lengths(texts: DataFrame, id_col: str, text_col: str, tokenizer: str, kind: str = "tiktoken") -> DataFrame:
-    """(`id_col`, `tokens`) of every text that isn't null."""
+def lengths(texts: DataFrame, id_col: str, text_col: str, tokenizer: str, kind: str = "tiktoken", pattern: str | None = None) -> DataFrame:
+    """(`id_col`, `tokens`) of every text that isn't null. The file `tokenizer` is read here and sent to the executors."""
     ship_package(texts.sparkSession)
+    pattern = pattern or (split_pattern() if kind == "tiktoken" else None)
+    texts.sparkSession.sparkContext.addFile(tokenizer)
+    name = os.path.basename(tokenizer)
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        count = token_counter(tokenizer, kind)
+        from pyspark import SparkFiles
+
+        count = token_counter(SparkFiles.get(name), kind, pattern)
         for rows in batches:
             yield pd.DataFrame({id_col: rows["_id"].to_numpy(), "tokens": np.array(count(rows["_text"].tolist()), dtype=np.int64)})
 
@@ -145,7 +160,7 @@ def pack(measured: DataFrame, id_col: str, size_col: str, capacity: int, *, clas
     return picked.mapInPandas(filled, schema)
 
 
-def pack_texts(texts: DataFrame, id_col: str, text_col: str, tokenizer: str, kind: str = "tiktoken", capacity: int = 1_024) -> DataFrame:
+def pack_texts(texts: DataFrame, id_col: str, text_col: str, tokenizer: str, kind: str = "tiktoken", capacity: int = 1_024, pattern: str | None = None) -> DataFrame:
     """Every text's pieces and containers, measured by a public tokenizer. The lengths are written once, so that a lost
     executor can't number containers of one partition twice in different ways."""
-    return pack(durable(lengths(texts, id_col, text_col, tokenizer, kind), "token-lengths"), id_col, "tokens", capacity)
+    return pack(durable(lengths(texts, id_col, text_col, tokenizer, kind, pattern), "token-lengths"), id_col, "tokens", capacity)

@@ -53,7 +53,7 @@ def p3_found(spark: SparkSession, directory: str) -> DataFrame:
     names = ["name", "common_name", "official_name"]
     listed = countries.select(F.explode(F.array(*names)).alias("country")).where("country is not null").distinct()
     typed = read_table(spark, directory, "affiliations", "eid", "aff_pos", "country")
-    typed = typed.where("country rlike '\\\\S' and lower(trim(country)) not in ('-', 'nan', 'none', 'null')").join(F.broadcast(listed), "country", "left_anti")
+    typed = typed.where("country rlike '\\\\S' and lower(trim(country)) not in ('-', 'nan', 'none', 'null')").join(listed, "country", "left_anti")
     mapped = canonical_values.map_rows(typed, "country", countries, "alpha2", names)
     return mapped.select("eid", "aff_pos", F.coalesce("key", F.lit("--")).alias("alpha2")).distinct()
 

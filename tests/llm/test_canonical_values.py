@@ -43,3 +43,11 @@ def test_edits(a, b):
 def test_swap_around_an_edit():
     assert cv.edits("tidatikial", "tidaktial", 2) == 2
     assert cv.edits("ab", "ba", 2) == 1
+
+
+def test_long_names_and_words():
+    long = "abcdefghij" * 9
+    matcher = cv.Matcher([("LO", [f"{long} islands"]), ("BO", ["x" * 59]), ("SH", ["brief"])])
+    assert matcher.match(f"{long[:40]}z{long[41:]} islands")[0] == "LO" and matcher.match(" ".join(long) + " islands")[0] == "LO"
+    assert matcher.match("x" * 61)[0] == matcher.match("x" * 57)[0] == "BO" and matcher.match("x" * 63)[0] is None
+    assert matcher.match("y" * 100_000 + " breif")[0] == "SH" and matcher.match("y" * 100_000)[0] is None
