@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions.components import components
@@ -31,6 +31,7 @@ from folioscope.functions.skew import join_counted
 from folioscope.runtime import durable
 
 _SURVIVAL = 0.5
+_SALTS = 32
 
 
 def _overlapping(overlap: Column, a: Column, b: Column, threshold: float) -> Column:
@@ -54,7 +55,10 @@ def same_values(rows: DataFrame, record_col: str, key_cols: list[str]) -> DataFr
     held = durable(found.select("rec", first.alias("key")).where("key is not null").distinct(), "record-keys")
     counted = held.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     named = counted.join(group.withColumnRenamed("node", "key"), "key", "left").select("key", "n", F.coalesce("component", "key").alias("value"))
-    named = named.withColumn("shared", F.sum("n").over(Window.partitionBy("value")) > 1)
+    named = durable(named, "value-names")
+    # a value of a great many keys is one row here, whose keys are then joined by broadcast
+    spread = named.groupBy("value").agg(F.count(F.lit(1)).alias("keys"), (F.sum("n") > 1).alias("shared"))
+    named = join_counted(named, spread, ["value"], "keys", named.count()).drop("keys")
     return join_counted(held, named, ["key"], "n", held.count()).select("rec", "value", "shared").distinct()
 
 
@@ -166,10 +170,14 @@ def _blocks(large: DataFrame, small: int) -> DataFrame:
 
 
 def _huge(big: DataFrame, values: DataFrame, sizes: DataFrame, threshold: float, largest: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs with a record too large for an array, by counting shared values; each such record is a class of its own."""
+    """Pairs with a record too large for an array, by counting shared values; each such record is a class of its own.
+
+    The records that hold a value are dealt to as many tasks as it needs, the large ones among them, rows / largest at most, to each.
+    """
     near = sizes.where(F.col("size") >= F.lit(threshold * largest))
-    others = values.join(near.select("rec"), "rec", "left_semi")
-    shared = big.select(F.col("rec").alias("x"), "value").join(others.select(F.col("rec").alias("y"), "value"), "value").where("x <> y")
+    others = durable(values.join(near.select("rec"), "rec", "left_semi").withColumn("salt", F.pmod(F.xxhash64("rec"), F.lit(_SALTS)).cast("int")), "large-sets")
+    salted = big.select(F.col("rec").alias("x"), "value", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"))
+    shared = salted.join(others.select(F.col("rec").alias("y"), "value", "salt"), ["value", "salt"]).where("x <> y")
     counted = shared.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "value").distinct().groupBy("a", "b").agg(F.count(F.lit(1)).alias("overlap"))
     named = counted.join(sizes.select(F.col("rec").alias("a"), F.col("size").alias("na")), "a").join(sizes.select(F.col("rec").alias("b"), F.col("size").alias("nb")), "b")
     pairs = named.where(_overlapping(F.col("overlap"), F.col("na"), F.col("nb"), threshold)).select("a", "b", "overlap", "na", "nb")
