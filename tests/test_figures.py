@@ -83,3 +83,24 @@ def test_workbook():
     book = zipfile.ZipFile(io.BytesIO(workbook_bytes([("One", pd.DataFrame({"a": [1, 2.5, float("nan")], "b": ["x", True, None]}))])))
     sheet = ElementTree.fromstring(book.read("xl/worksheets/sheet1.xml"))
     assert len(list(sheet.iter("{http://schemas.openxmlformats.org/spreadsheetml/2006/main}row"))) == 4
+
+
+def test_pdf():
+    import re
+    import zlib
+
+    from folioscope.figures.pdf import from_svg, text_width
+    from folioscope.figures.svg import FigureSpec, Series, render
+
+    assert text_width("Aa", 10) == 12.23
+    for spec in (
+        FigureSpec("pie", "Shares (%)", (Series("n", ("a", "b", "c"), (1.0, 2.0, 3.0)),)), FigureSpec("line", "Läufe", (Series("n", (1, 2, 3), (1.0, None, 3.0)),), "x", "y"),
+        FigureSpec("flow", "F", nodes=(("a", 0.0, 0.0, 2.0, 0), ("b", 0.0, 0.0, 2.0, 1)), links=(("a", "b", 2.0),)), FigureSpec("network", "N", nodes=(("a", 0.1, 0.2, 2.0, 0), ("b", 0.9, 0.7, 2.0, 1)), links=(("a", "b", 2.0),)),
+    ):
+        data = from_svg(render(spec))
+        assert data.startswith(b"%PDF-1.4") and data.endswith(b"%%EOF\n") and data == from_svg(render(spec))
+        # every object stands where the table says
+        places = [int(x) for x in re.findall(rb"(\d{10}) 00000 n", data)]
+        assert [data[p:].split(b" ", 1)[0] for p in places] == [b"1", b"2", b"3", b"4", b"5"]
+        page = zlib.decompress(data[data.index(b"stream\n") + 7 : data.index(b"\nendstream")]).decode("latin-1")
+        assert page.count("q /") == page.count(" Q") and spec.title.replace("(", "\\(").replace(")", "\\)") in page
