@@ -41,7 +41,28 @@ class FigureSpec:
 
 
 FORMS = ("hbar", "vbar", "line", "mixed", "scatter", "area", "pie", "network", "density", "map", "treemap", "words", "flow", "tree")
-STYLE = ("title", "width", "height", "palette", "labels")
+STYLE = ("title", "show_title", "subtitle", "kind", "orientation", "palette", "color", "value_labels", "x_label", "y_label", "width", "height")
+#: Forms that the `kind` of a style changes into one another.
+KINDS = ("bar", "lollipop", "line", "area", "pie", "donut")
+PLAIN = ("hbar", "vbar", "line", "area", "pie")
+PALETTES = ("single", "gradient", "category")
+
+
+def _mixed(colour: str, white: float) -> str:
+    """`colour` with a share of white."""
+    parts = [int(colour[i : i + 2], 16) for i in (1, 3, 5)]
+    return "#" + "".join(f"{round(v + (255 - v) * white):02x}" for v in parts)
+
+
+def gradient(colour: str, values: Sequence[float]) -> list[str]:
+    """A colour for each value, from a light one for the least to `colour` for the largest."""
+    low, high = min(values, default=0), max(values, default=0)
+    return [_mixed(colour, 0.75 * (high - v) / (high - low) if high > low else 0.0) for v in values]
+
+
+def spread(colours: Sequence[str], number: int) -> list[str]:
+    """`number` different colours: those given, then lighter and lighter ones."""
+    return [_mixed(colours[i % len(colours)], 1 - 0.7 ** (i // len(colours))) for i in range(number)]
 
 
 def _n(value: float) -> str:
@@ -66,13 +87,27 @@ class Canvas:
     def __init__(self, spec: FigureSpec):
         self.spec = spec
         self.w, self.h = int(spec.style.get("width", WIDTH)), int(spec.style.get("height", HEIGHT))
-        self.colours = tuple(spec.style.get("palette", PALETTE))
+        style = spec.style
+        self.palette = style.get("palette", "single")
+        if isinstance(self.palette, str) and self.palette not in PALETTES:
+            raise FigureError(f"no palette {self.palette!r}; there are {', '.join(PALETTES)}, or colours")
+        listed = PALETTE if isinstance(self.palette, str) else tuple(self.palette)
+        self.colours = (style["color"], *listed) if "color" in style else listed
         self.parts: list[str] = []
-        self.text(self.w / 2, 22, spec.style.get("title", spec.title), 15, "middle")
+        if style.get("show_title", True):
+            self.text(self.w / 2, 22, style.get("title", spec.title), 15, "middle")
+            if style.get("subtitle"):
+                self.text(self.w / 2, 38, style["subtitle"], 11, "middle")
 
     def colour(self, i: int) -> str:
         return self.colours[i % len(self.colours)]
 
+    def fills(self, values: Sequence[float]) -> list[str]:
+        """A colour for each category of a series, as the palette says."""
+        if self.palette == "gradient":
+            return gradient(self.colours[0], values)
+        return spread(self.colours, len(values)) if self.palette == "category" else [self.colours[0]] * len(values)
+
     def text(self, x: float, y: float, what: object, size: int = 11, anchor: str = "start") -> None:
         self.parts.append(f'<text x="{_n(x)}" y="{_n(y)}" font-size="{size}" text-anchor="{anchor}">{escape(str(what))}</text>')
 
@@ -93,30 +128,42 @@ class Canvas:
         return f'<svg xmlns="http://www.w3.org/2000/svg" width="{self.w}" height="{self.h}" viewBox="0 0 {self.w} {self.h}" font-family="sans-serif">\n<rect width="100%" height="100%" fill="white"/>\n{body}\n</svg>\n'.encode()
 
 
-def _bars(c: Canvas, flat: bool) -> None:
+def _bars(c: Canvas, flat: bool, sticks: bool = False) -> None:
     s = c.spec.series[0]
     values = [v or 0.0 for v in s.y]
     top = max([*values, 0]) or 1
     n = len(values)
+    fills, labelled = c.fills(values), c.spec.style.get("value_labels", flat)
     for i, (name, value) in enumerate(zip(s.x, values, strict=True)):
         if flat:
             band = (c.h - 60) / n
             y, size = 40 + i * band, (c.w - 340) * value / top
-            c.rect(250, y + band * 0.1, size, band * 0.8, c.colour(0))
+            if sticks:
+                c.line(250, y + band / 2, 250 + size, y + band / 2, fills[i], 2)
+                c.dot(250 + size, y + band / 2, min(6, band / 3), fills[i])
+            else:
+                c.rect(250, y + band * 0.1, size, band * 0.8, fills[i])
             c.text(244, y + band * 0.65, short(name), 11, "end")
-            c.text(256 + size, y + band * 0.65, f"{value:g}", 10)
+            if labelled:
+                c.text(258 + size, y + band * 0.65, f"{value:g}", 10)
         else:
             band = (c.w - 90) / n
             x, size = 60 + i * band, (c.h - 100) * value / top
-            c.rect(x + band * 0.1, c.h - 50 - size, band * 0.8, size, c.colour(0))
+            if sticks:
+                c.line(x + band / 2, c.h - 50, x + band / 2, c.h - 50 - size, fills[i], 2)
+                c.dot(x + band / 2, c.h - 50 - size, min(6, band / 3), fills[i])
+            else:
+                c.rect(x + band * 0.1, c.h - 50 - size, band * 0.8, size, fills[i])
             if n <= 30 or i % (n // 15) == 0:
                 c.text(x + band / 2, c.h - 34, short(name, 16), 9, "middle")
+            if labelled:
+                c.text(x + band / 2, c.h - 56 - size, f"{value:g}", 9, "middle")
     if not flat:
         for t in _ticks(0, top):
             c.text(54, c.h - 46 - (c.h - 100) * t / top, f"{t:g}", 10, "end")
 
 
-def _curves(c: Canvas, points: bool) -> None:
+def _curves(c: Canvas, points: bool, filled: bool = False) -> None:
     spec = c.spec
     shift = (lambda v: math.log10(v) if v > 0 else None) if spec.log else float
     data = []
@@ -146,27 +193,38 @@ def _curves(c: Canvas, points: bool) -> None:
                     c.text(px(a) + 6, py(b) + 4, short(name, 24), 9)
         else:
             line = "M" + " L".join(f"{_n(px(a))},{_n(py(b))}" for a, b, _ in ps)
-            if s.form == "area" or spec.form == "area":
+            if s.form == "area" or filled:
                 c.path(f"{line} L{_n(px(ps[-1][0]))},{_n(py(y0))} L{_n(px(ps[0][0]))},{_n(py(y0))} Z", c.colour(i), c.colour(i), 1, 0.4)
             else:
                 c.path(line, c.colour(i))
+            if spec.style.get("value_labels"):
+                for a, b, _ in ps:
+                    c.text(px(a), py(b) - 6, f"{10**b:.3g}" if spec.log else f"{b:g}", 9, "middle")
         if len(data) > 1:
             c.rect(c.w - 190, 34 + 15 * i, 10, 10, c.colour(i))
             c.text(c.w - 175, 43 + 15 * i, short(s.name, 26), 10)
 
 
-def _pie(c: Canvas) -> None:
+def _pie(c: Canvas, hole: float = 0.0) -> None:
+    if len(c.spec.series) != 1:
+        raise FigureError("a pie shows a single series")
     s = c.spec.series[0]
+    if any((v or 0) < 0 for v in s.y) or not any(s.y):
+        raise FigureError("a pie shows positive values")
     pairs = sorted(((v or 0.0, str(n)) for n, v in zip(s.x, s.y, strict=True)), key=lambda p: (-p[0], p[1]))
     if len(pairs) > 8:
         pairs = [*pairs[:7], (sum(p[0] for p in pairs[7:]), "Other")]
-    whole, angle = sum(p[0] for p in pairs) or 1, -math.pi / 2
+    whole, angle = sum(p[0] for p in pairs), -math.pi / 2
+    fills = gradient(c.colours[0], [p[0] for p in pairs]) if c.palette == "gradient" else spread(c.colours, len(pairs))
     for i, (v, name) in enumerate(pairs):
         end = angle + 2 * math.pi * v / whole
         at = [(c.w / 2 + 170 * math.cos(a), c.h / 2 + 10 + 170 * math.sin(a)) for a in (angle, min(end, angle + 2 * math.pi - 1e-6))]
-        c.path(f"M{_n(c.w / 2)},{_n(c.h / 2 + 10)} L{_n(at[0][0])},{_n(at[0][1])} A170,170 0 {int(end - angle > math.pi)} 1 {_n(at[1][0])},{_n(at[1][1])} Z", "white", c.colour(i), 1)
-        c.text(20, 60 + 16 * i, f"{short(name, 30)}: {v:g}", 11)
+        c.path(f"M{_n(c.w / 2)},{_n(c.h / 2 + 10)} L{_n(at[0][0])},{_n(at[0][1])} A170,170 0 {int(end - angle > math.pi)} 1 {_n(at[1][0])},{_n(at[1][1])} Z", "white", fills[i], 1)
+        c.rect(20, 51 + 16 * i, 10, 10, fills[i])
+        c.text(36, 60 + 16 * i, f"{short(name, 30)}: {v:g}" + (f" ({100 * v / whole:.1f} %)" if c.spec.style.get("value_labels") else ""), 11)
         angle = end
+    if hole:
+        c.parts.append(f'<circle cx="{_n(c.w / 2)}" cy="{_n(c.h / 2 + 10)}" r="{_n(170 * hole)}" fill="white" fill-opacity="1"/>')
 
 
 def _network(c: Canvas) -> None:
@@ -301,13 +359,23 @@ def render(spec: FigureSpec) -> bytes:
     if not any(len(s.x) for s in spec.series) and not spec.nodes and not spec.grid:
         raise FigureError("no data to draw")
     c = Canvas(spec)
+    form, kind = spec.form, spec.style.get("kind")
+    if kind is not None or "orientation" in spec.style:
+        if form not in PLAIN:
+            raise FigureError(f"a figure of the form {form!r} has no other kind")
+        if kind not in (None, *KINDS) or spec.style.get("orientation") not in (None, "horizontal", "vertical"):
+            raise FigureError(f"kind is one of {', '.join(KINDS)}, orientation horizontal or vertical")
+        flat = {"horizontal": True, "vertical": False}.get(spec.style.get("orientation"), form == "hbar")
+        form = {None: "hbar" if flat and form in ("hbar", "vbar") else "vbar" if form in ("hbar", "vbar") else form, "bar": "hbar" if flat else "vbar", "lollipop": "hsticks" if flat else "vsticks"}.get(kind, kind)
     drawn = {
-        "hbar": lambda: _bars(c, True), "vbar": lambda: _bars(c, False), "pie": lambda: _pie(c), "network": lambda: _network(c), "density": lambda: _density(c), "map": lambda: _map(c), "treemap": lambda: _treemap(c),
-        "words": lambda: _words(c), "flow": lambda: _flow(c), "tree": lambda: _tree(c), "scatter": lambda: _curves(c, True),
+        "hbar": lambda: _bars(c, True), "vbar": lambda: _bars(c, False), "hsticks": lambda: _bars(c, True, True), "vsticks": lambda: _bars(c, False, True), "pie": lambda: _pie(c), "donut": lambda: _pie(c, 0.55),
+        "network": lambda: _network(c), "density": lambda: _density(c), "map": lambda: _map(c), "treemap": lambda: _treemap(c), "words": lambda: _words(c), "flow": lambda: _flow(c), "tree": lambda: _tree(c),
+        "scatter": lambda: _curves(c, True), "area": lambda: _curves(c, False, True),
     }
-    drawn.get(spec.form, lambda: _curves(c, False))()
-    if spec.x_label:
-        c.text(c.w / 2, c.h - 10, spec.x_label, 11, "middle")
-    if spec.y_label:
-        c.text(12, 36, spec.y_label, 11)
+    drawn.get(form, lambda: _curves(c, False))()
+    x_label, y_label = (spec.style.get(k, getattr(spec, k)) for k in ("x_label", "y_label"))
+    if x_label:
+        c.text(c.w / 2, c.h - 10, x_label, 11, "middle")
+    if y_label:
+        c.text(12, 36, y_label, 11)
     return c.done()

@@ -104,3 +104,24 @@ def test_pdf():
         assert [data[p:].split(b" ", 1)[0] for p in places] == [b"1", b"2", b"3", b"4", b"5"]
         page = zlib.decompress(data[data.index(b"stream\n") + 7 : data.index(b"\nendstream")]).decode("latin-1")
         assert page.count("q /") == page.count(" Q") and spec.title.replace("(", "\\(").replace(")", "\\)") in page
+
+
+def test_styles():
+    from folioscope.figures.pdf import from_svg
+    from folioscope.figures.svg import FigureError, FigureSpec, Series, gradient, render, spread
+
+    names, values = tuple("abcdefghij"), (42.0, 31.0, 27.0, 19.0, 17.0, 15.0, 12.0, 11.0, 9.0, 8.0)
+    spec = lambda form="vbar", y=values, n=1, **style: FigureSpec(form, "Top authors", tuple(Series(f"s{i}", names, y) for i in range(n)), "x", "y", style=style)
+    for style in (
+        {"kind": "bar", "palette": "gradient", "value_labels": True}, {"kind": "bar", "palette": "category", "orientation": "horizontal"}, {"kind": "lollipop", "orientation": "horizontal", "color": "#1baf7a"},
+        {"kind": "lollipop", "value_labels": True}, {"kind": "line", "value_labels": True}, {"kind": "area", "color": "#4a3aa7"}, {"kind": "pie", "value_labels": True}, {"kind": "donut"}, {"orientation": "horizontal"},
+    ):
+        assert render(spec(**style)) == render(spec(**style)) != render(spec()) and from_svg(render(spec(**style))).startswith(b"%PDF")
+    assert render(spec(kind="bar")) == render(spec()) and b"31" in render(spec(value_labels=True))
+    titled, plain = render(spec(subtitle="Years 2010-2013")), render(spec(show_title=False, subtitle="Years 2010-2013"))
+    assert b"Top authors" in titled and b"Years 2010-2013" in titled and b"Top authors" not in plain and b"Years" not in plain
+    assert gradient("#2a78d6", [1, 5, 10])[-1] == "#2a78d6" and len(set(gradient("#2a78d6", [1, 5, 10]))) == 3
+    assert len(set(spread(["#2a78d6", "#eb6834", "#1baf7a"], 7))) == 7
+    for bad, match in ((spec(kind="pie", n=2), "single series"), (spec(kind="pie", y=(-1.0, *values[1:])), "positive"), (spec(palette="rainbow"), "palette"), (spec(kind="cube"), "kind"), (spec("network", kind="pie"), "no other kind")):
+        with pytest.raises(FigureError, match=match):
+            render(bad)
