@@ -28,7 +28,7 @@ from folioscope.runtime import durable, ship_package
 
 HEAVY = 1_024
 WIDE = 512
-TILE = 1_024
+TILE = 4_096
 _FLUSH = 2_000_000
 
 
@@ -40,17 +40,19 @@ def _both(size: int) -> tuple[np.ndarray, np.ndarray]:
 def popcount_pairs(rows: np.ndarray, columns: np.ndarray, items: int, counts: np.ndarray) -> None:
     """Add to `counts` (items x items) how many columns each two items share; incidences are (rows[i], columns[i])."""
     present, local = np.unique(rows, return_inverse=True)
-    width = int(columns.max()) + 1 if len(columns) else 0
-    words = -(-width // 64)
-    if not words:
-        return
-    bits = np.zeros((len(present), words), dtype=np.uint64)
-    np.bitwise_or.at(bits, (local, columns // 64), np.uint64(1) << (columns % 64).astype(np.uint64))
+    bits = bit_rows(local, columns, len(present))
     for i in range(len(present) - 1):
         shared = np.bitwise_count(bits[i] & bits[i + 1 :]).sum(axis=1, dtype=np.int64)
         counts[present[i], present[i + 1 :]] += shared
 
 
+def bit_rows(rows: np.ndarray, columns: np.ndarray, count: int) -> np.ndarray:
+    """`count` rows of bits, 64 to a word, with bit columns[i] of row rows[i] set."""
+    bits = np.zeros((count, int(columns.max()) // 64 + 1 if len(columns) else 0), dtype=np.uint64)
+    np.bitwise_or.at(bits, (rows, columns // 64), np.uint64(1) << (columns % 64).astype(np.uint64))
+    return bits
+
+
 def _tally(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     order = np.lexsort((b, a))
     a, b = a[order], b[order]
@@ -198,19 +200,19 @@ def _with_wide(counted: DataFrame, wide_light: DataFrame, heavy_rows: DataFrame,
     squares = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))).select("grp", F.least("tile", "other").alias("ti"), F.greatest("tile", "other").alias("tj"), "tile", "id", "held")
 
     def square(rows: pd.DataFrame) -> pd.DataFrame:
-        ids = np.sort(rows["id"].to_numpy())
-        place = np.searchsorted(ids, rows["id"].to_numpy())
+        group, low, high = rows["grp"].iloc[0], rows["ti"].iloc[0], rows["tj"].iloc[0]
         lists = [np.asarray(x, dtype=np.int64) for x in rows["held"]]
         columns = np.unique(np.concatenate(lists), return_inverse=True)[1]
-        counts = np.zeros((len(ids), len(ids)), dtype=np.int64)
-        popcount_pairs(np.repeat(place, [len(x) for x in lists]), columns, len(ids), counts)
-        tile = np.empty(len(ids), dtype=np.int64)
-        tile[place] = rows["tile"].to_numpy()
-        i, j = np.nonzero(counts >= min_together)
-        if rows["ti"].iloc[0] != rows["tj"].iloc[0]:
-            across = tile[i] != tile[j]
-            i, j = i[across], j[across]
-        return _frame(rows["grp"].iloc[0], ids[i], ids[j], counts[i, j])
+        bits = bit_rows(np.repeat(np.arange(len(lists)), [len(x) for x in lists]), columns, len(lists))
+        ids, tile = rows["id"].to_numpy(), rows["tile"].to_numpy()
+        left, right = np.flatnonzero(tile == low), np.flatnonzero(tile == high)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for k, i in enumerate(left):
+            others = right[k + 1 :] if low == high else right
+            shared = np.bitwise_count(bits[i] & bits[others]).sum(axis=1, dtype=np.int64)
+            often = np.flatnonzero(shared >= min_together)
+            found.append((np.full(len(often), ids[i]), ids[others[often]], shared[often]))
+        return _frame(group, *(np.concatenate(x) for x in zip(*found, strict=True))) if found else pd.DataFrame(columns=["grp", "a", "b", "n"])
 
     only = squares.groupBy("grp", "ti", "tj").applyInPandas(square, _PAIRS).join(counted.select("grp", "a", "b"), ["grp", "a", "b"], "left_anti")
     return counted.unionByName(mixed).unionByName(added).unionByName(only)
