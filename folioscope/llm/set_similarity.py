@@ -44,7 +44,7 @@ def same_values(rows: DataFrame, record_col: str, key_cols: list[str]) -> DataFr
     `shared` tells whether another record may hold the value. A row without a key is left out; keys are compared by 64-bit hash.
     """
     keys = [F.when(F.col(c) != "", F.xxhash64(F.lit(c), F.col(c))) for c in key_cols]
-    found = durable(rows.select(F.col(record_col).alias("rec"), *(k.alias(f"k{i}") for i, k in enumerate(keys))).where("rec is not null").distinct(), "value-keys")
+    found = durable(rows.select(F.col(record_col).alias("rec"), *(k.alias(f"k{i}") for i, k in enumerate(keys))).where("rec is not null"), "value-keys")
     names = [f"k{i}" for i in range(len(keys))]
     first = F.coalesce(*names)
     links = [found.select(first.alias("u"), F.col(n).alias("v")).where("u is not null and v is not null and u <> v") for n in names[1:]]
@@ -52,7 +52,8 @@ def same_values(rows: DataFrame, record_col: str, key_cols: list[str]) -> DataFr
     for more in links[1:]:
         edges = edges.unionByName(more)
     group = durable(components(edges), "value-components")
-    held = durable(found.select("rec", first.alias("key")).where("key is not null").distinct(), "record-keys")
+    # rows that a record repeats are counted and dropped in the end, so that they aren't shuffled for it here
+    held = found.select("rec", first.alias("key")).where("key is not null")
     counted = held.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     named = counted.join(group.withColumnRenamed("node", "key"), "key", "left").select("key", "n", F.coalesce("component", "key").alias("value"))
     named = durable(named, "value-names")
