@@ -133,7 +133,8 @@ def citation_network(c: Corpus, unit: str = "sources", top_n: int = 40, min_weig
     """Who cites whom: nodes and directed edges (source cites target) of the `top_n` entities with most citations in and out."""
     own = members(c, unit, level)
     flows = _with_entities(c, own).select(F.explode("citing_keys").alias("source"), "cited_keys").select("source", F.explode("cited_keys").alias("target"))
-    edges = flows.where("source <> target").groupBy("source", "target").agg(F.count(F.lit(1)).alias("weight"))
+    # read several times below: for the sums of both ends, and for what is kept
+    edges = durable(flows.where("source <> target").groupBy("source", "target").agg(F.count(F.lit(1)).alias("weight")), "citation-edges")
     ends = edges.select(F.col("source").alias("id"), "weight").unionByName(edges.select(F.col("target").alias("id"), "weight"))
     best = F.broadcast(ends.groupBy("id").agg(F.sum("weight").alias("occurrences")).orderBy(F.desc("occurrences"), "id").limit(top_n))
     kept = edges.where(F.col("weight") >= min_weight)
