@@ -7,7 +7,7 @@ larger ones branch again on other values, each chosen with probability 2 / (need
 
 Similar sets share at least the larger one's need, so they choose at least one shared value at the root and two (or the one left)
 in a node below it, on average.  With two a node a pair survives whatever the depth with a chance of 0.797 (1 - exp(-2q) = q), from
-the root with 1 - exp(-0.797) = 0.549: more than the half assumed, from which the number of trees follows that brings the chance of a
+the root with 1 - exp(-0.797) = 0.549, from which the number of trees follows that brings the chance of a
 miss below 1 - `target_recall`.  Every pair met is verified exactly on the whole sets.
 
 Two sets of a and b values are similar once they share threshold / (1 + threshold) * (a + b).  In a large node whose path holds
@@ -30,7 +30,8 @@ from folioscope.functions.components import components
 from folioscope.functions.skew import join_counted
 from folioscope.runtime import durable
 
-_SURVIVAL = 0.5
+#: The chance that a pair at the threshold survives a tree of any depth.
+_SURVIVAL = 1 - math.exp(-0.7968)
 _SALTS = 32
 
 
