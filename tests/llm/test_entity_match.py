@@ -96,3 +96,24 @@ def test_crowded_blocks(spark, monkeypatch):
     found = {(r.eid, r.doc) for r in em.match(left, right).collect()}
     want = {(f"r{i}", i) for i in range(n)}
     assert len(want - found) <= 0.001 * n and len(found - want) <= 0.001 * n
+
+
+def pairs_of(frame):
+    return {(r.rid, r.did) for r in frame.collect()}
+
+
+def test_crowded_blocks_keep_all_pairs(spark, monkeypatch):
+    """One surname and one beginning, titles of one word each time mistyped, and references without a title: nothing else in common."""
+    monkeypatch.setattr(em, "CROWD", 5)
+    n = 12
+    documents = [(i, f"e{i}", None, "Xenobiotransformation" + "abcdefghiklm"[i] * 3, 2000) for i in range(n)]
+    authors = [(f"e{i}", 1, "Wang A.") for i in range(n)]
+    references = [(f"r{i}", 1, None, "Xenobiotransfromation" + "abcdefghiklm"[i] * 3, 2000, "Wang A.", None) for i in range(n)]
+    references += [(f"s{i}", 1, f"10.1234/{i}", None, 2000, "Wang A.", None) for i in range(n)]
+    left, right = sides(spark, documents, authors, references)
+    a, b = em._classes(left, "left")[1], em._classes(right, "right")[1]
+    common = em.common_words(b)
+    want = {(x.cls, y.cls) for x in a.collect() for y in b.collect()}
+    assert pairs_of(em._whole_blocks(a, b, common)) == want
+    found = {(r.eid, r.doc) for r in em.match(left, right).collect()}
+    assert {(f"r{i}", i) for i in range(n)} <= found
