@@ -1,4 +1,5 @@
 import random
+from pathlib import Path
 
 import numpy as np
 
@@ -117,3 +118,44 @@ def test_crowded_blocks_keep_all_pairs(spark, monkeypatch):
     assert pairs_of(em._whole_blocks(a, b, common)) == want
     found = {(r.eid, r.doc) for r in em.match(left, right).collect()}
     assert {(f"r{i}", i) for i in range(n)} <= found
+
+
+def crowd(spark, n):
+    """One surname, one beginning and one year: every reference is a candidate of every document, and their long titles tell them apart."""
+    rng = random.Random(7)
+    titles = ["Xenobiology " + " ".join("".join(rng.choices("abcdefghiklmnoprstu", k=9)) for _ in range(12)) for _ in range(n)]
+    documents = [(i, f"e{i}", None, titles[i], 2000) for i in range(n)]
+    return sides(spark, documents, [(f"e{i}", 1, "Wang A.") for i in range(n)], [(f"r{i}", 1, None, titles[i].upper(), 2000, "Wang A.", None) for i in range(n)])
+
+
+def test_references_are_sent_once_to_a_home(spark, monkeypatch):
+    """Not for each of 60 x 60 candidates; and what only a step of the matching reads is removed after it."""
+    files, rows = {}, {}
+
+    def noted(frame, label, durable=em.durable):
+        table = durable(frame, label)
+        files[label], rows[label] = [f.removeprefix("file://") for f in table.inputFiles()], table.count()
+        return table
+
+    monkeypatch.setattr(em, "durable", noted)
+    n = 60
+    left, right = crowd(spark, n)
+    assert {(r.eid, r.doc) for r in em.match(left, right).collect()} == {(f"r{i}", i) for i in range(n)}
+    assert rows["match-features"] == n * n and rows["references-sent"] == n
+    for label in ("reference-sides", "document-sides", "document-keys", "candidates", "references-sent", "match-features"):
+        assert files[label] and not any(Path(f).exists() for f in files[label]), label
+
+
+def test_crowded_homes_and_blocks_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(em, "CROWD", 5)
+    monkeypatch.setattr(em, "_HEAVY", 100)
+    n = 40
+    left, right = crowd(spark, n)
+    a, b = em._classes(left, "left")[1], em._classes(right, "right")[1]
+    homes = em._housed(b).groupBy("by_first").count().collect()
+    assert len(homes) > 4 and sum(h["count"] for h in homes) == n
+    monkeypatch.setattr(em, "_features", lambda pairs: pairs)
+    met = em._met(em._whole_blocks(a, b, em.common_words(b)), a, b).collect()
+    titles = [{r.cls: r.title for r in side.collect()} for side in (a, b)]
+    assert len(met) == n * n == len({(r.rid, r.did) for r in met})
+    assert all(r.r.title == titles[0][r.rid] and r.d.title == titles[1][r.did] for r in met)
